@@ -28,7 +28,6 @@ from . import views
 from .views import AS_OF_YEAR, table
 
 YEAR = AS_OF_YEAR
-text, url = F.col("text"), F.col("url")
 
 
 def r6(value: Column) -> Column:
@@ -47,10 +46,10 @@ def read_decisions(spark, sf):
     path = scratch(spark, "corpus")
     views.decisions(spark, sf).select(
         F.col("name").alias("name_en"), F.col("document_date").alias("document_date_en"),
-        F.col("url").alias("url_en"), text.alias("unofficial_text_en"),
+        F.col("url").alias("url_en"), F.col("text").alias("unofficial_text_en"),
     ).write.parquet(path)
     return source.read_decisions(spark, path).select(
-        "url", "name", "document_date", F.md5(text).alias("text_md5"))
+        "url", "name", "document_date", F.md5(F.col("text")).alias("text_md5"))
 
 
 def read_vectors(spark, sf):
@@ -71,7 +70,7 @@ def dev_limit(spark, sf):
 
 def drop_blank_text(spark, sf):
     lines = table(spark, sf, "documents").select(
-        "doc_id", F.explode(F.split(text, "\n")).alias("text"))
+        "doc_id", F.explode(F.split(F.col("text"), "\n")).alias("text"))
     return source.drop_blank_text(lines).groupBy("doc_id").agg(
         F.count(F.lit(1)).alias("n_lines"))
 
@@ -86,14 +85,14 @@ def candidate_projection(spark, sf):
         F.concat(F.lit("doc-"), "doc_id").alias("url_en"),
         F.date_add(F.lit("2000-01-01").cast("date"), F.pmod("doc_id", F.lit(9000)).cast("int"))
         .alias("document_date_en"),
-        text.alias("unofficial_text_en"))
+        F.col("text").alias("unofficial_text_en"))
     return source.candidate_projection(raw).select(
         "url", "name", "document_date", F.length("text").alias("n"))
 
 
 def snippet(spark, sf):
     return table(spark, sf, "documents").select(
-        "doc_id", T.snippet(text).alias("snippet"), T.display_snippet(text).alias("shown"))
+        "doc_id", T.snippet(F.col("text")).alias("snippet"), T.display_snippet(F.col("text")).alias("shown"))
 
 
 def score_percent(spark, sf):
@@ -102,32 +101,32 @@ def score_percent(spark, sf):
 
 
 def estimate_tokens(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", T.estimate_tokens(text).alias("tokens"))
+    return table(spark, sf, "documents").select("doc_id", T.estimate_tokens(F.col("text")).alias("tokens"))
 
 
 def truncate_text(spark, sf):
     return table(spark, sf, "documents").select(
-        "doc_id", F.md5(T.truncate_text(text)).alias("cut_md5"),
-        T.is_truncated(text).alias("truncated"))
+        "doc_id", F.md5(T.truncate_text(F.col("text"))).alias("cut_md5"),
+        T.is_truncated(F.col("text")).alias("truncated"))
 
 
 def prompts(spark, sf):
     query = table(spark, sf, "conversations").filter("role = 'user'")
     return query.select(
-        "conv_id", "turn", T.embed_prompt(text).alias("embed"),
-        T.rerank_query(text).alias("rerank"), T.rerank_prompt(text, text).alias("pair"))
+        "conv_id", "turn", T.embed_prompt(F.col("text")).alias("embed"),
+        T.rerank_query(F.col("text")).alias("rerank"), T.rerank_prompt(F.col("text"), F.col("text")).alias("pair"))
 
 
 def card_prompts(spark, sf):
     return views.decisions(spark, sf).select(
         "url",
-        F.md5(T.card_prompt(text, NORMAL.generation_max_chars)).alias("card_md5"),
-        F.md5(T.card_prompt(text, FAST.generation_max_chars, True)).alias("grounded_md5"))
+        F.md5(T.card_prompt(F.col("text"), NORMAL.generation_max_chars)).alias("card_md5"),
+        F.md5(T.card_prompt(F.col("text"), FAST.generation_max_chars, True)).alias("grounded_md5"))
 
 
 def result_key(spark, sf):
     docs = views.decisions(spark, sf)
-    some_url = F.when(F.pmod("pos", F.lit(3)) != 0, url).otherwise("")
+    some_url = F.when(F.pmod("pos", F.lit(3)) != 0, F.col("url")).otherwise("")
     return docs.select(
         "pos", T.result_key(some_url, F.col("name"), F.col("document_date")).alias("key"),
         T.result_key(some_url, F.col("name"), F.col("document_date"), "local", True)
@@ -200,14 +199,14 @@ def _hits(spark, sf, **options):
 
 def cosine_topk(spark, sf):
     return _hits(spark, sf).select(
-        "query_id", "url", "stage1_rank", r6(F.col("stage1_score")).alias("stage1_score"))
+        "query_id", "url", "stage1_rank", "stage1_score")
 
 
 def cosine_topk_grid(spark, sf):
     """The same, by the shuffled way that serves more queries than can be broadcast."""
     hits = _hits(spark, sf, max_broadcast_queries=128, cell_vectors=128)
     return hits.select(
-        "query_id", "url", "stage1_rank", r6(F.col("stage1_score")).alias("stage1_score"))
+        "query_id", "url", "stage1_rank", "stage1_score")
 
 
 def cosine_topk_single(spark, sf):
@@ -217,8 +216,7 @@ def cosine_topk_single(spark, sf):
         vecs.select(F.posexplode("embedding").alias("i", "x"))
         .groupBy("i").agg(F.avg(F.col("x").cast("double")).alias("m")).orderBy("i"))
     q_vec = [row["m"] for row in mean.collect()]
-    return semantic_topk_single(vecs, q_vec, NORMAL.stage1_top_k).select(
-        "url", r6(F.col("stage1_score")).alias("stage1_score"))
+    return semantic_topk_single(vecs, q_vec, NORMAL.stage1_top_k)
 
 
 def hit_lookup(spark, sf):
@@ -261,7 +259,7 @@ def _scored(spark, sf):
     n = F.col("conv_id") * 7 + F.col("turn") * 3
     said = F.concat(F.lit("The appeal is "), F.get(F.array(
         F.lit("allowed"), F.lit("dismissed"), F.lit("heard")), F.pmod(n, F.lit(3)).cast("int")),
-        F.lit(". "), text)
+        F.lit(". "), F.col("text"))
     return turns.select(
         F.col("conv_id").alias("query_id"),
         F.concat(F.lit("turn-"), "conv_id", F.lit("-"), "turn").alias("url"),
@@ -274,10 +272,10 @@ def _scored(spark, sf):
 def rerank_topk(spark, sf):
     """Turns of a conversation ranked against its id as score; the stand-in scorer."""
     turns = table(spark, sf, "conversations")
-    first = turns.filter("turn = 0").select("conv_id", text.alias("query"))
+    first = turns.filter("turn = 0").select("conv_id", F.col("text").alias("query"))
     pairs = turns.join(first, "conv_id").select(
         F.col("conv_id").alias("query_id"), F.col("turn").alias("url"), "query",
-        text.alias("packed"), (F.col("turn") + 1).cast("int").alias("stage1_rank"))
+        F.col("text").alias("packed"), (F.col("turn") + 1).cast("int").alias("stage1_rank"))
     ranked = ranking.rerank_topk(pairs, models.lexical_overlap, FAST.stage2_top_k)
     return ranked.select("query_id", "url", "stage2_rank",
                          r6(F.col("reranker_score")).alias("reranker_score"))
@@ -306,7 +304,7 @@ def parse_year(spark, sf):
     """The first year named in every text of the documents and decisions."""
     return views.decisions(spark, sf).select(
         "url", A.parse_year(F.col("document_date")).alias("date_year"),
-        A.parse_year(text).alias("text_year"))
+        A.parse_year(F.col("text")).alias("text_year"))
 
 
 def recency(spark, sf):
@@ -325,12 +323,12 @@ def labels(spark, sf):
 
 def grounding(spark, sf):
     return views.decisions(spark, sf).select(
-        "url", A.citation_count(text).alias("citations"),
-        A.reasoning_hits(text).alias("reasoning"), r6(A.grounding_factor(text)).alias("factor"))
+        "url", A.citation_count(F.col("text")).alias("citations"),
+        A.reasoning_hits(F.col("text")).alias("reasoning"), r6(A.grounding_factor(F.col("text"))).alias("factor"))
 
 
 def outcome(spark, sf):
-    return views.decisions(spark, sf).select("url", A.outcome(text).alias("outcome"))
+    return views.decisions(spark, sf).select("url", A.outcome(F.col("text")).alias("outcome"))
 
 
 def assess(spark, sf):
@@ -347,7 +345,7 @@ def assess(spark, sf):
 
 def strip_boilerplate(spark, sf):
     return views.decisions(spark, sf).select(
-        "url", F.md5(X.strip_boilerplate(text)).alias("body_md5"))
+        "url", F.md5(X.strip_boilerplate(F.col("text"))).alias("body_md5"))
 
 
 def sections(spark, sf):
@@ -356,27 +354,27 @@ def sections(spark, sf):
 
 
 def pack_text(spark, sf):
-    docs = views.decisions(spark, sf).select("url", "text", X.parse_sections(text).alias("s"))
+    docs = views.decisions(spark, sf).select("url", "text", X.parse_sections(F.col("text")).alias("s"))
     packed = docs.select("url", *[
-        X.pack_sections(F.col("s"), text, budget).alias(f"p{budget}")
+        X.pack_sections(F.col("s"), F.col("text"), budget).alias(f"p{budget}")
         for budget in (300, 1000, FAST.pack_chars, NORMAL.pack_chars)])
     return packed.select("url", *[F.md5(c).alias(c) for c in packed.columns if c != "url"])
 
 
 def pack_text_strict(spark, sf):
     return views.decisions(spark, sf).select(
-        "url", F.md5(X.pack_text(text, 1000, strict_budget=True)).alias("p1000"))
+        "url", F.md5(X.pack_text(F.col("text"), 1000, strict_budget=True)).alias("p1000"))
 
 
 def truncate_analysis(spark, sf):
     """Every section of every decision cut to a third of its length."""
     secs = X.explode_sections(views.decisions(spark, sf))
     third = F.floor(F.length("text") / 3).cast("int")
-    return secs.select("url", "ord", F.md5(X.truncate_analysis(text, third)).alias("cut_md5"))
+    return secs.select("url", "ord", F.md5(X.truncate_analysis(F.col("text"), third)).alias("cut_md5"))
 
 
 def paragraph_markers(spark, sf):
-    marks = X.paragraph_markers(text)
+    marks = X.paragraph_markers(F.col("text"))
     return views.decisions(spark, sf).select("url", F.array_join(marks, "").alias("markers"))
 
 
@@ -411,7 +409,7 @@ def quality_report(spark, sf):
 
 def detect(spark, sf):
     return views.decisions(spark, sf).select(
-        "url", F.array_join(detect_terms(text), "|").alias("terms"))
+        "url", F.array_join(detect_terms(F.col("text")), "|").alias("terms"))
 
 
 def document_terms(spark, sf):
@@ -425,7 +423,7 @@ def term_frequency(spark, sf):
 def get_entry(spark, sf):
     """Every found term looked up in upper case."""
     terms = views.decisions(spark, sf).select(
-        "url", F.explode(detect_terms(text)).alias("found")).withColumn(
+        "url", F.explode(detect_terms(F.col("text"))).alias("found")).withColumn(
         "term", F.upper("found"))
     return joins.get_entry(terms).select("url", "term", "entry", "definition", "context")
 
@@ -433,7 +431,7 @@ def get_entry(spark, sf):
 def _raw_card(grounded: bool) -> Column:
     """A card as a model might return it: thinking first, then a greeting."""
     return F.concat(F.lit("<THINK>\nquiet\n</think>Here you are.\n"),
-                    C.extractive_card(text, grounded), F.lit("\n "))
+                    C.extractive_card(F.col("text"), grounded), F.lit("\n "))
 
 
 def sanitize_card(spark, sf):
@@ -457,7 +455,7 @@ def claim_sources(spark, sf):
 
 
 def claim_confidence(spark, sf):
-    cards = views.decisions(spark, sf).select("url", C.extractive_card(text, True).alias("card"))
+    cards = views.decisions(spark, sf).select("url", C.extractive_card(F.col("text"), True).alias("card"))
     return C.claim_sources(cards).groupBy("section", "confidence").agg(
         F.count(F.lit(1)).alias("claims"))
 
@@ -465,7 +463,7 @@ def claim_confidence(spark, sf):
 def generate_cards(spark, sf):
     """A card per distinct decision among twice as many results."""
     docs = views.decisions(spark, sf).select(
-        "url", "name", F.col("document_date").alias("date"), text.alias("full_text"))
+        "url", "name", F.col("document_date").alias("date"), F.col("text").alias("full_text"))
     cards = models.generate_cards(docs.unionByName(docs), max_chars=1_000_000_000)
     return cards.select("key", "url", F.md5("card").alias("card_md5"))
 
@@ -485,7 +483,7 @@ def missing_vectors(spark, sf):
 def new_decisions(spark, sf):
     """Decisions not in the store; every seventh has no url and is always new."""
     docs = views.decisions(spark, sf).withColumn(
-        "url", F.when(F.pmod("pos", F.lit(7)) != 0, url))
+        "url", F.when(F.pmod("pos", F.lit(7)) != 0, F.col("url")))
     return joins.new_decisions(docs, views.vectors(spark, sf)).select("pos", "url")
 
 
@@ -575,7 +573,7 @@ def encode_documents(spark, sf):
 def score_pairs(spark, sf):
     """Each turn against the turn before it, by a Python scorer."""
     turns = table(spark, sf, "conversations")
-    previous = turns.select("conv_id", (F.col("turn") + 1).alias("turn"), text.alias("query"))
+    previous = turns.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("text").alias("query"))
     pairs = turns.join(previous, ["conv_id", "turn"])
     scorer = models.Scorer(python=lambda queries, docs: [
         len(q) / (len(q) + len(d)) for q, d in zip(queries, docs)])

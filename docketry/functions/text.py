@@ -49,7 +49,26 @@ def display_snippet(text: Column, length: int = fixed.SNIPPET_LENGTH) -> Column:
 
 
 def score_percent(score: Column) -> Column:
-    return F.format_string("%.1f%%", score * 100)
+    """Score x 100 with one decimal and a percent sign.
+
+    Rounds the exact binary value, ties to even, as C and Python do; Spark's
+    own formatting rounds the printed decimal half up. The value is split so
+    that every step up to the comparison with the halfway point is exact.
+    """
+
+    def shown(value: Column) -> Column:
+        size = F.abs(value)
+        whole = F.floor(size)
+        part = size - whole
+        tenth = F.floor(part * 10)
+        coarse = F.floor(part * 2**26) / float(2**26)
+        above = (coarse * 20 - (tenth * 2 + 1)) + (part - coarse) * 20
+        up = (above > 0) | ((above == 0) & (tenth % 2 == 1))
+        tenths = (whole * 10 + tenth + up.cast("int")).cast("long")
+        return F.concat(F.when(value < 0, "-").otherwise(""), F.floor(tenths / 10).cast("string"),
+                        F.lit("."), (tenths % 10).cast("string"), F.lit("%"))
+
+    return let(score.cast("double") * 100, shown)
 
 
 def truncate_text(text: Column, max_chars: int = fixed.EMBED_MAX_CHARS) -> Column:
