@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from docketry.operators.models import encode, hashed_terms
 from docketry.operators.vector_blocks import prepare_vectors
+from docketry.sources.decisions import spread_small
 
 AS_OF_YEAR = 2026
 
@@ -59,7 +60,7 @@ def decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("Conclusion [7] "), _pick(PHRASES, d + 1), F.lit("\n"),
         F.when(F.pmod(d, F.lit(5)) == 0, FOOTNOTES).otherwise(""))
     year = F.lit(AS_OF_YEAR) - F.pmod(d, F.lit(20))
-    return table(spark, sf_dir, "documents").select(
+    return spread_small(table(spark, sf_dir, "documents"), "doc_id").select(
         d.alias("pos"),
         F.concat(F.lit("https://decisions.example/"), d.cast("string")).alias("url"),
         name.alias("name"),
@@ -92,7 +93,7 @@ def text_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def document_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stand-in vectors of all documents: hashed terms of the whole text, normalised."""
-    docs = table(spark, sf_dir, "documents").select(
+    docs = spread_small(table(spark, sf_dir, "documents"), "doc_id").select(
         F.col("doc_id").alias("pos"),
         F.concat(F.lit("https://decisions.example/"), F.col("doc_id").cast("string"))
         .alias("url"), "text")

@@ -48,6 +48,15 @@ REASONING_PATTERNS = [
     r"\bthe (law|test|criteria)\b",
     r"\bi (conclude|am persuaded)\b",
 ]
+# For each reasoning pattern, words of which a match has to contain one.
+REASONING_WORDS = [
+    ["i find"],
+    ["therefore"],
+    ["the evidence"],
+    ["satisfied"],
+    ["the law", "the test", "the criteria"],
+    ["i conclude", "i am persuaded"],
+]
 ALLOWED_PATTERN = r"\bappeal is allowed\b"
 DISMISSED_PATTERN = r"\bappeal is dismissed\b"
 

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -82,9 +84,11 @@ def _citations(lowered: Column) -> Column:
 
 
 def _reasoning(lowered: Column) -> Column:
+    """Kinds of reasoning phrase; a plain search for its words goes ahead of each pattern."""
     hits = F.lit(0)
-    for pattern in fixed.REASONING_PATTERNS:
-        hits = hits + lowered.rlike(UNICODE + pattern).cast("int")
+    for pattern, words in zip(fixed.REASONING_PATTERNS, fixed.REASONING_WORDS):
+        present = reduce(or_, [lowered.contains(w) for w in words])
+        hits = hits + (present & lowered.rlike(UNICODE + pattern)).cast("int")
     return hits
 
 

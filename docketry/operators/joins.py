@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, StringType
 
 from ..functions.glossary import detect_terms, glossary
 
@@ -13,10 +13,15 @@ BROADCAST_BYTES = 64 * 1024 * 1024
 
 
 def measured_bytes(df: DataFrame) -> int:
-    """Size of the values of a flat table: text bytes, and 16 for any other value."""
+    """Size of the values of a table: text bytes, and 16 for any other value or element."""
     width = F.lit(16 * len(df.columns)).cast("long")
     for field in df.schema.fields:
-        if isinstance(field.dataType, StringType):
+        if isinstance(field.dataType, ArrayType):
+            width = width + 16 * F.greatest(F.size(field.name), F.lit(0))
+            if isinstance(field.dataType.elementType, StringType):
+                text = F.array_join(field.name, "")
+                width = width + F.coalesce(F.octet_length(text), F.lit(0))
+        elif isinstance(field.dataType, StringType):
             width = width + F.coalesce(F.octet_length(field.name), F.lit(0))
     return df.agg(F.coalesce(F.sum(width), F.lit(0))).first()[0]
 

@@ -37,12 +37,20 @@ TERM_PATTERN = "[0-9a-zß-ÿ]+"
 
 
 class Scorer:
-    """A pair scorer, either as a column expression or as a Python function."""
+    """A pair scorer, either as a column expression or as a Python function.
 
-    def __init__(self, column: ColumnScorer | None = None, python: PythonScorer | None = None):
+    A column scorer may name what it needs of a text (``features``); that is
+    then computed once per query and once per document, not once per pair.
+    """
+
+    def __init__(self, column: ColumnScorer | None = None, python: PythonScorer | None = None,
+                 features: Callable[[Column], Column] | None = None):
         if (column is None) == (python is None):
             raise ValueError("give either a column scorer or a Python scorer")
+        if python is not None and features is not None:
+            raise ValueError("features belong to a column scorer")
         self.column, self.python = column, python
+        self.features = features or (lambda text: text)
 
 
 def _terms(text: Column) -> Column:
@@ -50,13 +58,12 @@ def _terms(text: Column) -> Column:
 
 
 def _overlap(query: Column, document: Column) -> Column:
-    terms = _terms(query)
-    shared = F.size(F.array_intersect(terms, _terms(document)))
-    return F.when(F.size(terms) > 0, shared / F.size(terms)).otherwise(F.lit(0.0))
+    shared = F.size(F.array_intersect(document, query))
+    return F.when(F.size(query) > 0, shared / F.size(query)).otherwise(F.lit(0.0))
 
 
 # STAND-IN for a pair-scoring model: the share of query terms the document has.
-lexical_overlap = Scorer(column=_overlap)
+lexical_overlap = Scorer(column=_overlap, features=_terms)
 
 
 def hashed_terms(dim: int = 64) -> Encoder:
@@ -116,10 +123,13 @@ def encode_queries(queries: DataFrame, encoder: Encoder, instruct: bool = True)
 
 
 def score_pairs(pairs: DataFrame, scorer: Scorer, query: str, document: str,
-                out: str = "reranker_score") -> DataFrame:
-    """Add one score per (query, document) row."""
+                out: str = "reranker_score", prepared: bool = False) -> DataFrame:
+    """Add one score per (query, document) row; ``prepared`` says both are features already."""
     if scorer.column is not None:
-        return pairs.withColumn(out, scorer.column(F.col(query), F.col(document)).cast("double"))
+        q, d = F.col(query), F.col(document)
+        if not prepared:
+            q, d = scorer.features(q), scorer.features(d)
+        return pairs.withColumn(out, scorer.column(q, d).cast("double"))
     names = pairs.columns
     q, d = names.index(query), names.index(document)
     schema = T.StructType([*pairs.schema.fields, T.StructField(out, T.DoubleType())])

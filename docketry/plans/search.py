@@ -10,13 +10,13 @@ from pyspark.sql import functions as F
 from ..functions.authority import grounding_factor, outcome
 from ..functions.sections import pack_text
 from ..functions.text import result_key, snippet
-from ..operators.joins import broadcast_within, hit_documents
+from ..operators.joins import BROADCAST_BYTES, broadcast_within, hit_documents, measured_bytes
 from ..operators.models import Encoder, Scorer, encode_queries, generate_cards, lexical_overlap
 from ..operators.ranking import (assign_rank, authority_rerank, outcome_diversity, rerank_topk)
 from ..operators.vector_blocks import semantic_topk
 from ..params import NORMAL, SearchParams
 from ..schemas import RESULT_COLUMNS
-from ..session import cut_lineage
+from ..session import cut_lineage, shuffle_partitions
 
 
 class SearchOutput(NamedTuple):
@@ -39,12 +39,21 @@ def rerank(queries: DataFrame, hits: DataFrame, documents: DataFrame, scorer: Sc
            params: SearchParams = NORMAL) -> DataFrame:
     """Stage 2: pack each hit document once, pair it with its queries, keep the best.
 
-    ``documents`` are the hit documents only.
+    ``documents`` are the hit documents only. Pairs for a Python scorer, which
+    is the costly kind, are spread evenly, since one document may be hit by
+    every query.
     """
-    packed = documents.select("url", pack_text(F.col("text"), params.pack_chars).alias("packed"))
-    asked = hits.join(broadcast_within(queries.select("query_id", "query")), "query_id")
-    pairs = packed.join(broadcast_within(asked), "url")
-    return rerank_topk(pairs, scorer, params.stage2_top_k)
+    packed = documents.select(
+        "url", scorer.features(pack_text(F.col("text"), params.pack_chars)).alias("packed"))
+    asked = queries.select("query_id", scorer.features(F.col("query")).alias("query"))
+    if measured_bytes(asked) <= BROADCAST_BYTES:
+        pairs = packed.join(broadcast_within(hits), "url").join(F.broadcast(asked), "query_id")
+    else:
+        # Narrow rows meet first, so that packed texts cross one shuffle, not two.
+        pairs = packed.join(hits.join(asked, "query_id"), "url")
+    if scorer.python is not None:
+        pairs = pairs.repartition(shuffle_partitions(pairs.sparkSession), "query_id", "url")
+    return rerank_topk(pairs, scorer, params.stage2_top_k, prepared=True)
 
 
 def assess_results(top: DataFrame, documents: DataFrame,
@@ -81,7 +90,9 @@ def search(queries: DataFrame, decisions: DataFrame, vectors: DataFrame, *,
     if encoder is not None:
         queries = cut_lineage(encode_queries(queries, encoder))
     hits = retrieve(queries, vectors, params)
-    documents = cut_lineage(hit_documents(hits, decisions))
+    # Spread by url: a scan of many files leaves a few hit documents in each task.
+    documents = cut_lineage(hit_documents(hits, decisions).repartition(
+        shuffle_partitions(decisions.sparkSession), "url"))
     top = cut_lineage(rerank(queries, hits, documents, scorer, params))
     assessed = cut_lineage(assess_results(top, documents, as_of_year))
     results = attach_text(assign_rank(assessed, params.landscape), documents)

@@ -24,6 +24,10 @@ def local_session(cpus: int | str = "*", memory: str = "8g", partitions: int = 8
     )
 
 
+def shuffle_partitions(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder the session names; a temporary one only where it names none."""
     sc = spark.sparkContext

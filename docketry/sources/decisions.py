@@ -60,6 +60,16 @@ def _with_file_position(raw: DataFrame) -> DataFrame:
     return tagged.join(files, "_file").withColumn("pos", pos).drop("_file", "_n", "_row")
 
 
+def spread_small(df: DataFrame, key: str) -> DataFrame:
+    """Spread a table of fewer files than cores over the cores; leave others alone.
+
+    One small file is one task, and text work is worth more than one core. A
+    large corpus has files enough and is not shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if len(df.inputFiles()) < cores else df
+
+
 def read_decisions(spark: SparkSession, path: str, max_rows: int | None = None) -> DataFrame:
     """Scan a Parquet corpus: check columns, drop blank texts, optionally the first rows."""
     raw = spark.read.parquet(path)
