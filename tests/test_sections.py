@@ -1,0 +1,175 @@
+import random
+
+import duckdb
+import pytest
+from pyspark.sql import functions as F
+
+from catalog import oracles
+from docketry.functions import sections as X
+from docketry.operators.profiles import section_profile, unique_headings
+
+HEADER = "Tribunal\nCitation: A v B, 2022\nDecision Content\nOn this page\nDecision Overview\n"
+MODERN = (
+    HEADER + "Decision [1] The appeal is dismissed.\nOverview\n[2] The claimant left work.\n"
+    "[3] The claimant asked for benefits.\nIssue [4] Was leaving the only choice?\n"
+    "Analysis [5] The rule first. [6] The facts next. [7] The facts again. [8] The result.\n"
+    "Conclusion [9] There is no entitlement.\nFootnote 1\nSection 1.\nFootnote 2\nSection 2.\n")
+OLDER = (
+    "Decision Content\nReasons and decision\nIntroduction [1] This is about a pension.\n"
+    "Issues [2] Was it severe?\nThe law and analysis [3] It was not.\nConclusion [4] Refused.")
+NO_HEADINGS = "Decision Content\n[1] One.\n[2] Two.\n[3] Three.\n[4] Four."
+CUSTOM = (
+    HEADER + "Severe [1] First limb.\nProlonged [2] Second limb.\n"
+    "What the Appellant must prove [3] Both.\nWhat the doctor says [4] Neither.")
+
+
+def shape(sections):
+    return [(s["name"], s["priority"], s["ord"]) for s in sections]
+
+
+def test_modern_layout(one):
+    (sections,) = one(X.parse_sections, [MODERN])
+    assert shape(sections) == [("Decision", 3, 0), ("Overview", 4, 1), ("Issue", 2, 2),
+                               ("Analysis", 1, 3), ("Conclusion", 3, 4)]
+    text = " ".join(s["text"] for s in sections)
+    assert "Citation" not in text and "Footnote" not in text and "Section 1" not in text
+    assert sections[1]["text"] == ("Overview\n[2] The claimant left work.\n"
+                                   "[3] The claimant asked for benefits.")
+
+
+def test_older_layout(one):
+    (sections,) = one(X.parse_sections, [OLDER])
+    assert shape(sections) == [("Introduction", 4, 0), ("Issues", 2, 1),
+                               ("The law and analysis", 1, 2), ("Conclusion", 3, 3)]
+
+
+def test_without_headings_empty_and_null(one):
+    whole, empty, blank, null = one(X.parse_sections, [NO_HEADINGS, "", "  \n", None])
+    assert shape(whole) == [("body", 7, 0)]
+    assert whole[0]["text"].startswith("[1] One.")
+    assert empty == blank == null == []
+
+
+def test_custom_headings(one):
+    (sections,) = one(X.parse_sections, [CUSTOM])
+    assert shape(sections) == [("Severe", 7, 0), ("Prolonged", 7, 1),
+                               ("What the Appellant must prove", 2, 2),
+                               ("What the doctor says", 6, 3)]
+
+
+def test_text_ahead_of_the_first_heading_is_dropped(one):
+    (sections,) = one(X.parse_sections, ["lead in\nAnalysis [1] Here."])
+    assert [s["text"] for s in sections] == ["Analysis [1] Here."]
+
+
+def test_a_line_feed_alone_starts_a_line(one):
+    text = "Analysis [1] a\rOverview [2] b Issue [3] c\u0085Conclusion [4] d\nEvidence [5] e"
+    (sections,) = one(X.parse_sections, [text])
+    assert [s["name"] for s in sections] == ["Analysis", "Evidence"]
+
+
+def test_heading_rules(one):
+    names = ["Law and Analysis", "ISSUES", "What I must decide", "Final decision", "Background",
+             "Applicable law", "Submissions", "Severe", "Issue and analysis"]
+    assert one(X.heading_priority, names) == [1, 2, 2, 3, 4, 5, 6, 7, 1]
+
+
+def test_strip_boilerplate(one):
+    texts = [
+        "a Decision Content b", "On this page\nlist\nrest", "On this page\nonly line",
+        "x On this page tail", " Reasons and decision  next", "kept Reasons and decision",
+        "body\nFootnote 1\nnote\nFootnote 1\nmore", "body\nFootnote 12\n", "　 x \x1c"]
+    assert one(X.strip_boilerplate, texts) == [
+        "b", "rest", "only line", "tail", "next", "kept Reasons and decision", "body",
+        "body\nFootnote 12", "x"]
+
+
+def test_paragraph_markers(one):
+    assert one(X.paragraph_markers, ["a [1] b [22] [x] [3", ""]) == [["[1]", "[22]"], []]
+
+
+def test_truncate_analysis(one):
+    long = "Analysis " + " ".join(f"[{i}] Paragraph number {i} says something." for i in range(49))
+    short = "Analysis [1] " + "word " * 30 + "[2] end"
+
+    def cut(budget):
+        return lambda t: X.truncate_analysis(t, F.lit(budget))
+
+    (result,) = one(cut(300), [long])
+    assert len(result) == 300 and result.startswith("Analysis [0]")
+    assert " [...] [47] Paragraph number 47" in result
+    assert one(cut(20), [short]) == [short[:20]]
+    for budget in (0, 1, 5, 7, 8, 9, 12):
+        (result,) = one(cut(budget), [long])
+        assert len(result) == budget
+    assert one(cut(10_000), [long]) == [long]
+
+
+@pytest.mark.parametrize("budget", [100_000, 500, 300, 200, 100, 20, 5])
+def test_packing_stays_in_the_budget_when_labels_count(one, budget):
+    texts = [MODERN, OLDER, NO_HEADINGS, CUSTOM, "", "A" * 500]
+    for packed in one(lambda t: X.pack_text(t, budget, strict_budget=True), texts):
+        assert len(packed) <= budget
+
+
+def test_packing(one):
+    pack = {b: one(lambda t, b=b: X.pack_text(t, b), [MODERN])[0] for b in (100_000, 160, 4)}
+    assert pack[100_000].startswith("[Decision] Decision [1] The appeal is dismissed.\n\n")
+    assert pack[100_000].count("\n\n[") == 4
+    # The most salient sections win and come back in document order.
+    assert pack[160] == (
+        "[Decision] D\n\n[Issue] Issue [4] Was leaving the only choice?\n\n[Analysis] Analysis "
+        "[5] The rule first. [6] The facts next. [7] The facts again. [8] The result.")
+    assert pack[4] == ""
+    assert one(lambda t: X.pack_text(t, 100), ["", " \n"]) == ["", " \n"]
+
+
+def test_fit_ignores_labels_by_default(one):
+    text = "Analysis [1] abc\nIssue [2] def"
+    budget = len("Analysis [1] abc") + len("Issue [2] def") + 2
+    loose, strict = (one(lambda t, s=s: X.pack_text(t, budget, s), [text])[0]
+                     for s in (False, True))
+    assert len(loose) > budget >= len(strict)
+
+
+def random_text(rng: random.Random) -> str:
+    names = ["Decision", "Overview", "Issue", "Analysis", "Law and analysis", "Conclusion",
+             "Evidence", "The law", "Severe", "What the Minister must prove"]
+    parts = [rng.choice(["", HEADER, "Decision Content\n", "lead in\n"])]
+    for n in range(rng.randint(0, 8)):
+        if rng.random() < 0.8:
+            parts.append(f"{rng.choice(names)}{rng.choice([' ', chr(10), ''])}")
+        for _ in range(rng.randint(1, 5)):
+            words = [rng.choice(["été", "claim", "😀", "naïve", "work", "it's"])
+                     for _ in range(rng.randint(0, 30))]
+            parts.append(f"[{rng.randint(1, 200)}] {' '.join(words)} ")
+        parts.append(rng.choice(["\n", "\n\n", " "]))
+    parts.append(rng.choice(["", "\nFootnote 1\nnote"]))
+    return "".join(parts)
+
+
+def test_packing_agrees_with_sql_on_random_decisions(spark):
+    """The fold against the recursive SQL twin, over many layouts and budgets."""
+    rng = random.Random(7)
+    texts = [(str(i), random_text(rng)) for i in range(300)]
+    budgets = [0, 8, 12, 40, 90, 200, 700, 5000]
+    df = spark.createDataFrame(texts, "url string, text string").repartition(4)
+    mine = {r["url"]: r for r in df.select("url", *[
+        X.pack_text(F.col("text"), b, s).alias(f"p{b}_{int(s)}")
+        for b in budgets for s in (False, True)]).collect()}
+    con = duckdb.connect()
+    con.execute("create table src (url varchar, text varchar)")
+    con.executemany("insert into src values (?, ?)", texts)
+    for b in budgets:
+        for s in (False, True):
+            sql = oracles.with_(oracles.sections_of("src"), oracles.packed_of("p", b, strict=s))
+            for url, packed in con.execute(sql + "select url, packed from p").fetchall():
+                assert mine[url][f"p{b}_{int(s)}"] == packed, (url, b, s)
+
+
+def test_profiles(spark):
+    df = spark.createDataFrame([("m", MODERN), ("o", OLDER)], "url string, text string")
+    rows = section_profile(df).filter("url = 'm'").orderBy("place").collect()
+    assert [r["name"] for r in rows] == ["Analysis", "Issue", "Decision", "Conclusion", "Overview"]
+    assert unique_headings(df).first()[0] == 8
+    assert unique_headings(df, approximate=True).first()[0] == pytest.approx(8, abs=1)
