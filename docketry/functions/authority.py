@@ -106,7 +106,8 @@ def grounding_factor(text: Column) -> Column:
     """Weight in [0.75, 1] for an analysis section, citations and reasoning phrases."""
 
     def factor(lowered: Column) -> Column:
-        has_analysis = lowered.rlike(UNICODE + fixed.ANALYSIS_PATTERN)
+        has_analysis = lowered.contains("analysis") & lowered.rlike(
+            UNICODE + fixed.ANALYSIS_PATTERN)
         cap = F.lit(fixed.GROUNDING_PART_CAP)
         total = (
             F.lit(fixed.GROUNDING_BASE)

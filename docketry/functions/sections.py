@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import fixed_values as fixed
 from ..schemas import SECTIONS
-from .text import SPACE, UNICODE, let, strip
+from .text import SPACE, UNICODE, let, strip, strip_left
 
 # m: ^ at each line; d: only \n ends a line; U: Unicode classes.
 _HEADING_START = rf"(?mdU)^(?={fixed.HEADING_PATTERN}{SPACE}*{fixed.PARAGRAPH_PATTERN})"
-_HEADING_NAME = rf"(?U)\A({fixed.HEADING_PATTERN}){SPACE}*(?={fixed.PARAGRAPH_PATTERN})"
+# The heading of a part, looked for in the text up to its first closing bracket.
+_HEADING_NAME = rf"(?U)\A({fixed.HEADING_PATTERN}){SPACE}*\[\d+\z"
 _MARKER = UNICODE + fixed.PARAGRAPH_PATTERN
 
 
@@ -24,13 +27,44 @@ def heading_priority(name: Column) -> Column:
     return rules.otherwise(fixed.DEFAULT_PRIORITY)
 
 
+def _rest(text: Column, start: Column) -> Column:
+    return F.substring(text, start, F.length(text))
+
+
+def _behind(text: Column, phrase: str, skip: Callable[[Column], Column] | None = None) -> Column:
+    """The text behind the first ``phrase``, passed through ``skip``; else the text as it is."""
+
+    def cut(t: Column) -> Column:
+        rest = _rest(t, F.locate(phrase, t) + len(phrase))
+        return F.when(t.contains(phrase), let(rest, skip) if skip else rest).otherwise(t)
+
+    return let(text, cut)
+
+
+def _skip_contents(rest: Column) -> Column:
+    """Drop the end of the contents line and the line with the list of headings."""
+    line_end = F.locate("\n", rest)
+    list_end = F.position(F.lit("\n"), rest, line_end + 1)
+    cut = F.when(line_end == 0, 0).when(list_end == 0, line_end).otherwise(list_end)
+    return _rest(rest, cut + 1)
+
+
+def _skip_bridge(text: Column) -> Column:
+    def cut(shown: Column) -> Column:
+        rest = _rest(shown, F.lit(len(fixed.BRIDGE_LINE) + 1))
+        return F.when(shown.startswith(fixed.BRIDGE_LINE), strip_left(rest)).otherwise(text)
+
+    return let(strip_left(text), cut)
+
+
 def strip_boilerplate(text: Column) -> Column:
-    """Drop the header, the contents list, the bridge line and the footnote block."""
-    body = F.regexp_replace(text, rf"(?s)\A.*?{fixed.CONTENT_MARKER}", "")
-    body = F.regexp_replace(
-        body, rf"(?s)\A.*?{fixed.CONTENTS_LINE}(?:[^\n]*\n[^\n]*\n|[^\n]*\n|)", "")
-    body = F.regexp_replace(body, rf"(?U)\A{SPACE}*{fixed.BRIDGE_LINE}{SPACE}*", "")
-    return strip(F.substring_index(body, fixed.FOOTNOTE_START, 1))
+    """Drop the header, the contents list, the bridge line and the footnote block.
+
+    Plain searches only: most of a decision is text that no pattern need see.
+    """
+    body = _behind(text, fixed.CONTENT_MARKER)
+    body = _behind(body, fixed.CONTENTS_LINE, _skip_contents)
+    return strip(F.substring_index(let(body, _skip_bridge), fixed.FOOTNOTE_START, 1))
 
 
 def paragraph_markers(text: Column) -> Column:
@@ -47,7 +81,8 @@ def parse_sections(text: Column) -> Column:
 
     def from_parts(parts: Column) -> Column:
         named = F.transform(parts, lambda part: F.struct(
-            strip(F.regexp_extract(part, _HEADING_NAME, 1)).alias("name"),
+            strip(F.regexp_extract(F.substring_index(part, "]", 1), _HEADING_NAME, 1))
+            .alias("name"),
             strip(part).alias("text")))
         # Text ahead of the first heading has no name and is left out.
         return F.filter(named, lambda s: s["name"] != "")

@@ -34,6 +34,10 @@ def strip(text: Column) -> Column:
     return F.btrim(text, F.lit(WHITESPACE))
 
 
+def strip_left(text: Column) -> Column:
+    return F.ltrim(text, F.lit(WHITESPACE))
+
+
 def has_text(text: Column) -> Column:
     """True when the text is not null and not white space only."""
     return text.isNotNull() & text.rlike(UNICODE + r"[^\s\x1c-\x1f]")
