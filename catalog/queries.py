@@ -540,10 +540,11 @@ def plan_route(spark, sf):
 
 
 def _delta(spark, sf, threshold):
+    """Whole texts are encoded: the stand-in has no context limit to cut them for."""
     path = scratch(spark, "store")
     vector_store.append_vectors(views.vectors(spark, sf), path)
     index.delta_index(views.decisions(spark, sf), path, models.hashed_terms(64),
-                      threshold=threshold)
+                      threshold=threshold, max_chars=None)
     return vector_store.read_vectors(spark, path).select("url", "pos", *_vector_digest(
         "embedding"))
 

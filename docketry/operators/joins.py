@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
@@ -70,13 +70,23 @@ def new_decisions(decisions: DataFrame, store: DataFrame) -> DataFrame:
     return decisions.join(store.select("url"), "url", "left_anti")
 
 
-def hit_documents(hits: DataFrame, decisions: DataFrame) -> DataFrame:
+def url_bucket(buckets: int) -> Column:
+    """The bucket of a url, as ``sources.decisions.write_bucketed`` lays a corpus out."""
+    return F.pmod(F.xxhash64("url"), F.lit(buckets)).cast("int")
+
+
+def hit_documents(hits: DataFrame, decisions: DataFrame, buckets: int | None = None) -> DataFrame:
     """The decisions that any query hit, each once: one pass over the texts.
 
     ``hits`` is narrow and materialised. Its distinct urls are broadcast when
-    they are few enough, so texts are filtered where they are read.
+    they are few enough, so texts are filtered where they are read. For a
+    corpus laid out in ``buckets``, folders without a hit are not read at all.
     """
-    return decisions.join(broadcast_within(hits.select("url").distinct()), "url", "left_semi")
+    urls = hits.select("url").distinct()
+    if buckets is not None:
+        touched = urls.select(url_bucket(buckets).alias("b")).distinct().collect()
+        decisions = decisions.filter(F.col("url_bucket").isin([r["b"] for r in touched]))
+    return decisions.join(broadcast_within(urls), "url", "left_semi")
 
 
 def hit_lookup(hits: DataFrame, decisions: DataFrame) -> DataFrame:

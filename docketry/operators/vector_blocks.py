@@ -73,10 +73,11 @@ def prepare_vectors(df: DataFrame, vec: str = "embedding") -> DataFrame:
 class _TopK:
     """The k best (score descending, url ascending) per query seen so far in one task."""
 
-    def __init__(self, ids: np.ndarray, matrix: np.ndarray, k: int):
+    def __init__(self, ids: np.ndarray, matrix: np.ndarray, k: int, floor: np.ndarray):
         self.ids, self.k = ids, k
         self.queries = _prepare(matrix).astype(np.float64)
-        self.floor = np.full(len(ids), -np.inf)
+        # A vector below its query's floor cannot be among the k best.
+        self.floor = floor.copy()
         self.best = None
 
     def add(self, urls: pa.Array, matrix: np.ndarray) -> None:
@@ -115,14 +116,19 @@ class _TopK:
             self.best.column("s").combine_chunks()], schema=_HIT_ARROW)
 
 
+def _floors(column: pa.ChunkedArray) -> np.ndarray:
+    return np.nan_to_num(column.to_numpy(zero_copy_only=False).astype(float), nan=-np.inf)
+
+
 def _broadcast_hits(head: pa.Table, vectors: DataFrame, k: int) -> DataFrame:
     """All queries to every task; each task emits at most k rows per query."""
-    payload = vectors.sparkSession.sparkContext.broadcast(
-        (head.column("query_id").to_numpy(), _matrix(head.column("q_vec"))))
+    payload = vectors.sparkSession.sparkContext.broadcast((
+        head.column("query_id").to_numpy(), _matrix(head.column("q_vec")),
+        _floors(head.column("floor"))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, matrix = payload.value
-        top = _TopK(ids, matrix, k)
+        ids, matrix, floor = payload.value
+        top = _TopK(ids, matrix, k, floor)
         for batch in batches:
             top.add(batch.column(0), _matrix(batch.column(1)))
         found = top.hits()
@@ -147,16 +153,18 @@ def _grid_hits(queries: DataFrame, vectors: DataFrame, k: int, query_block: int,
         F.pmod(F.xxhash64("url", "embedding"), F.lit(n_d)).cast("int").alias("_d"),
         F.explode(F.sequence(F.lit(0), F.lit(n_q - 1))).alias("_q"))
     right = queries.select(
-        "query_id", "q_vec",
+        "query_id", "q_vec", "floor",
         F.pmod(F.xxhash64("query_id"), F.lit(n_q)).cast("int").alias("_q"),
         F.explode(F.sequence(F.lit(0), F.lit(n_d - 1))).alias("_d"))
 
     def cell(docs: pa.Table, asked: pa.Table) -> pa.Table:
         if not docs.num_rows or not asked.num_rows:
             return _HIT_ARROW.empty_table()
-        top = _TopK(asked.column("query_id").to_numpy(), _matrix(asked.column("q_vec")), k)
+        top = _TopK(asked.column("query_id").to_numpy(), _matrix(asked.column("q_vec")), k,
+                    _floors(asked.column("floor")))
         top.add(docs.column("url").combine_chunks(), _matrix(docs.column("embedding")))
-        return pa.Table.from_batches([top.hits()])
+        found = top.hits()
+        return _HIT_ARROW.empty_table() if found is None else pa.Table.from_batches([found])
 
     return left.groupBy("_q", "_d").cogroup(right.groupBy("_q", "_d")).applyInArrow(
         cell, _HIT_SCHEMA)
@@ -180,7 +188,16 @@ def best_per_query(hits: DataFrame, k: int, buckets: int = 16) -> DataFrame:
     )
 
 
+def _partial_hits(asked: DataFrame, vectors: DataFrame, k: int, max_broadcast_queries: int,
+                  cell_vectors: int) -> DataFrame:
+    head = asked.limit(max_broadcast_queries + 1).toArrow()
+    if head.num_rows <= max_broadcast_queries:
+        return _broadcast_hits(head, vectors, k)
+    return _grid_hits(asked, vectors, k, max_broadcast_queries, cell_vectors)
+
+
 def semantic_topk(queries: DataFrame, vectors: DataFrame, k: int, *,
+                  seed: DataFrame | None = None,
                   max_broadcast_queries: int = BROADCAST_QUERIES,
                   cell_vectors: int = CELL_VECTORS) -> DataFrame:
     """The k nearest documents of every query: query_id, url, stage1_score, stage1_rank.
@@ -189,14 +206,20 @@ def semantic_topk(queries: DataFrame, vectors: DataFrame, k: int, *,
     have nine places; ties go by url; a score that is not finite counts as -1.
     Up to ``max_broadcast_queries`` queries are sent to the tasks that scan
     the vectors; more queries take the grid.
+
+    ``seed`` may be any part of ``vectors``, such as one file of a large store.
+    It is searched first, and its k-th score per query is a lower bound for the
+    whole store, so the tasks of the full scan keep only what may still get in.
     """
     asked = queries.select(F.col("query_id").cast("long"), "q_vec")
-    head = asked.limit(max_broadcast_queries + 1).toArrow()
-    if head.num_rows <= max_broadcast_queries:
-        found = _broadcast_hits(head, vectors, k)
-    else:
-        found = _grid_hits(asked, vectors, k, max_broadcast_queries, cell_vectors)
-    return best_per_query(found, k)
+    limits = (max_broadcast_queries, cell_vectors)
+    no_floor = asked.withColumn("floor", F.lit(None).cast("double"))
+    if seed is None:
+        return best_per_query(_partial_hits(no_floor, vectors, k, *limits), k)
+    bounds = best_per_query(_partial_hits(no_floor, seed, k, *limits), k).filter(
+        F.col("stage1_rank") == k).select("query_id", F.col("stage1_score").alias("floor"))
+    bounded = asked.join(bounds, "query_id", "left").select("query_id", "q_vec", "floor")
+    return best_per_query(_partial_hits(bounded, vectors, k, *limits), k)
 
 
 def semantic_topk_single(vectors: DataFrame, q_vec: list[float], k: int) -> DataFrame:

@@ -26,13 +26,14 @@ class SearchOutput(NamedTuple):
     summary: DataFrame
 
 
-def retrieve(queries: DataFrame, vectors: DataFrame, params: SearchParams = NORMAL) -> DataFrame:
+def retrieve(queries: DataFrame, vectors: DataFrame, params: SearchParams = NORMAL,
+             seed: DataFrame | None = None) -> DataFrame:
     """Stage 1, materialised: at most k narrow rows per query.
 
     All later stages and the summary start from these rows, and a lost executor
     cannot send the job back to the vector scan.
     """
-    return cut_lineage(semantic_topk(queries, vectors, params.stage1_top_k))
+    return cut_lineage(semantic_topk(queries, vectors, params.stage1_top_k, seed=seed))
 
 
 def rerank(queries: DataFrame, hits: DataFrame, documents: DataFrame, scorer: Scorer,
@@ -79,19 +80,22 @@ def attach_text(ranked: DataFrame, documents: DataFrame) -> DataFrame:
 
 def search(queries: DataFrame, decisions: DataFrame, vectors: DataFrame, *,
            scorer: Scorer = lexical_overlap, params: SearchParams = NORMAL,
-           encoder: Encoder | None = None, as_of_year: int | None = None) -> SearchOutput:
+           encoder: Encoder | None = None, as_of_year: int | None = None,
+           seed: DataFrame | None = None, buckets: int | None = None) -> SearchOutput:
     """Answer many queries at once.
 
     ``queries``: query_id, query, and q_vec unless ``encoder`` is given.
     ``decisions``: one row per url. ``vectors``: url and embedding. Texts are
     read in one pass, for hit documents only; stages 1 and 2 are materialised.
     A query without hits gets a status in ``summary`` and no result rows.
+    ``seed`` (see ``semantic_topk``) and ``buckets`` (see ``hit_documents``)
+    save work on very large tables and change no result.
     """
     if encoder is not None:
         queries = cut_lineage(encode_queries(queries, encoder))
-    hits = retrieve(queries, vectors, params)
+    hits = retrieve(queries, vectors, params, seed)
     # Spread by url: a scan of many files leaves a few hit documents in each task.
-    documents = cut_lineage(hit_documents(hits, decisions).repartition(
+    documents = cut_lineage(hit_documents(hits, decisions, buckets).repartition(
         shuffle_partitions(decisions.sparkSession), "url"))
     top = cut_lineage(rerank(queries, hits, documents, scorer, params))
     assessed = cut_lineage(assess_results(top, documents, as_of_year))

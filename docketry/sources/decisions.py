@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import fixed_values as fixed
 from ..functions.text import has_text
+from ..operators.joins import url_bucket
 from ..schemas import require_columns
 
 # Bits of ``pos`` that count rows inside one file.
@@ -76,3 +77,13 @@ def read_decisions(spark: SparkSession, path: str, max_rows: int | None = None)
     require_columns(raw, fixed.REQUIRED_COLUMNS)
     decisions = drop_blank_text(candidate_projection(_with_file_position(raw)))
     return decisions if max_rows is None else dev_limit(decisions, max_rows)
+
+
+def write_bucketed(decisions: DataFrame, path: str, buckets: int) -> None:
+    """Write a corpus in folders by url bucket, for searches that touch few documents.
+
+    Spark balances the files, so a bucket of much text becomes several.
+    """
+    tagged = decisions.withColumn("url_bucket", url_bucket(buckets))
+    tagged.hint("rebalance", F.col("url_bucket")).write.mode("error").partitionBy(
+        "url_bucket").parquet(path)

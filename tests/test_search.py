@@ -1,11 +1,17 @@
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from docketry.operators import models
 from docketry.params import FAST, NORMAL
+from docketry.operators.joins import hit_documents
 from docketry.plans import search as S
 from docketry.schemas import RESULT_COLUMNS
+from docketry.sources.decisions import write_bucketed
+
+from .conftest import plan_of
 
 QUERIES = ["left my job", "pension and disability", "late application for benefits"]
 OUTCOMES = ["allowed", "dismissed", "considered"]
@@ -82,6 +88,21 @@ def test_the_shuffled_joins_give_the_same(world, monkeypatch):
     assert sorted(run(world).results.collect()) == expected
 
 
+def test_buckets_and_seed_give_the_same(world, tmp_path, spark):
+    queries, decisions, vectors, encoder = world
+    expected = sorted(run(world).results.collect())
+    path = str(tmp_path / "corpus")
+    write_bucketed(decisions, path, 16)
+    laid_out = spark.read.parquet(path)
+    out = S.search(queries, laid_out, vectors, encoder=encoder, as_of_year=2026, buckets=16,
+                   seed=vectors.filter("pos < 20"))
+    assert sorted(out.results.collect()) == expected
+    one = spark.createDataFrame([("u7",)], "url string")
+    found = hit_documents(one, laid_out, 16)
+    assert [r["url"] for r in found.collect()] == ["u7"]
+    assert re.search(r"PartitionFilters: \[[^]]*url_bucket", plan_of(found))
+
+
 def test_python_scorer(world):
     scorer = models.Scorer(python=lambda queries, docs: [1 / (1 + len(d)) for d in docs])
     rows = run(world, scorer=scorer).results.collect()

@@ -122,6 +122,19 @@ def test_topk_equals_brute_force(spark, options):
         check(collected(semantic_topk(asked, vectors, k, **options)), brute(docs, queries, k))
 
 
+@pytest.mark.parametrize("options", [{}, {"max_broadcast_queries": 3, "cell_vectors": 40}])
+def test_a_seed_changes_nothing(spark, options):
+    rng = np.random.default_rng(8)
+    docs = [(f"d{i:03}", rng.normal(size=8)) for i in range(150)]
+    docs += [(f"c{i:03}", docs[0][1]) for i in range(50)]
+    queries = [docs[0][1], *rng.normal(size=(6, 8))]
+    asked, vectors = frames(spark, docs, queries)
+    for prefix in ("d", "c", "d00", "none"):
+        seed = vectors.filter(F.col("url").startswith(prefix))
+        check(collected(semantic_topk(asked, vectors, 12, seed=seed, **options)),
+              brute(docs, queries, 12))
+
+
 def test_bad_values_in_query_and_documents(spark):
     docs = [("a", [1.0, 0.0]), ("b", [INF, 1.0]), ("c", [0.0, NAN])]
     asked, vectors = frames(spark, docs, [[INF, NAN]])
