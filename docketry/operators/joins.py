@@ -4,36 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType
 
 from ..functions.glossary import detect_terms, glossary
-
-# Largest table, in bytes of its values, that is sent to every executor.
-BROADCAST_BYTES = 64 * 1024 * 1024
-
-
-def measured_bytes(df: DataFrame) -> int:
-    """Size of the values of a table: text bytes, and 16 for any other value or element."""
-    width = F.lit(16 * len(df.columns)).cast("long")
-    for field in df.schema.fields:
-        if isinstance(field.dataType, ArrayType):
-            width = width + 16 * F.greatest(F.size(field.name), F.lit(0))
-            if isinstance(field.dataType.elementType, StringType):
-                text = F.array_join(field.name, "")
-                width = width + F.coalesce(F.octet_length(text), F.lit(0))
-        elif isinstance(field.dataType, StringType):
-            width = width + F.coalesce(F.octet_length(field.name), F.lit(0))
-    return df.agg(F.coalesce(F.sum(width), F.lit(0))).first()[0]
-
-
-def broadcast_within(df: DataFrame, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """Ask for a broadcast only if ``df`` is measured to be small enough.
-
-    Beyond that the join is left to Spark, which shuffles both sides and splits
-    skewed keys. Meant for flat tables that are materialised or cheap to read.
-    """
-    return F.broadcast(df) if measured_bytes(df) <= max_bytes else df
-
+from .sizes import broadcast_within
 
 def align(decisions: DataFrame, vectors: DataFrame, check: bool = True) -> DataFrame:
     """Vectors of the decisions, with the decisions' positions: pos, url, embedding.

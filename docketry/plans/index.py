@@ -11,8 +11,9 @@ from .. import fixed_values as fixed
 from ..operators.batching import (assign_chunks, chunk_partitions, matching_keys, pending,
                                   plan_route)
 from ..operators.dedupe import dedupe_keep_first
-from ..operators.joins import align, broadcast_within, new_decisions
+from ..operators.joins import align, new_decisions
 from ..operators.models import Encoder, encode
+from ..operators.sizes import broadcast_within
 from ..sources.vector_store import (append_vectors, empty_vectors, read_chunks, read_vectors,
                                     store_exists, write_chunks, write_vectors)
 

@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 from ..functions.authority import grounding_factor, outcome
 from ..functions.sections import pack_text
 from ..functions.text import result_key, snippet
-from ..operators.joins import BROADCAST_BYTES, broadcast_within, hit_documents, measured_bytes
+from ..operators.joins import hit_documents
 from ..operators.models import Encoder, Scorer, encode_queries, generate_cards, lexical_overlap
 from ..operators.ranking import (assign_rank, authority_rerank, outcome_diversity, rerank_topk)
+from ..operators.sizes import BROADCAST_BYTES, broadcast_within, measured_bytes
 from ..operators.vector_blocks import semantic_topk
 from ..params import NORMAL, SearchParams
 from ..schemas import RESULT_COLUMNS

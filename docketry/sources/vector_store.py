@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.dedupe import dedupe_keep_first, duplicate_counts
+from ..operators.dedupe import drop_repeats
 
 _COLUMNS = ["pos", "url", "embedding"]
 
@@ -59,8 +59,8 @@ def validate_vectors(vectors: DataFrame) -> DataFrame:
 def read_vectors(spark: SparkSession, path: str, check: bool = True) -> DataFrame:
     """Read a store (or a plain Parquet folder), check it, and drop duplicate urls.
 
-    The duplicate count looks at the url column only; the wide rows are
-    shuffled only when there is something to drop. ``check=False`` leaves out
+    Duplicates are found by key and position; the vectors themselves are not
+    shuffled (see ``drop_repeats``). ``check=False`` leaves out
     the pass over the vectors, for jobs that need keys only.
     """
     segments = sorted(n for n, committed in _segments(spark, path).items() if committed)
@@ -71,9 +71,7 @@ def read_vectors(spark: SparkSession, path: str, check: bool = True) -> DataFram
         vectors = spark.read.parquet(path).select(*_COLUMNS)
     if check:
         validate_vectors(vectors)
-    if duplicate_counts(vectors, "url").first()["duplicates"]:
-        vectors = dedupe_keep_first(vectors, "url", "pos")
-    return vectors
+    return drop_repeats(vectors, "url", "pos")
 
 
 def append_vectors(vectors: DataFrame, path: str) -> int:

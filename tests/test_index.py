@@ -9,6 +9,8 @@ from docketry.plans.index import build_index, delta_index, plan_delta
 from docketry.sources.vector_store import append_vectors, read_vectors, write_chunks
 from docketry.streaming.delta import index_stream
 
+from .conftest import plan_of
+
 DECISIONS = "pos long, url string, name string, document_date string, text string"
 
 
@@ -152,6 +154,24 @@ def test_dedupe_and_counts(spark):
     assert tuple(dedupe.duplicate_counts(df.filter("false"), "url").first()) == (0, 0, 0)
 
 
+def test_drop_repeats_equals_keep_first(spark, tmp_path):
+    """No repeats, a hot key, null keys, ties, and too many repeats to broadcast."""
+    cases = {
+        "none": [(i, f"u{i}") for i in range(20)],
+        "hot": [(i, "hot" if i % 3 == 0 else f"u{i}") for i in range(60)],
+        "null": [(i, None if i % 2 else f"u{i}") for i in range(20)],
+        "tied": [(1, "a"), (1, "a"), (2, "a"), (3, "b")],
+    }
+    for rows in cases.values():
+        df = spark.createDataFrame(rows, "pos long, url string")
+        expected = sorted(map(str, dedupe.dedupe_keep_first(df, "url").collect()))
+        for max_bytes in (10**6, 0):
+            out = dedupe.drop_repeats(df, "url", max_bytes=max_bytes)
+            assert sorted(map(str, out.collect())) == expected
+    wide = spark.createDataFrame(cases["hot"], "pos long, url string")
+    assert "Window" not in plan_of(dedupe.drop_repeats(wide, "url"))
+
+
 def test_align(spark, tmp_path):
     df, store = corpus(spark, 4), store_of(spark, ["u3", "u1", "x"])
     rows = joins.align(df, store).orderBy("pos").collect()

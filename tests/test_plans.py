@@ -5,7 +5,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from docketry.operators import dedupe, joins
+from docketry.operators import dedupe, joins, sizes
 from docketry.operators.vector_blocks import semantic_topk, semantic_topk_single
 
 from .conftest import plan_of
@@ -78,8 +78,8 @@ def test_hit_documents_filter_where_texts_are_read(tables, spark):
 
 def test_large_sides_are_not_broadcast(tables):
     decisions, vectors = tables
-    small = joins.broadcast_within(decisions.select("url"))
-    large = joins.broadcast_within(decisions.select("url"), max_bytes=1000)
+    small = sizes.broadcast_within(decisions.select("url"))
+    large = sizes.broadcast_within(decisions.select("url"), max_bytes=1000)
     assert "strategy=broadcast" in plan_of(small)
     assert "strategy=broadcast" not in plan_of(large)
 
@@ -87,4 +87,4 @@ def test_large_sides_are_not_broadcast(tables):
 def test_measured_size_counts_text_and_elements(spark):
     df = spark.createDataFrame([("abé", ["xy", "z"], [1.0]), (None, None, None)],
                                "s string, a array<string>, f array<float>")
-    assert joins.measured_bytes(df) == 2 * 48 + 4 + 32 + 3 + 16
+    assert sizes.measured_bytes(df) == 2 * 48 + 4 + 32 + 3 + 16

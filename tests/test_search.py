@@ -81,9 +81,9 @@ def test_one_query_at_a_time_gives_the_same(world):
 def test_the_shuffled_joins_give_the_same(world, monkeypatch):
     """With nothing small enough to broadcast, the results do not change."""
     expected = sorted(run(world).results.collect())
-    from docketry.operators import joins
+    from docketry.operators import sizes
 
-    monkeypatch.setattr(joins.broadcast_within, "__defaults__", (-1,))
+    monkeypatch.setattr(sizes.broadcast_within, "__defaults__", (-1,))
     monkeypatch.setattr(S, "BROADCAST_BYTES", -1)
     assert sorted(run(world).results.collect()) == expected
 
