@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .. import fixed_values as fixed
 from ..functions.authority import grounding_factor, outcome
 from ..functions.sections import pack_text
 from ..functions.text import result_key, snippet
+from ..operators.dedupe import dedupe_keep_first
 from ..operators.joins import hit_documents
 from ..operators.models import Encoder, Scorer, encode_queries, generate_cards, lexical_overlap
 from ..operators.ranking import (assign_rank, authority_rerank, outcome_diversity, rerank_topk)
@@ -86,8 +88,9 @@ def search(queries: DataFrame, decisions: DataFrame, vectors: DataFrame, *,
     """Answer many queries at once.
 
     ``queries``: query_id, query, and q_vec unless ``encoder`` is given.
-    ``decisions``: one row per url. ``vectors``: url and embedding. Texts are
-    read in one pass, for hit documents only; stages 1 and 2 are materialised.
+    ``decisions``: pos, url, name, document_date, text; of several rows with a
+    url the first counts. ``vectors``: url and embedding, one row per url.
+    Texts are read in one pass, for hit documents only; stages are materialised.
     A query without hits gets a status in ``summary`` and no result rows.
     ``seed`` (see ``semantic_topk``) and ``buckets`` (see ``hit_documents``)
     save work on very large tables and change no result.
@@ -95,15 +98,23 @@ def search(queries: DataFrame, decisions: DataFrame, vectors: DataFrame, *,
     if encoder is not None:
         queries = cut_lineage(encode_queries(queries, encoder))
     hits = retrieve(queries, vectors, params, seed)
-    # Spread by url: a scan of many files leaves a few hit documents in each task.
-    documents = cut_lineage(hit_documents(hits, decisions, buckets).repartition(
-        shuffle_partitions(decisions.sparkSession), "url"))
+    # One row per url, and spread by url: a scan of many files leaves a few hits in each task.
+    documents = cut_lineage(
+        dedupe_keep_first(hit_documents(hits, decisions, buckets), "url", "pos"))
     top = cut_lineage(rerank(queries, hits, documents, scorer, params))
     assessed = cut_lineage(assess_results(top, documents, as_of_year))
     results = attach_text(assign_rank(assessed, params.landscape), documents)
     return SearchOutput(results, _summary(queries, hits, assessed, params))
 
 
+def status_message(status: Column) -> Column:
+    """What to tell a user about a query without results; null when there are some."""
+    message = F.lit(None).cast("string")
+    for value, text in fixed.STATUS_MESSAGES.items():
+        message = F.when(status == value, text).otherwise(message)
+    return message
+
+
 def _summary(queries: DataFrame, hits: DataFrame, assessed: DataFrame,
              params: SearchParams) -> DataFrame:
     n_hits = hits.groupBy("query_id").agg(F.count(F.lit(1)).cast("int").alias("n_hits"))

@@ -109,11 +109,25 @@ def test_python_scorer(world):
     assert len(rows) == 15 and all(r["relevance_label"] == "Low" for r in rows)
 
 
+def test_copies_of_a_decision_count_once(world):
+    """One url holds a third of the corpus; its first row is the one that counts."""
+    queries, decisions, vectors, encoder = world
+    expected = sorted(run(world).results.collect())
+    copies = decisions.filter("url = 'u7'").select(
+        F.explode(F.expr("sequence(1000L, 1030L)")).alias("pos"), "url", "name",
+        "document_date", F.lit("another text").alias("text"))
+    out = S.search(queries, decisions.unionByName(copies), vectors, encoder=encoder,
+                   as_of_year=2026)
+    assert sorted(out.results.collect()) == expected
+
+
 def test_without_vectors_there_is_a_status(world):
     queries, decisions, vectors, encoder = world
     out = S.search(queries, decisions, vectors.filter("false"), encoder=encoder)
     assert out.results.count() == 0
     assert {tuple(r)[1:] for r in out.summary.collect()} == {("no_candidates", 0, True, False)}
+    message = out.summary.select(S.status_message(F.col("status"))).first()[0]
+    assert message == "No similar cases were found for this query."
 
 
 def test_hits_without_documents_are_none_after_rerank(world):
