@@ -94,8 +94,8 @@ def cut_analysis(text: str, room: str) -> str:
             f" + length({parts}[-2]) + length({marks}[-2]))::INT)")
     return (f"CASE WHEN length({text}) <= {room} THEN {text}"
             f" WHEN {room} < 8 OR len({marks}) < 3 THEN left({text}, {room})"
-            f" ELSE left({text}, {room} - {room} // 5 - 7) || ' [...] ' || left({tail}, {room} // 5)"
-            f" END")
+            f" ELSE left({text}, {room} - {room} // 5 - 7) || ' [...] '"
+            f" || left({tail}, {room} // 5) END")
 
 
 def packed_of(name: str, budget: int, strict: bool = False) -> str:
@@ -153,7 +153,8 @@ def recency_label_of(year: str) -> str:
 
 
 def relevance_of(score: str) -> str:
-    return f"CASE WHEN {score} >= 0.65 THEN 'High' WHEN {score} >= 0.35 THEN 'Medium' ELSE 'Low' END"
+    return (f"CASE WHEN {score} >= 0.65 THEN 'High' WHEN {score} >= 0.35 THEN 'Medium'"
+            f" ELSE 'Low' END")
 
 
 def risk_of(year: str, score: str) -> str:
@@ -337,9 +338,9 @@ def cards(grounded: bool) -> str:
         f"SELECT d.url, {q(h)} AS head, {n} AS n, coalesce((SELECT string_agg({bullet}, {NL}"
         f" ORDER BY ord) FROM secs s WHERE s.url = d.url AND priority IN ({p})), '') AS bullets"
         f" FROM cleaned d" for n, (h, p) in enumerate(_HEADS.items()))
+    whole = f"string_agg('**' || head || ':**' || {NL} || bullets, {NL} ORDER BY n)"
     return f"""parts AS ({heads}),
-  card AS (SELECT url, {strip(f"string_agg('**' || head || ':**' || {NL} || bullets, {NL} ORDER BY n)")}
-    AS card FROM parts GROUP BY url)"""
+  card AS (SELECT url, {strip(whole)} AS card FROM parts GROUP BY url)"""
 
 
 _CLAIM_ROWS = f"""claims AS (SELECT s.url, h.head AS section,
@@ -368,7 +369,8 @@ _result_key = (f"coalesce(nullif({_result_url}, ''), 'rank-1:' || name || ':' ||
 def _card_prompt(system: str, n: int) -> str:
     start = q(f"<|im_start|>system\n{system}<|im_end|>\n<|im_start|>user\n"
               "Here is the tribunal decision:\n\n")
-    return f"md5({start} || left(text, {n}) || {q('<|im_end|>' + chr(10) + '<|im_start|>assistant' + chr(10))})"
+    end = q("<|im_end|>\n<|im_start|>assistant\n")
+    return f"md5({start} || left(text, {n}) || {end})"
 
 
 _SCORE = "((pos % 101) / 100.0::DOUBLE)"

@@ -92,7 +92,8 @@ def candidate_projection(spark, sf):
 
 def snippet(spark, sf):
     return table(spark, sf, "documents").select(
-        "doc_id", T.snippet(F.col("text")).alias("snippet"), T.display_snippet(F.col("text")).alias("shown"))
+        "doc_id", T.snippet(F.col("text")).alias("snippet"),
+        T.display_snippet(F.col("text")).alias("shown"))
 
 
 def score_percent(spark, sf):
@@ -101,7 +102,8 @@ def score_percent(spark, sf):
 
 
 def estimate_tokens(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", T.estimate_tokens(F.col("text")).alias("tokens"))
+    return table(spark, sf, "documents").select(
+        "doc_id", T.estimate_tokens(F.col("text")).alias("tokens"))
 
 
 def truncate_text(spark, sf):
@@ -114,7 +116,8 @@ def prompts(spark, sf):
     query = table(spark, sf, "conversations").filter("role = 'user'")
     return query.select(
         "conv_id", "turn", T.embed_prompt(F.col("text")).alias("embed"),
-        T.rerank_query(F.col("text")).alias("rerank"), T.rerank_prompt(F.col("text"), F.col("text")).alias("pair"))
+        T.rerank_query(F.col("text")).alias("rerank"),
+        T.rerank_prompt(F.col("text"), F.col("text")).alias("pair"))
 
 
 def card_prompts(spark, sf):
@@ -324,7 +327,8 @@ def labels(spark, sf):
 def grounding(spark, sf):
     return views.decisions(spark, sf).select(
         "url", A.citation_count(F.col("text")).alias("citations"),
-        A.reasoning_hits(F.col("text")).alias("reasoning"), r6(A.grounding_factor(F.col("text"))).alias("factor"))
+        A.reasoning_hits(F.col("text")).alias("reasoning"),
+        r6(A.grounding_factor(F.col("text"))).alias("factor"))
 
 
 def outcome(spark, sf):
@@ -354,7 +358,8 @@ def sections(spark, sf):
 
 
 def pack_text(spark, sf):
-    docs = views.decisions(spark, sf).select("url", "text", X.parse_sections(F.col("text")).alias("s"))
+    docs = views.decisions(spark, sf).select(
+        "url", "text", X.parse_sections(F.col("text")).alias("s"))
     packed = docs.select("url", *[
         X.pack_sections(F.col("s"), F.col("text"), budget).alias(f"p{budget}")
         for budget in (300, 1000, FAST.pack_chars, NORMAL.pack_chars)])
@@ -370,7 +375,8 @@ def truncate_analysis(spark, sf):
     """Every section of every decision cut to a third of its length."""
     secs = X.explode_sections(views.decisions(spark, sf))
     third = F.floor(F.length("text") / 3).cast("int")
-    return secs.select("url", "ord", F.md5(X.truncate_analysis(F.col("text"), third)).alias("cut_md5"))
+    cut = X.truncate_analysis(F.col("text"), third)
+    return secs.select("url", "ord", F.md5(cut).alias("cut_md5"))
 
 
 def paragraph_markers(spark, sf):
@@ -455,7 +461,8 @@ def claim_sources(spark, sf):
 
 
 def claim_confidence(spark, sf):
-    cards = views.decisions(spark, sf).select("url", C.extractive_card(F.col("text"), True).alias("card"))
+    cards = views.decisions(spark, sf).select(
+        "url", C.extractive_card(F.col("text"), True).alias("card"))
     return C.claim_sources(cards).groupBy("section", "confidence").agg(
         F.count(F.lit(1)).alias("claims"))
 
@@ -574,7 +581,8 @@ def encode_documents(spark, sf):
 def score_pairs(spark, sf):
     """Each turn against the turn before it, by a Python scorer."""
     turns = table(spark, sf, "conversations")
-    previous = turns.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("text").alias("query"))
+    previous = turns.select(
+        "conv_id", (F.col("turn") + 1).alias("turn"), F.col("text").alias("query"))
     pairs = turns.join(previous, ["conv_id", "turn"])
     scorer = models.Scorer(python=lambda queries, docs: [
         len(q) / (len(q) + len(d)) for q, d in zip(queries, docs)])

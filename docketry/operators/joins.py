@@ -48,18 +48,20 @@ def url_bucket(buckets: int) -> Column:
     return F.pmod(F.xxhash64("url"), F.lit(buckets)).cast("int")
 
 
-def hit_documents(hits: DataFrame, decisions: DataFrame, buckets: int | None = None) -> DataFrame:
+def hit_documents(hits: DataFrame, decisions: DataFrame, buckets: int | None = None,
+                  at_most: int | None = None) -> DataFrame:
     """The decisions that any query hit, each once: one pass over the texts.
 
     ``hits`` is narrow and materialised. Its distinct urls are broadcast when
-    they are few enough, so texts are filtered where they are read. For a
-    corpus laid out in ``buckets``, folders without a hit are not read at all.
+    they are few enough (``at_most`` bytes, if known), so texts are filtered
+    where they are read. For a corpus laid out in ``buckets``, folders without
+    a hit are not read at all.
     """
     urls = hits.select("url").distinct()
     if buckets is not None:
         touched = urls.select(url_bucket(buckets).alias("b")).distinct().collect()
         decisions = decisions.filter(F.col("url_bucket").isin([r["b"] for r in touched]))
-    return decisions.join(broadcast_within(urls), "url", "left_semi")
+    return decisions.join(broadcast_within(urls, at_most=at_most), "url", "left_semi")
 
 
 def hit_lookup(hits: DataFrame, decisions: DataFrame) -> DataFrame:

@@ -24,10 +24,13 @@ def measured_bytes(df: DataFrame) -> int:
     return df.agg(F.coalesce(F.sum(width), F.lit(0))).first()[0]
 
 
-def broadcast_within(df: DataFrame, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """Ask for a broadcast only if ``df`` is measured to be small enough.
+def broadcast_within(df: DataFrame, max_bytes: int = BROADCAST_BYTES,
+                     at_most: int | None = None) -> DataFrame:
+    """Ask for a broadcast only if ``df`` is small enough.
 
-    Beyond that the join is left to Spark, which shuffles both sides and splits
-    skewed keys. Meant for flat tables that are materialised or cheap to read.
+    It is measured, unless ``at_most`` already bounds its bytes. Beyond the
+    limit the join is left to Spark, which shuffles both sides and splits
+    skewed keys. Meant for tables that are materialised or cheap to read.
     """
-    return F.broadcast(df) if measured_bytes(df) <= max_bytes else df
+    size = measured_bytes(df) if at_most is None else at_most
+    return F.broadcast(df) if size <= max_bytes else df

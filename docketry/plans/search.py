@@ -40,7 +40,7 @@ def retrieve(queries: DataFrame, vectors: DataFrame, params: SearchParams = NORM
 
 
 def rerank(queries: DataFrame, hits: DataFrame, documents: DataFrame, scorer: Scorer,
-           params: SearchParams = NORMAL) -> DataFrame:
+           params: SearchParams = NORMAL, at_most: int | None = None) -> DataFrame:
     """Stage 2: pack each hit document once, pair it with its queries, keep the best.
 
     ``documents`` are the hit documents only. Pairs for a Python scorer, which
@@ -51,7 +51,7 @@ def rerank(queries: DataFrame, hits: DataFrame, documents: DataFrame, scorer: Sc
         "url", scorer.features(pack_text(F.col("text"), params.pack_chars)).alias("packed"))
     asked = queries.select("query_id", scorer.features(F.col("query")).alias("query"))
     if measured_bytes(asked) <= BROADCAST_BYTES:
-        pairs = packed.join(broadcast_within(hits), "url").join(F.broadcast(asked), "query_id")
+        pairs = packed.join(broadcast_within(hits, at_most=at_most), "url").join(F.broadcast(asked), "query_id")
     else:
         # Narrow rows meet first, so that packed texts cross one shuffle, not two.
         pairs = packed.join(hits.join(asked, "query_id"), "url")
@@ -60,15 +60,16 @@ def rerank(queries: DataFrame, hits: DataFrame, documents: DataFrame, scorer: Sc
     return rerank_topk(pairs, scorer, params.stage2_top_k, prepared=True)
 
 
-def assess_results(top: DataFrame, documents: DataFrame,
-                   as_of_year: int | None = None) -> DataFrame:
+def assess_results(top: DataFrame, documents: DataFrame, as_of_year: int | None = None,
+                   at_most: int | None = None) -> DataFrame:
     """Stage 2.5: text signals once per surviving document, then order by authority."""
-    survivors = documents.join(broadcast_within(top.select("url").distinct()), "url", "left_semi")
+    survivors = documents.join(
+        broadcast_within(top.select("url").distinct(), at_most=at_most), "url", "left_semi")
     signals = survivors.select(
         "url", "name", F.col("document_date").alias("date"),
         grounding_factor(F.col("text")).alias("grounding_factor"),
         outcome(F.col("text")).alias("outcome"))
-    return authority_rerank(signals.join(broadcast_within(top), "url"),
+    return authority_rerank(signals.join(broadcast_within(top, at_most=at_most), "url"),
                             text=None, as_of_year=as_of_year)
 
 
@@ -99,10 +100,12 @@ def search(queries: DataFrame, decisions: DataFrame, vectors: DataFrame, *,
         queries = cut_lineage(encode_queries(queries, encoder))
     hits = retrieve(queries, vectors, params, seed)
     # One row per url, and spread by url: a scan of many files leaves a few hits in each task.
+    # Later narrow tables have no more rows than the hits, and at most two more numbers.
+    size = measured_bytes(hits) * 2
     documents = cut_lineage(
-        dedupe_keep_first(hit_documents(hits, decisions, buckets), "url", "pos"))
-    top = cut_lineage(rerank(queries, hits, documents, scorer, params))
-    assessed = cut_lineage(assess_results(top, documents, as_of_year))
+        dedupe_keep_first(hit_documents(hits, decisions, buckets, size), "url", "pos"))
+    top = cut_lineage(rerank(queries, hits, documents, scorer, params, size))
+    assessed = cut_lineage(assess_results(top, documents, as_of_year, size))
     results = attach_text(assign_rank(assessed, params.landscape), documents)
     return SearchOutput(results, _summary(queries, hits, assessed, params))
 

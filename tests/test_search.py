@@ -83,7 +83,7 @@ def test_the_shuffled_joins_give_the_same(world, monkeypatch):
     expected = sorted(run(world).results.collect())
     from docketry.operators import sizes
 
-    monkeypatch.setattr(sizes.broadcast_within, "__defaults__", (-1,))
+    monkeypatch.setattr(sizes.broadcast_within, "__defaults__", (-1, None))
     monkeypatch.setattr(S, "BROADCAST_BYTES", -1)
     assert sorted(run(world).results.collect()) == expected
 
