@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .. import fixed_values as fixed
 from ..operators.batching import (assign_chunks, chunk_partitions, matching_keys, pending,
                                   plan_route)
-from ..operators.dedupe import dedupe_keep_first
+from ..operators.dedupe import dedupe_keep_first, drop_repeats
 from ..operators.joins import align, new_decisions
 from ..operators.models import Encoder, encode
 from ..operators.sizes import broadcast_within
@@ -50,11 +50,13 @@ def encode_planned(decisions: DataFrame, planned: DataFrame, encoder: Encoder, f
     """Vectors of the planned documents, similar lengths side by side.
 
     Texts of new documents are picked by position where they are read when the
-    plan is small, and cross one shuffle, by chunk.
+    plan is small, and cross one shuffle. Chunks are dealt out to tasks by
+    number, which needs no sampling pass over the texts and spreads long ones.
     """
     wanted = planned.select(F.col("source_pos").alias("pos"), "idx", "chunk_id")
     texts = decisions.select("pos", "url", "text").join(broadcast_within(wanted), "pos")
-    ordered = texts.repartitionByRange(partitions, "chunk_id", "idx").sortWithinPartitions("idx")
+    task = F.pmod("chunk_id", F.lit(partitions)).cast("int")
+    ordered = texts.repartitionById(partitions, task).sortWithinPartitions("idx")
     vectors = encode(ordered, encoder, max_chars=max_chars, keep=["url", "idx", "chunk_id"])
     return vectors.select(
         (F.lit(first_pos) + F.col("idx")).alias("pos"), "url", "embedding", "chunk_id")
@@ -88,7 +90,7 @@ def delta_index(decisions: DataFrame, store_path: str, encoder: Encoder, *,
         work = work_path or f"{store_path}/_chunks"
         _write_pending(spark, decisions, planned, encoder, first_pos, tasks, max_chars, work)
         gathered = matching_keys(read_chunks(spark, work), planned)
-        append_vectors(dedupe_keep_first(gathered, "url", "pos"), store_path)
+        append_vectors(drop_repeats(gathered, "url", "pos"), store_path)
     total = read_vectors(spark, store_path, check=False).count()
     return DeltaReport(route, size["n"], total - size["n"], total)
 
