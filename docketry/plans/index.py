@@ -13,7 +13,8 @@ from ..operators.batching import (assign_chunks, chunk_partitions, matching_keys
 from ..operators.dedupe import dedupe_keep_first, drop_repeats
 from ..operators.joins import align, new_decisions
 from ..operators.models import Encoder, encode
-from ..operators.sizes import broadcast_within
+from ..operators.sizes import BROADCAST_BYTES, broadcast_within, measured_bytes
+from ..session import cut_lineage
 from ..sources.vector_store import (append_vectors, empty_vectors, read_chunks, read_vectors,
                                     store_exists, write_chunks, write_vectors)
 
@@ -33,28 +34,43 @@ def build_index(decisions: DataFrame, vectors: DataFrame, path: str) -> DataFram
     return read_vectors(decisions.sparkSession, path)
 
 
-def plan_delta(decisions: DataFrame, store: DataFrame,
-               chunk_size: int = fixed.CHUNK_SIZE) -> DataFrame:
-    """The documents to encode, numbered: source_pos, url, length, idx, chunk_id.
+def new_keys(decisions: DataFrame, store: DataFrame) -> DataFrame:
+    """pos and url of the decisions the store lacks, materialised; reads no text.
 
-    Looks at keys and text lengths only; no text is shuffled. Duplicate urls in
-    the corpus are dropped here, ahead of any encoding.
+    Duplicate urls in the corpus are dropped here, ahead of any encoding.
     """
-    keys = decisions.select("pos", "url", F.length("text").alias("length"))
-    fresh = new_decisions(dedupe_keep_first(keys, "url", "pos"), store)
-    return assign_chunks(fresh, chunk_size).withColumnRenamed("pos", "source_pos")
+    keys = dedupe_keep_first(decisions.select("pos", "url"), "url", "pos")
+    return cut_lineage(new_decisions(keys, store))
 
 
-def encode_planned(decisions: DataFrame, planned: DataFrame, encoder: Encoder, first_pos: int,
+def new_documents(decisions: DataFrame, keys: DataFrame) -> DataFrame:
+    """pos, url and text of the new decisions.
+
+    A small delta is picked where texts are read and kept, so the corpus is
+    passed once. A delta too large for that is most of the corpus; it is read
+    again when needed, not written a second time.
+    """
+    size = measured_bytes(keys)
+    picked = decisions.select("pos", "url", "text").join(
+        broadcast_within(keys.select("pos"), at_most=size), "pos", "left_semi")
+    return cut_lineage(picked) if size <= BROADCAST_BYTES else picked
+
+
+def plan_delta(documents: DataFrame, chunk_size: int = fixed.CHUNK_SIZE) -> DataFrame:
+    """Number new documents by (length, pos): source_pos, url, length, idx, chunk_id."""
+    lengths = cut_lineage(documents.select("pos", "url", F.length("text").alias("length")))
+    return assign_chunks(lengths, chunk_size).withColumnRenamed("pos", "source_pos")
+
+
+def encode_planned(documents: DataFrame, planned: DataFrame, encoder: Encoder, first_pos: int,
                    partitions: int, max_chars: int | None = fixed.EMBED_MAX_CHARS) -> DataFrame:
     """Vectors of the planned documents, similar lengths side by side.
 
-    Texts of new documents are picked by position where they are read when the
-    plan is small, and cross one shuffle. Chunks are dealt out to tasks by
-    number, which needs no sampling pass over the texts and spreads long ones.
+    Texts cross one shuffle. Chunks are dealt out to tasks by number, which
+    needs no sampling pass over the texts and spreads long ones.
     """
     wanted = planned.select(F.col("source_pos").alias("pos"), "idx", "chunk_id")
-    texts = decisions.select("pos", "url", "text").join(broadcast_within(wanted), "pos")
+    texts = documents.join(broadcast_within(wanted), "pos")
     task = F.pmod("chunk_id", F.lit(partitions)).cast("int")
     ordered = texts.repartitionById(partitions, task).sortWithinPartitions("idx")
     vectors = encode(ordered, encoder, max_chars=max_chars, keep=["url", "idx", "chunk_id"])
@@ -68,7 +84,7 @@ def delta_index(decisions: DataFrame, store_path: str, encoder: Encoder, *,
                 max_chars: int | None = fixed.EMBED_MAX_CHARS) -> DeltaReport:
     """Encode the decisions the store lacks and add them as a new segment.
 
-    Nothing new means nothing written. A small run is one write. A large run
+    Nothing new means no text read and nothing written. A small run is one write. A large run
     writes chunks below ``work_path`` first; when it is started again it skips
     every url a finished chunk holds. Existing rows are never rewritten.
     """
@@ -77,25 +93,27 @@ def delta_index(decisions: DataFrame, store_path: str, encoder: Encoder, *,
     store = read_vectors(spark, store_path, check=False) if known else empty_vectors(spark)
     size = store.agg(F.count(F.lit(1)).alias("n"), F.max("pos").alias("last")).first()
     first_pos = 0 if size["last"] is None else size["last"] + 1
-    planned = plan_delta(decisions, store, chunk_size)
-    n_new = planned.count()
+    keys = new_keys(decisions, store)
+    n_new = keys.count()
     route = plan_route(n_new, threshold)
     if route == "none":
         return DeltaReport(route, size["n"], 0, size["n"])
+    documents = new_documents(decisions, keys)
+    planned = plan_delta(documents, chunk_size)
     tasks = chunk_partitions(n_new, chunk_size)
     if route == "single":
-        append_vectors(encode_planned(decisions, planned, encoder, first_pos, tasks, max_chars),
+        append_vectors(encode_planned(documents, planned, encoder, first_pos, tasks, max_chars),
                        store_path)
     else:
         work = work_path or f"{store_path}/_chunks"
-        _write_pending(spark, decisions, planned, encoder, first_pos, tasks, max_chars, work)
+        _write_pending(spark, documents, planned, encoder, first_pos, tasks, max_chars, work)
         gathered = matching_keys(read_chunks(spark, work), planned)
         append_vectors(drop_repeats(gathered, "url", "pos"), store_path)
     total = read_vectors(spark, store_path, check=False).count()
     return DeltaReport(route, size["n"], total - size["n"], total)
 
 
-def _write_pending(spark: SparkSession, decisions: DataFrame, planned: DataFrame,
+def _write_pending(spark: SparkSession, documents: DataFrame, planned: DataFrame,
                    encoder: Encoder, first_pos: int, tasks: int, max_chars: int | None,
                    work: str) -> None:
     written = read_chunks(spark, work)
@@ -104,4 +122,4 @@ def _write_pending(spark: SparkSession, decisions: DataFrame, planned: DataFrame
         # New chunk numbers, so that finished chunks are not replaced.
         last = written.agg(F.max("chunk_id")).first()[0]
         todo = todo.withColumn("chunk_id", F.col("chunk_id") + F.lit(int(last or 0) + 1))
-    write_chunks(encode_planned(decisions, todo, encoder, first_pos, tasks, max_chars), work)
+    write_chunks(encode_planned(documents, todo, encoder, first_pos, tasks, max_chars), work)

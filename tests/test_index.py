@@ -5,7 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from docketry.operators import batching, dedupe, joins, models, positions
-from docketry.plans.index import build_index, delta_index, plan_delta
+from docketry.plans import index
+from docketry.plans.index import build_index, delta_index
 from docketry.sources.vector_store import append_vectors, read_vectors, write_chunks
 from docketry.streaming.delta import index_stream
 
@@ -94,8 +95,21 @@ def test_interrupted_run_resumes(spark, tmp_path):
     assert urls(spark, path) == sorted(f"u{i}" for i in range(40))
 
 
-def test_plan_looks_at_keys_only(spark):
-    planned = plan_delta(corpus(spark, 20), store_of(spark, ["u1"]), chunk_size=6)
+def test_keys_are_found_without_reading_texts(spark, tmp_path):
+    path = str(tmp_path / "c")
+    corpus(spark, 20).write.parquet(path)
+    keys = dedupe.dedupe_keep_first(spark.read.parquet(path).select("pos", "url"), "url")
+    plan = plan_of(joins.new_decisions(keys, store_of(spark, ["u1"])))
+    assert "ReadSchema: struct<pos:bigint,url:string>" in plan
+
+
+@pytest.mark.parametrize("limit", [10**6, -1])
+def test_plan_of_a_delta(spark, monkeypatch, limit):
+    """The same whether the new documents are kept or read again."""
+    monkeypatch.setattr(index, "BROADCAST_BYTES", limit)
+    df = corpus(spark, 20)
+    documents = index.new_documents(df, index.new_keys(df, store_of(spark, ["u1"])))
+    planned = index.plan_delta(documents, chunk_size=6)
     assert "text" not in planned.columns
     rows = planned.orderBy("idx").collect()
     assert [r["idx"] for r in rows] == list(range(19))
