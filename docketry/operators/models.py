@@ -18,9 +18,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .. import fixed_values as fixed
 from ..functions.cards import extractive_card, sanitize_card
 from ..functions.text import card_prompt, embed_prompt, result_key
+from ..params import NORMAL
 from .batching import greedy_batches
 from .dedupe import dedupe_keep_first
 
@@ -150,7 +150,7 @@ def score_pairs(pairs: DataFrame, scorer: Scorer, query: str, document: str,
 
 
 def generate_cards(results: DataFrame, generator: Generator | None = None, *,
-                   max_chars: int = fixed.CHARS_PER_TOKEN * 6000, grounded: bool = False,
+                   max_chars: int = NORMAL.generation_max_chars, grounded: bool = False,
                    text: str = "full_text") -> DataFrame:
     """One summary card per distinct document among ``results``: key, url, card.
 

@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from .. import fixed_values as fixed
 from ..functions.sections import explode_sections, parse_sections
 from ..functions.text import is_truncated
-from ..functions.vectors import bad_values, is_bad, l2_norm
+from ..functions.vectors import is_bad, l2_norm
 from .dedupe import duplicate_counts
 from .joins import missing_vectors
+from .vector_blocks import block_stats
 
 
 def corpus_profile(decisions: DataFrame) -> DataFrame:
@@ -66,21 +67,14 @@ def section_profile(decisions: DataFrame) -> DataFrame:
 def embedding_profile(vectors: DataFrame, first: int = 10) -> DataFrame:
     """One row: shape, extremes, mean, NaN and infinity flags, tiny values, first norms.
 
-    Elements are folded per vector ahead of the aggregate, so no row per
-    element is made. As with arrays, one NaN makes the extremes and the mean NaN.
+    Tasks reduce whole batches, so no row per element is made. As with arrays,
+    one NaN makes the extremes and the mean NaN.
     """
     vec = F.col("embedding")
-    per_row = vectors.select(
-        F.size(vec).alias("dim"),
-        F.array_max(vec).alias("hi"), F.array_min(vec).alias("lo"),
-        F.aggregate(vec, F.lit(0.0), lambda acc, x: acc + x.cast("double")).alias("total"),
-        F.exists(vec, F.isnan).alias("nan"),
-        F.exists(vec, lambda x: F.abs(x) == float("inf")).alias("inf"),
-        F.size(F.filter(vec, lambda x: (F.abs(x) > 0) & (F.abs(x) < 1e-30))).alias("tiny"))
-    stats = per_row.agg(
-        F.count(F.lit(1)).alias("n_rows"), F.max("dim").alias("dim"),
-        F.max("hi").cast("double").alias("hi"), F.min("lo").cast("double").alias("lo"),
-        (F.sum("total") / F.sum("dim")).alias("mean"),
+    stats = block_stats(vectors).agg(
+        F.coalesce(F.sum("n_rows"), F.lit(0)).alias("n_rows"), F.max("dim").alias("dim"),
+        F.max("hi").alias("hi"), F.min("lo").alias("lo"),
+        (F.sum("total") / F.sum(F.col("n_rows") * F.col("dim"))).alias("mean"),
         F.coalesce(F.bool_or("nan"), F.lit(False)).alias("any_nan"),
         F.coalesce(F.bool_or("inf"), F.lit(False)).alias("any_inf"),
         F.coalesce(F.sum("tiny"), F.lit(0)).alias("n_tiny"))
@@ -101,9 +95,8 @@ def embedding_profile(vectors: DataFrame, first: int = 10) -> DataFrame:
 
 def vector_quality(vectors: DataFrame) -> DataFrame:
     """One row: values that are NaN or infinite, and the vectors that hold them."""
-    bad = vectors.select(bad_values(F.col("embedding")).alias("bad"))
-    return bad.agg(F.coalesce(F.sum("bad"), F.lit(0)).alias("bad_values"),
-                   F.count_if(F.col("bad") > 0).alias("bad_rows"))
+    return block_stats(vectors).agg(
+        *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("bad_values", "bad_rows")])
 
 
 def quality_report(decisions: DataFrame, vectors: DataFrame,

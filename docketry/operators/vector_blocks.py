@@ -27,6 +27,11 @@ _HIT_SCHEMA = "query_id long, url string, stage1_score double"
 _HIT_ARROW = pa.schema([("query_id", pa.int64()), ("url", pa.string()),
                         ("stage1_score", pa.float64())])
 
+_STATS_ARROW = pa.schema([
+    ("n_rows", pa.int64()), ("dim", pa.int32()), ("hi", pa.float64()), ("lo", pa.float64()),
+    ("total", pa.float64()), ("nan", pa.bool_()), ("inf", pa.bool_()), ("tiny", pa.int64()),
+    ("bad_values", pa.int64()), ("bad_rows", pa.int64())])
+
 
 def _matrix(column: pa.Array) -> np.ndarray:
     """A list column as an (n, d) float32 matrix, without copying row by row."""
@@ -70,6 +75,31 @@ def prepare_vectors(df: DataFrame, vec: str = "embedding") -> DataFrame:
     return df.mapInArrow(run, df.schema)
 
 
+_STATS = ("n_rows long, dim int, hi double, lo double, total double, nan boolean, inf boolean,"
+          " tiny long, bad_values long, bad_rows long")
+
+
+def block_stats(vectors: DataFrame, vec: str = "embedding") -> DataFrame:
+    """One row of partial statistics per Arrow batch, for aggregates over whole stores."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x = _matrix(batch.column(0))
+            bad, size = ~np.isfinite(x), np.abs(x)
+            row = {
+                "n_rows": len(x), "dim": x.shape[1],
+                "hi": float(np.fmax.reduce(x, axis=None)),
+                "lo": float(np.fmin.reduce(x, axis=None)),
+                "total": float(x.sum(dtype=np.float64)), "nan": bool(np.isnan(x).any()),
+                "inf": bool(np.isinf(x).any()), "tiny": int(((size > 0) & (size < 1e-30)).sum()),
+                "bad_values": int(bad.sum()), "bad_rows": int(bad.any(axis=1).sum())}
+            yield pa.RecordBatch.from_pylist([row], schema=_STATS_ARROW)
+
+    return vectors.select(vec).mapInArrow(run, _STATS)
+
+
 class _TopK:
     """The k best (score descending, url ascending) per query seen so far in one task."""
 
