@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
 
 def local_session(cpus: int | str = "*", memory: str = "8g", partitions: int = 8) -> SparkSession:
     """A session for tests and the bench; a cluster brings its own."""
-    return (
+    session = (
         SparkSession.builder.master(f"local[{cpus}]")
         .appName("docketry")
         .config("spark.driver.memory", memory)
@@ -23,6 +25,29 @@ def local_session(cpus: int | str = "*", memory: str = "8g", partitions: int = 8
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .getOrCreate()
     )
+    ship_code(session)
+    return session
+
+
+_shipped: set[str] = set()
+
+
+def ship_code(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once per application.
+
+    Not needed where the package is installed on every node, or was given to
+    ``spark-submit`` with ``--py-files``.
+    """
+    sc = spark.sparkContext
+    if sc.applicationId in _shipped:
+        return
+    package = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="docketry-code-")) / "docketry.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        for source in sorted(package.rglob("*.py")):
+            out.write(source, source.relative_to(package.parent))
+    sc.addPyFile(str(archive))
+    _shipped.add(sc.applicationId)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
