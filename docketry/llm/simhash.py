@@ -6,12 +6,15 @@ fewer words is one shingle, a text without words (or null) has fingerprint 0.
 Bit b of the fingerprint is set if it is set in more than half of the XXH64
 hashes (seed 42) of the shingles. Fingerprints within ``radius`` bits link.
 
-A tree fitted on a bounded sample cuts the space: at vantage point v with
-distance m, fingerprints with d(v, x) <= m go inside, those with
-d(v, x) > m - radius outside. By the triangle inequality any two fingerprints
-within ``radius`` of each other share a side, so they meet in a shard; the band
-between is the overlap. Each shard prunes on with a tree of its own and compares
-exactly. A shard that holds too many rows is dealt out as pairs of blocks.
+Two fingerprints within ``radius`` bits are within ``radius // 2`` bits in one of
+their two halves, so each half has a tree, and a smaller radius means far less
+overlap than a tree over all bits has. A tree is fitted on a bounded sample and
+cuts the space: at vantage point v with distance m, halves with d(v, x) <= m go
+inside, those with d(v, x) > m - radius outside. By the triangle inequality any
+two halves within the radius of each other share a side, so they meet in a
+shard; the band between is the overlap. Each shard prunes on with a tree of its
+own and compares whole fingerprints exactly. A shard that holds too many rows
+is dealt out as pairs of blocks.
 
 Only distinct fingerprints travel, and a shard gives a spanning forest of its
 links, never all pairs, so thousands of copies cost one row. Nulls: a null id
@@ -34,7 +37,8 @@ LOWER = bytes(range(65, 91)), bytes(range(97, 123))
 # The tree is fitted on at most this many distinct fingerprints (8 bytes each).
 SAMPLE = 65_536
 # Rows a shard should hold, and at most holds in one task.
-SHARD_ROWS, CELL_ROWS = 8_192, 65_536
+SHARD_ROWS, CELL_ROWS = 32_768, 131_072
+HALVES = (0, 32)   # lowest bit of each half
 
 
 def fingerprint_of(data: bytes, shingle: int, hash64, to_lower: bytes) -> int:
@@ -80,6 +84,10 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return map_texts(docs, [F.col(id_col), F.col(text_col)], f"{id_col} {id_type}, fp long", make)
 
 
+def half_of(points: np.ndarray, lowest_bit: int) -> np.ndarray:
+    return (points >> np.uint64(lowest_bit)) & np.uint64(0xFFFFFFFF)
+
+
 def distances(points: np.ndarray, vantage: np.uint64) -> np.ndarray:
     return np.bitwise_count(points ^ vantage).astype(np.int16)
 
@@ -140,8 +148,11 @@ def shards_of(points: np.ndarray, tree: list, radius: int) -> list[tuple[int, np
     return out
 
 
-def forest(points: np.ndarray, radius: int) -> list[tuple[int, int]]:
-    """Links (row, row) that join all points within ``radius``; fewer links than points."""
+def forest(points: np.ndarray, half: np.ndarray, radius: int) -> list[tuple[int, int]]:
+    """Links (row, row) that join all points within ``radius`` whose halves are near as well.
+
+    Fewer links than points: a link is kept only if it joins two groups.
+    """
     labels = np.arange(len(points))
     links: list[tuple[int, int]] = []
 
@@ -161,15 +172,16 @@ def forest(points: np.ndarray, radius: int) -> list[tuple[int, int]]:
     stack = [(np.arange(len(points)), 0)]
     while stack:
         rows, depth = stack.pop()
-        split = choose_split(points[rows], radius, depth) if len(rows) > 768 and depth < 40 else None
+        split = (choose_split(half[rows], radius // 2, depth)
+                 if len(rows) > 512 and depth < 40 else None)
         if split is None:
             for at in range(0, len(rows), 512):
                 for to in range(at, len(rows), 512):
                     compare(rows[at:at + 512], rows[to:to + 512])
             continue
-        d = distances(points[rows], split[0])
+        d = distances(half[rows], split[0])
         stack.append((rows[d <= split[1]], depth + 1))
-        stack.append((rows[d > split[1] - radius], depth + 1))
+        stack.append((rows[d > split[1] - radius // 2], depth + 1))
     return links
 
 
@@ -181,20 +193,22 @@ def link_fingerprints(distinct: DataFrame, radius: int, sample_rows: int = SAMPL
     share = min(1.0, sample_rows / max(1, total))
     picked = distinct.select("fp") if share == 1.0 else distinct.select("fp").sample(share, 17)
     sample = np.array([r[0] for r in picked.limit(sample_rows).collect()], np.int64)
-    tree = fit_tree(sample.view(np.uint64), total, radius)
-    shipped = spark.sparkContext.broadcast(tree)
+    trees = [fit_tree(half_of(sample.view(np.uint64), low), total, radius // 2) for low in HALVES]
+    shipped = spark.sparkContext.broadcast(trees)
 
     def deal(batches):
         import pyarrow as pa
 
         for batch in batches:
             values = np.asarray(batch.column(0)).astype(np.int64)
-            for shard, rows in shards_of(values.view(np.uint64), shipped.value, radius):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(rows), shard, np.int32)), pa.array(values[rows])],
-                    names=["shard", "fp"])
-
-    dealt = distinct.select("fp").mapInArrow(deal, "shard int, fp long")
+            for side, low in enumerate(HALVES):
+                halves = half_of(values.view(np.uint64), low)
+                for shard, rows in shards_of(halves, shipped.value[side], radius // 2):
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.full(len(rows), 2 * shard + side, np.int32)),
+                         pa.array(values[rows])], names=["shard", "fp"])
+
+    dealt = written(distinct.select("fp").mapInArrow(deal, "shard int, fp long"), "shards")
     # One row per shard, and shards are bounded by the sample.
     sizes = {r[0]: r[1] for r in dealt.groupBy("shard").count()
              .filter(F.col("count") > cell_rows).collect()}
@@ -212,7 +226,8 @@ def link_fingerprints(distinct: DataFrame, radius: int, sample_rows: int = SAMPL
 
     def links(rows: pd.DataFrame) -> pd.DataFrame:
         values = rows["fp"].to_numpy(np.int64)
-        pairs = forest(values.view(np.uint64), radius)
+        low = HALVES[int(rows["shard"].iloc[0]) % 2]
+        pairs = forest(values.view(np.uint64), half_of(values.view(np.uint64), low), radius)
         return pd.DataFrame({"a": [values[i] for i, _ in pairs],
                              "b": [values[j] for _, j in pairs]}, dtype="int64")
 
