@@ -18,7 +18,8 @@ least record id is shown, and they are counted.
 
 Null html is an empty payload. Control characters in urls are percent-encoded.
 Rows with null or equal ids are captures of their own; of equal rows with equal
-payloads one is the response. Other columns are ignored.
+payloads one is the response; an input that gives such rows in another order when it
+is read again has to be written first. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -62,19 +63,22 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
                         html.alias("html")).withColumn("row", F.monotonically_increasing_id())
     base = base.withColumn("sha1", F.sha1(F.col("html").cast("binary"))).withColumn(
         "bytes", F.octet_length("html").cast("long"))
+    large = F.col("bytes") >= min_bytes
+    repeats = base.filter(large).groupBy("sha1").agg(
+        F.count(F.lit(1)).alias("copies"), F.max(F.struct("page_id", "row")).alias("kept")
+    ).filter("copies > 1")
+    repeats = written(repeats.select(F.col("sha1").alias("_sha1"), F.col("kept.page_id").alias("_page"),
+                                     F.col("kept.row").alias("_row")), "repeats")
+    rows = base.join(broadcast_within(repeats), (F.col("sha1") == F.col("_sha1")) & large, "left")
+    # The row number only tells rows apart that share id and payload.
+    again = F.col("_sha1").isNotNull() & ~(F.col("page_id").eqNullSafe(F.col("_page"))
+                                           & (F.col("row") == F.col("_row")))
     key = F.concat_ws("|", F.col("page_id").cast("string"), "sha1", F.col("row").cast("string"))
-    base = base.withColumn("response_id", _urn("response", key))
-    # The row number tells equal rows apart; the scan deals it out the same way each time.
-    repeats = base.filter(F.col("bytes") >= min_bytes).groupBy("sha1").agg(
-        F.count(F.lit(1)).alias("copies"),
-        F.max(F.struct("page_id", "row", "response_id")).alias("kept")).filter("copies > 1")
-    repeats = written(repeats.select(
-        F.col("sha1").alias("_sha1"), F.col("kept.response_id").alias("_kept")), "repeats")
-    rows = base.join(broadcast_within(repeats), (F.col("sha1") == F.col("_sha1"))
-                     & (F.col("bytes") >= min_bytes), "left")
-    again = F.col("_kept").isNotNull() & (F.col("_kept") != F.col("response_id"))
+    # A large payload has one response, which its digest names for all that revisit it.
+    of_payload = _urn("payload", F.col("sha1"))
+    response_id = F.when(large, of_payload).otherwise(_urn("response", key))
     uri = F.coalesce(F.regexp_replace("url", r"[\x00-\x20\x7F]", "%20"), F.lit(""))
-    capture = F.when(again, _urn("revisit", key)).otherwise(F.col("response_id"))
+    capture = F.when(again, _urn("revisit", key)).otherwise(response_id)
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n"
                           "Content-Length: "), F.col("bytes").cast("string"), F.lit(END))
     common = [("WARC-Date", F.lit(date)), ("WARC-Target-URI", uri)]
@@ -83,7 +87,7 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
         ("WARC-Record-ID", F.col("capture")), *common,
         ("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("sha1"))),
         ("WARC-Profile", F.when(again, PROFILE)),
-        ("WARC-Refers-To", F.when(again, F.col("_kept"))),
+        ("WARC-Refers-To", F.when(again, of_payload)),
         ("Content-Type", F.lit("application/http; msgtype=response"))],
         F.concat(http, F.when(again, "").otherwise(F.col("html"))))
     request = _record([
