@@ -16,15 +16,14 @@ from __future__ import annotations
 
 import base64
 import hashlib
-from functools import lru_cache
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_texts
+from .common import map_texts, worker_table
 
 # Pre-tokens and pairs a worker keeps; a table is emptied when it is full.
-KEPT, PAIRS_KEPT = 400_000, 500_000
+KEPT, PAIRS_KEPT = 300_000, 300_000
 _NONE = 1 << 40
 
 
@@ -187,10 +186,13 @@ class PrefixState:
         return self.encoder.path(self.last)
 
 
-@lru_cache(maxsize=2)
 def encoder_for(path: str) -> tuple[PrefixEncoder, dict[str, tuple[list[int], str]]]:
     """The encoder and its table of encoded pre-tokens; a worker keeps both between tasks."""
-    return PrefixEncoder(load_ranks(path)), {}
+    kept = worker_table("bpe")
+    if path not in kept:
+        kept.clear()
+        kept[path] = PrefixEncoder(load_ranks(path)), {}
+    return kept[path]
 
 
 def encode_texts(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id",
@@ -231,4 +233,4 @@ def encode_texts(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "
 
         return run
 
-    return map_texts(docs, [F.col(id_col), F.col(text_col)], schema, make)
+    return map_texts(docs, [F.col(id_col), F.col(text_col)], schema, make, owner="bpe")

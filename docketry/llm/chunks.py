@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.sizes import broadcast_within
-from .common import map_texts, written
+from .common import bounded_batches, map_texts, worker_table, written
 
 REACH = 32               # bytes that a 32-bit gear hash depends on
 WINDOW, MIN_BYTES = 64, 96
@@ -228,10 +228,13 @@ def cut(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id",
     per_doc = written(spans.groupBy(F.col(id_col).alias("_id")).agg(
         F.collect_list(F.struct("begin", "end")).alias("_spans")), "spans")
 
+    bounded_batches(docs.sparkSession)
+
     @F.pandas_udf("string")
     def shorten(texts, spans):
         import pandas as pd
 
+        worker_table(None)
         return pd.Series([without(t, s) for t, s in zip(texts, spans)], dtype=object)
 
     # Only texts with spans go through Python; the others pass beside them.

@@ -35,20 +35,46 @@ def remainder_of_id(id_column: Column, divisor: int) -> Column:
     return F.crc32(id_column.cast("string").cast("binary")) % F.lit(divisor)
 
 
+# Rows and bytes that a Python worker gets at once; texts may be long.
+BATCH_ROWS, BATCH_BYTES = 1_000, 16 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Keep Arrow batches of texts small in this session; results do not depend on it."""
+    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        key = f"spark.sql.execution.arrow.{name}"
+        now = spark.conf.get(key, str(most)).lower().rstrip("b")
+        if not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(key, str(most))
+
+
+_kept: dict[str, dict] = {}
+
+
+def worker_table(owner: str | None) -> dict:
+    """A table that a Python worker keeps between tasks of one operator; others' are let go."""
+    if owner not in _kept:
+        _kept.clear()
+    return _kept.setdefault(owner, {}) if owner else {}
+
+
 def map_texts(df: DataFrame, columns: list[Column], schema: str,
               make: Callable[[], Callable[[list, list], list[list]]],
-              bytes_at_once: int = 4 << 20) -> DataFrame:
+              bytes_at_once: int = 4 << 20, owner: str | None = None) -> DataFrame:
     """Run a function over (keys..., text) rows in pieces of bounded size.
 
     ``columns`` end with the text column. ``make`` is called once per task and
     returns a function of (list of key tuples, list of texts or None) that
     gives one list per output column. A piece closes at ``bytes_at_once``, so
-    memory follows that size and the longest text, not the Arrow batch.
+    memory follows that size and the longest text, not the Arrow batch. ``owner``
+    names the operator whose worker table lives on.
     """
+    bounded_batches(df.sparkSession)
     narrow = df.select(*[c.alias(f"_c{i}") for i, c in enumerate(columns)])
     out = to_arrow_schema(_parse_datatype_string(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_table(owner)
         step = make()
         for batch in batches:
             texts = batch.column(batch.num_columns - 1)

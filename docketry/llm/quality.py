@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_texts
+from .common import bounded_batches, map_texts, worker_table
 
 SAMPLE_DOCS, SAMPLE_LINES, ROUNDS = 3_000, 60_000, 200
 
@@ -208,24 +208,26 @@ def score(docs: DataFrame, model: QualityModel, id_col: str = "doc_id",
         return run
 
     return map_texts(docs, [F.col(id_col), F.col(text_col)], f"{id_col} {id_type}, score double",
-                     make, 2 << 20)
+                     make, 1 << 20)
 
 
 def keep_good(docs: DataFrame, model: QualityModel, threshold: float = 0.3,
               text_col: str = "text") -> DataFrame:
     """The documents that score at least ``threshold``, judged in the scan, all columns kept."""
     shipped = docs.sparkSession.sparkContext.broadcast(model)
+    bounded_batches(docs.sparkSession)
 
     @F.pandas_udf("double")
     def scores(texts):
         import pandas as pd
 
+        worker_table(None)
         values = texts.tolist()
         out: list[float] = []
         at = 0
         while at < len(values):
             to, size = at, 0
-            while to < len(values) and (to == at or size + len(values[to] or "") <= 2 << 20):
+            while to < len(values) and (to == at or size + len(values[to] or "") <= 1 << 20):
                 size += len(values[to] or "")
                 to += 1
             out += shipped.value.scores(values[at:to])

@@ -19,12 +19,11 @@ its own. Other columns are ignored.
 from __future__ import annotations
 
 import math
-from functools import lru_cache
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_texts
+from .common import map_texts, worker_table
 
 MARK = "▁"
 KEPT = 400_000
@@ -97,10 +96,13 @@ class TrieCounter:
         return out
 
 
-@lru_cache(maxsize=2)
 def counter_for(path: str) -> tuple[TrieCounter, dict[str, tuple[int, int]]]:
     """The counter and its table of counted words; a worker keeps both between tasks."""
-    return TrieCounter(*zipf_scores(path)), {}
+    kept = worker_table("tokens")
+    if path not in kept:
+        kept.clear()
+        kept[path] = TrieCounter(*zipf_scores(path)), {}
+    return kept[path]
 
 
 def token_counts(docs: DataFrame, vocabulary: str, id_col: str = "doc_id",
@@ -132,4 +134,5 @@ def token_counts(docs: DataFrame, vocabulary: str, id_col: str = "doc_id",
         return run
 
     return map_texts(docs, [F.col(id_col), F.col(text_col)],
-                     f"{id_col} {id_type}, n_words long, n_tokens long, score long", make)
+                     f"{id_col} {id_type}, n_words long, n_tokens long, score long", make,
+                     owner="tokens")

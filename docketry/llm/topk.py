@@ -28,7 +28,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import bounded_batches, worker_table, written
 
 LEVELS = (4, 16)
 # Queries of one block, and vectors of its first slice.
@@ -106,26 +106,23 @@ def best_of(q: np.ndarray, ids: np.ndarray, score: np.ndarray, k: int) -> np.nda
     return order[np.arange(len(order)) - start < k]
 
 
-def search_rows(blocks: list[Queries], ids: np.ndarray, vectors: list, k: int):
-    """(query number, id, score) of the k best of these rows for every query."""
-    lengths = np.array([len(v) for v in vectors])
-    for queries in blocks:
-        rows = np.flatnonzero(lengths == queries.vectors.shape[1])
-        best = (np.zeros(0, np.int64),) * 3
-        floor = queries.floor.copy()
-        for at in range(0, len(rows), ROWS_AT_ONCE):
-            some = rows[at:at + ROWS_AT_ONCE]
-            x = np.array([vectors[i] for i in some], np.int64).reshape(len(some), -1)
-            for a, b, score in candidates(queries, ids[some], x, floor):
-                best = tuple(np.concatenate(p) for p in zip(best, (a, ids[some][b], score)))
-                keep = best_of(*best, k)
-                best = tuple(p[keep] for p in best)
-                counts = np.bincount(best[0], minlength=len(floor))
-                worst = np.full(len(floor), np.iinfo(np.int64).max)
-                np.minimum.at(worst, best[0], best[2])
-                full = counts >= k
-                floor[full] = np.maximum(floor[full], worst[full])
-        yield queries.number[best[0]], best[1], best[2]
+class Search:
+    """The k best rows so far of every query of a task; grows with queries, not with rows."""
+
+    def __init__(self, queries: Queries, k: int):
+        self.queries, self.k, self.floor = queries, k, queries.floor.copy()
+        self.best = (np.zeros(0, np.int64),) * 3
+
+    def add(self, ids: np.ndarray, x: np.ndarray) -> None:
+        for a, b, score in candidates(self.queries, ids, x, self.floor):
+            best = tuple(np.concatenate(p) for p in zip(self.best, (a, ids[b], score)))
+            keep = best_of(*best, self.k)
+            self.best = tuple(p[keep] for p in best)
+        counts = np.bincount(self.best[0], minlength=len(self.floor))
+        worst = np.full(len(self.floor), np.iinfo(np.int64).max)
+        np.minimum.at(worst, self.best[0], self.best[2])
+        full = counts >= self.k
+        self.floor[full] = np.maximum(self.floor[full], worst[full])
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id",
@@ -179,18 +176,41 @@ def _scan(spark, rows: DataFrame, got, floor: np.ndarray, k: int) -> DataFrame:
                               [segment_features(x.astype(float), s) for s in LEVELS], floor[at]))
     shipped = spark.sparkContext.broadcast(packed)
 
+    bounded_batches(spark)
+
     def run(batches):
         import pyarrow as pa
 
+        worker_table(None)
+        searches = [Search(queries, k) for queries in shipped.value]
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+        def flush() -> None:
+            """Meet the rows held with the queries of their length."""
+            for search in searches:
+                width = search.queries.vectors.shape[1]
+                ids, xs = [], []
+                for batch_ids, values, offsets in held:
+                    rows = np.flatnonzero(np.diff(offsets) == width)
+                    ids.append(batch_ids[rows])
+                    xs.append(values[offsets[rows][:, None] + np.arange(width)])
+                search.add(np.concatenate(ids), np.concatenate(xs).reshape(-1, width))
+            held.clear()
+
         for batch in batches:
-            ids = np.asarray(batch.column(0)).astype(np.int64)
             column = batch.column(1)
-            values, offsets = np.asarray(column.flatten()), np.asarray(column.offsets)
-            vectors = [values[a - offsets[0]:b - offsets[0]] for a, b in zip(offsets, offsets[1:])]
-            for q, i, s in search_rows(shipped.value, ids, vectors, k):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(q.astype(np.int32)), pa.array(i), pa.array(s)],
-                    names=["number", "id", "score"])
+            offsets = np.asarray(column.offsets).astype(np.int64)
+            held.append((np.asarray(batch.column(0)).astype(np.int64),
+                         np.asarray(column.flatten()).astype(np.int64), offsets - offsets[0]))
+            if sum(len(h[0]) for h in held) >= ROWS_AT_ONCE:
+                flush()
+        if held:
+            flush()
+        for search in searches:
+            q, i, s = search.best
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(search.queries.number[q].astype(np.int32)), pa.array(i), pa.array(s)],
+                names=["number", "id", "score"])
 
     return rows.mapInArrow(run, "number int, id long, score long")
 

@@ -33,7 +33,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import _parse_datatype_string
 
 from ..operators.sizes import broadcast_within
-from .common import written
+from .common import bounded_batches, worker_table, written
 
 MIN_BYTES = 1000
 END, START = "\r\n\r\n", "WARC/1."
@@ -140,6 +140,7 @@ def parse_record(data: bytes, size_of_head: int, head: dict[str, str], with_payl
 def read_records(spark: SparkSession, path: str, with_payload: bool = False) -> DataFrame:
     """One row per record; without payloads nothing large leaves the scan."""
     schema = FIELDS + (", payload binary" if with_payload else "")
+    bounded_batches(spark)
     out = to_arrow_schema(_parse_datatype_string(schema))
     raw = spark.read.option("lineSep", START).text(path).select(F.col("value").cast("binary"))
 
@@ -154,6 +155,7 @@ def read_records(spark: SparkSession, path: str, with_payload: bool = False) ->
         return stop + 4, head
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_table(None)
         parts: list[bytes] = []
         size = need = 0
         rows: list[list] = []
