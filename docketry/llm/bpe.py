@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 
 from .common import map_texts, worker_table
 
-# Pre-tokens and pairs a worker keeps; a table is emptied when it is full.
-KEPT, PAIRS_KEPT = 300_000, 300_000
+# Pre-tokens and pairs a worker keeps; a full table keeps what the current texts use.
+KEPT, PAIRS_KEPT = 200_000, 200_000
 _NONE = 1 << 40
 
 
@@ -186,7 +186,7 @@ class PrefixState:
         return self.encoder.path(self.last)
 
 
-def encoder_for(path: str) -> tuple[PrefixEncoder, dict[str, tuple[list[int], str]]]:
+def encoder_for(path: str) -> tuple[PrefixEncoder, dict[str, tuple[int, str, bytes]]]:
     """The encoder and its table of encoded pre-tokens; a worker keeps both between tasks."""
     kept = worker_table("bpe")
     if path not in kept:
@@ -212,25 +212,26 @@ def encode_texts(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "
         def run(keys, texts):
             out: list[list] = [[k[0] for k in keys], [], [], []] + ([[]] if with_ids else [])
             pieces = [split(text or "") for text in texts]
-            new = set().union(*pieces).difference(kept)
-            if len(kept) + len(new) > KEPT:
-                kept.clear()
-                new = set().union(*pieces)
-            for word, got in encoder.encode_all(list(new)).items():
-                kept[word] = (got, ",".join(map(str, got)))
+            used = set().union(*pieces)
+            if len(kept) + len(used) > KEPT:
+                for word in kept.keys() - used:
+                    del kept[word]
+            for word, ids in encoder.encode_all(list(used.difference(kept))).items():
+                kept[word] = (len(ids), ",".join(map(str, ids)), encoder.decode(ids))
             for found in pieces:
-                ids: list[int] = []
-                shown = []
-                for got, text in map(kept.__getitem__, found):
-                    ids += got
+                n, shown, data = 0, [], []
+                for count, text, decoded in map(kept.__getitem__, found):
+                    n += count
                     shown.append(text)
-                out[1].append(len(ids))
-                out[2].append(hashlib.sha256(",".join(shown).encode()).hexdigest())
-                out[3].append(hashlib.sha256(encoder.decode(ids)).hexdigest())
+                    data.append(decoded)
+                listed = ",".join(shown)
+                out[1].append(n)
+                out[2].append(hashlib.sha256(listed.encode()).hexdigest())
+                out[3].append(hashlib.sha256(b"".join(data)).hexdigest())
                 if with_ids:
-                    out[4].append(ids)
+                    out[4].append([int(x) for x in listed.split(",")] if listed else [])
             return out
 
         return run
 
-    return map_texts(docs, [F.col(id_col), F.col(text_col)], schema, make, owner="bpe")
+    return map_texts(docs, [F.col(id_col), F.col(text_col)], schema, make, 2 << 20, owner="bpe")

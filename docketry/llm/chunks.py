@@ -167,7 +167,7 @@ def chunk_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         return run
 
     return map_texts(docs.filter(F.col(id_col).isNotNull()), [F.col(id_col), F.col(text_col)],
-                     f"digest long, id {id_type}, begin int, end int, seen int", make)
+                     f"digest long, id {id_type}, begin int, end int, seen int", make, 2 << 20)
 
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",

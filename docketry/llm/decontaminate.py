@@ -164,7 +164,7 @@ def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
 
             return run
 
-        here = map_texts(docs, [F.col(id_col), F.col(text_col)], schema, make)
+        here = map_texts(docs, [F.col(id_col), F.col(text_col)], schema, make, 2 << 20)
         found = here if found is None else found.unionByName(here)
     return found
 

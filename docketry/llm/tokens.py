@@ -26,7 +26,8 @@ from pyspark.sql import functions as F
 from .common import map_texts, worker_table
 
 MARK = "▁"
-KEPT = 400_000
+# Words a worker keeps; a full table keeps what the current texts use.
+KEPT = 300_000
 _WORST = -(1 << 62)
 
 
@@ -115,11 +116,11 @@ def token_counts(docs: DataFrame, vocabulary: str, id_col: str = "doc_id",
 
         def run(keys, texts):
             words = [(t or "").split() for t in texts]
-            new = set().union(*words).difference(kept)
-            if len(kept) + len(new) > KEPT:
-                kept.clear()
-                new = set().union(*words)
-            kept.update(counter.count_all(list(new)))
+            used = set().union(*words)
+            if len(kept) + len(used) > KEPT:
+                for word in kept.keys() - used:
+                    del kept[word]
+            kept.update(counter.count_all(list(used.difference(kept))))
             out: list[list] = [[k[0] for k in keys], [], [], []]
             for found in words:
                 tokens = score = 0
@@ -135,4 +136,4 @@ def token_counts(docs: DataFrame, vocabulary: str, id_col: str = "doc_id",
 
     return map_texts(docs, [F.col(id_col), F.col(text_col)],
                      f"{id_col} {id_type}, n_words long, n_tokens long, score long", make,
-                     owner="tokens")
+                     2 << 20, "tokens")
