@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from .common import map_texts, worker_table
 
 # Pre-tokens and pairs a worker keeps; a full table keeps what the current texts use.
-KEPT, PAIRS_KEPT = 200_000, 200_000
+KEPT, PAIRS_KEPT = 60_000, 220_000
 _NONE = 1 << 40
 
 
