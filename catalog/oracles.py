@@ -577,8 +577,7 @@ ORACLES = {
         ELSE 'chunked' END AS route FROM (
         SELECT sum(length(text))::BIGINT AS n FROM conversations)""",
     "delta_index": f"WITH {_DELTA} SELECT url, pos, {digest('v')} FROM store",
-    "delta_stream": f"WITH {DECISIONS}, {VECTORS} SELECT url FROM vectors UNION"
-    " SELECT url FROM decisions",
+    "delta_stream": f"WITH {_DELTA} SELECT url, {digest('v')} FROM store",
     "encode_documents": f"WITH {DOC_VECTORS} SELECT url, {digest('v')} FROM doc_vec",
     "score_pairs": f"""SELECT t.conv_id, t.turn, {r6('''length(p.text)::DOUBLE
         / (length(p.text) + length(t.text))''')} AS score FROM conversations t

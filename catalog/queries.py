@@ -471,7 +471,7 @@ def generate_cards(spark, sf):
     """A card per distinct decision among twice as many results."""
     docs = views.decisions(spark, sf).select(
         "url", "name", F.col("document_date").alias("date"), F.col("text").alias("full_text"))
-    cards = models.generate_cards(docs.unionByName(docs), max_chars=1_000_000_000)
+    cards = models.generate_cards(docs.unionByName(docs))
     return cards.select("key", "url", F.md5("card").alias("card_md5"))
 
 
@@ -568,10 +568,14 @@ def delta_stream(spark, sf):
     """The decisions arrive as files; the stream adds those the store lacks."""
     root = scratch(spark, "stream")
     vector_store.append_vectors(views.vectors(spark, sf), f"{root}/store")
-    views.decisions(spark, sf).repartition(3).write.parquet(f"{root}/in")
+    views.decisions(spark, sf).select(
+        F.col("name").alias("name_en"), F.col("document_date").alias("document_date_en"),
+        F.col("url").alias("url_en"), F.col("text").alias("unofficial_text_en"),
+    ).repartition(3).write.parquet(f"{root}/in")
     index_stream(spark, f"{root}/in", f"{root}/store", models.hashed_terms(64),
                  f"{root}/checkpoint", files_per_batch=2).awaitTermination()
-    return vector_store.read_vectors(spark, f"{root}/store").select("url")
+    return vector_store.read_vectors(spark, f"{root}/store").select(
+        "url", *_vector_digest("embedding"))
 
 
 def encode_documents(spark, sf):

@@ -32,7 +32,8 @@ def assign_chunks(df: DataFrame, size: int = fixed.CHUNK_SIZE,
     ``df`` has ``length`` and ``pos``, and should be narrow: texts are joined
     back by key later. Adds ``idx`` and ``chunk_id``.
     """
-    numbered = with_dense_index(df, ["length", "pos"], "idx", partitions)
+    order = ["length", "pos"] + ["url"] * ("url" in df.columns)
+    numbered = with_dense_index(df, order, "idx", partitions)
     return numbered.withColumn("chunk_id", F.floor(F.col("idx") / size).cast("long"))
 
 

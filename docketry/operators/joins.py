@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.glossary import detect_terms, glossary
+from ..session import cut_lineage
 from .sizes import broadcast_within
 
 def align(decisions: DataFrame, vectors: DataFrame, check: bool = True) -> DataFrame:
@@ -65,8 +66,11 @@ def hit_documents(hits: DataFrame, decisions: DataFrame, buckets: int | None = N
 
 
 def hit_lookup(hits: DataFrame, decisions: DataFrame) -> DataFrame:
-    """Hits with the columns of their decisions, joined after the top-k."""
-    return decisions.join(broadcast_within(hits), "url")
+    """Hits with the columns of their decisions, joined after the top-k.
+
+    The hits are materialised first, because they are measured and then joined.
+    """
+    return decisions.join(broadcast_within(cut_lineage(hits)), "url")
 
 
 def glossary_join(terms: DataFrame) -> DataFrame:

@@ -20,7 +20,6 @@ from pyspark.sql import types as T
 
 from ..functions.cards import extractive_card, sanitize_card
 from ..functions.text import card_prompt, embed_prompt, result_key
-from ..params import NORMAL
 from .batching import greedy_batches
 from .dedupe import dedupe_keep_first
 
@@ -149,27 +148,43 @@ def score_pairs(pairs: DataFrame, scorer: Scorer, query: str, document: str,
     return pairs.mapInArrow(run, schema)
 
 
+# Longer than any string.
+_WHOLE = (1 << 31) - 1
+
+
+def document_key(text: Column) -> Column:
+    """What a document of ``results`` is known by: its result key, and its text without a url."""
+    key = result_key(F.col("url"), F.col("name"), F.col("date"))
+    none = F.coalesce(F.col("url"), F.lit("")) == ""
+    return F.when(none, F.concat_ws("|", key, F.md5(text))).otherwise(key)
+
+
 def generate_cards(results: DataFrame, generator: Generator | None = None, *,
-                   max_chars: int = NORMAL.generation_max_chars, grounded: bool = False,
+                   max_chars: int | None = None, grounded: bool = False,
                    text: str = "full_text") -> DataFrame:
-    """One summary card per distinct document among ``results``: key, url, card.
+    """One summary card per distinct document among ``results``: key, url, card, document.
 
     ``results`` has url, name, date and a text column. A document that many
-    queries return is summarised once. Without a generator the extractive
-    stand-in is used, as plain column expressions.
+    queries return is summarised once; ``document`` tells documents without a
+    url apart by their text. Whole texts are used unless ``max_chars`` says
+    otherwise. Without a generator the extractive stand-in is used, as plain
+    column expressions.
     """
     order = "_order"
     keyed = results.select(
         result_key(F.col("url"), F.col("name"), F.col("date")).alias("key"),
-        F.coalesce("url", F.lit("")).alias("url"), F.col(text).alias("text"))
+        F.coalesce("url", F.lit("")).alias("url"), F.col(text).alias("text"),
+        document_key(F.col(text)).alias("document"))
     documents = dedupe_keep_first(
-        keyed.withColumn(order, F.xxhash64("text")), "key", order).drop(order)
+        keyed.withColumn(order, F.xxhash64("text")), "document", order).drop(order)
     if generator is None:
-        card = sanitize_card(extractive_card(F.substring("text", 1, max_chars), grounded))
-        return documents.select("key", "url", card.alias("card"))
+        shown = F.col("text") if max_chars is None else F.substring("text", 1, max_chars)
+        card = sanitize_card(extractive_card(shown, grounded))
+        return documents.select("key", "url", card.alias("card"), "document")
 
+    most = _WHOLE if max_chars is None else max_chars
     prompts = documents.select(
-        "key", "url", card_prompt(F.col("text"), max_chars, grounded).alias("prompt"))
+        "key", "url", card_prompt(F.col("text"), most, grounded).alias("prompt"), "document")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -177,8 +192,8 @@ def generate_cards(results: DataFrame, generator: Generator | None = None, *,
             if len(cards) != batch.num_rows:
                 raise ValueError(f"{len(cards)} cards for {batch.num_rows} prompts")
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(cards, pa.string())],
-                names=["key", "url", "card"])
+                [batch.column(0), batch.column(1), pa.array(cards, pa.string()),
+                 batch.column(3)], names=["key", "url", "card", "document"])
 
-    raw = prompts.mapInArrow(run, "key string, url string, card string")
+    raw = prompts.mapInArrow(run, "key string, url string, card string, document string")
     return raw.withColumn("card", sanitize_card(F.col("card")))

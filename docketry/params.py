@@ -11,9 +11,7 @@ class SearchParams:
 
     stage1_top_k: int
     stage2_top_k: int
-    embedding_max_tokens: int
     reranker_max_tokens: int
-    generation_max_tokens: int
     generation_max_chars: int
     landscape: bool
 
@@ -23,8 +21,8 @@ class SearchParams:
 
 
 # The two search modes.
-NORMAL = SearchParams(40, 5, 8192, 8192, 1536, 24000, landscape=False)
-FAST = SearchParams(20, 3, 4096, 2048, 768, 12000, landscape=True)
+NORMAL = SearchParams(40, 5, 8192, 24000, landscape=False)
+FAST = SearchParams(20, 3, 2048, 12000, landscape=True)
 
 
 def params(fast: bool = False) -> SearchParams:

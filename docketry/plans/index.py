@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,18 +15,19 @@ from ..operators.dedupe import dedupe_keep_first, drop_repeats
 from ..operators.joins import align, new_decisions
 from ..operators.models import Encoder, encode
 from ..operators.sizes import BROADCAST_BYTES, broadcast_within, measured_bytes
-from ..session import cut_lineage
+from ..session import cut_lineage, delete_folder
 from ..sources.vector_store import (append_vectors, empty_vectors, read_chunks, read_vectors,
                                     store_exists, write_chunks, write_vectors)
 
 
 class DeltaReport(NamedTuple):
-    """What a delta run did."""
+    """What a delta run did; ``cut`` counts the texts that ``max_chars`` shortened."""
 
     route: str
     before: int
     added: int
     total: int
+    cut: int = 0
 
 
 def build_index(decisions: DataFrame, vectors: DataFrame, path: str) -> DataFrame:
@@ -40,6 +42,8 @@ def new_keys(decisions: DataFrame, store: DataFrame) -> DataFrame:
     Duplicate urls in the corpus are dropped here, ahead of any encoding.
     """
     keys = dedupe_keep_first(decisions.select("pos", "url"), "url", "pos")
+    if not store.filter("url is null").isEmpty():
+        keys = keys.filter("url is not null")     # the store keeps one row without a url
     return cut_lineage(new_decisions(keys, store))
 
 
@@ -48,29 +52,36 @@ def new_documents(decisions: DataFrame, keys: DataFrame) -> DataFrame:
 
     A small delta is picked where texts are read and kept, so the corpus is
     passed once. A delta too large for that is most of the corpus; it is read
-    again when needed, not written a second time.
+    again when needed, not written a second time. A document is known by url and
+    position together: files may each count from 0.
     """
     size = measured_bytes(keys)
+    wanted = broadcast_within(keys.select(F.col("pos").alias("_pos"), F.col("url").alias("_url")),
+                              at_most=size)
     picked = decisions.select("pos", "url", "text").join(
-        broadcast_within(keys.select("pos"), at_most=size), "pos", "left_semi")
+        wanted, F.col("pos").eqNullSafe(F.col("_pos")) & F.col("url").eqNullSafe(F.col("_url")),
+        "left_semi")
     return cut_lineage(picked) if size <= BROADCAST_BYTES else picked
 
 
 def plan_delta(documents: DataFrame, chunk_size: int = fixed.CHUNK_SIZE) -> DataFrame:
-    """Number new documents by (length, pos): source_pos, url, length, idx, chunk_id."""
+    """Number new documents by (length, pos, url): source_pos, url, length, idx, chunk_id."""
     lengths = cut_lineage(documents.select("pos", "url", F.length("text").alias("length")))
     return assign_chunks(lengths, chunk_size).withColumnRenamed("pos", "source_pos")
 
 
 def encode_planned(documents: DataFrame, planned: DataFrame, encoder: Encoder, first_pos: int,
-                   partitions: int, max_chars: int | None = fixed.EMBED_MAX_CHARS) -> DataFrame:
+                   partitions: int, max_chars: int | None = None) -> DataFrame:
     """Vectors of the planned documents, similar lengths side by side.
 
     Texts cross one shuffle. Chunks are dealt out to tasks by number, which
     needs no sampling pass over the texts and spreads long ones.
     """
-    wanted = planned.select(F.col("source_pos").alias("pos"), "idx", "chunk_id")
-    texts = documents.join(broadcast_within(wanted), "pos")
+    wanted = planned.select(F.col("source_pos").alias("_pos"), F.col("url").alias("_url"), "idx",
+                            "chunk_id")
+    texts = documents.join(
+        broadcast_within(wanted),
+        F.col("pos").eqNullSafe(F.col("_pos")) & F.col("url").eqNullSafe(F.col("_url")))
     task = F.pmod("chunk_id", F.lit(partitions)).cast("int")
     ordered = texts.repartitionById(partitions, task).sortWithinPartitions("idx")
     vectors = encode(ordered, encoder, max_chars=max_chars, keep=["url", "idx", "chunk_id"])
@@ -81,12 +92,15 @@ def encode_planned(documents: DataFrame, planned: DataFrame, encoder: Encoder, f
 def delta_index(decisions: DataFrame, store_path: str, encoder: Encoder, *,
                 work_path: str | None = None, chunk_size: int = fixed.CHUNK_SIZE,
                 threshold: int = fixed.CHUNKED_WRITE_THRESHOLD,
-                max_chars: int | None = fixed.EMBED_MAX_CHARS) -> DeltaReport:
+                max_chars: int | None = None) -> DeltaReport:
     """Encode the decisions the store lacks and add them as a new segment.
 
     Nothing new means no text read and nothing written. A small run is one write. A large run
-    writes chunks below ``work_path`` first; when it is started again it skips
-    every url a finished chunk holds. Existing rows are never rewritten.
+    writes chunks to ``work_path`` first; when it is started again it skips
+    every url a finished chunk holds. Without a ``work_path`` the folder is named
+    after the encoder, the cut and the state of the store, so chunks of another
+    run are not taken up. It is deleted once the segment is there. Existing rows
+    are never rewritten. A run that would lose or repeat a document fails.
     """
     spark = decisions.sparkSession
     known = store_exists(spark, store_path)
@@ -100,17 +114,29 @@ def delta_index(decisions: DataFrame, store_path: str, encoder: Encoder, *,
         return DeltaReport(route, size["n"], 0, size["n"])
     documents = new_documents(decisions, keys)
     planned = plan_delta(documents, chunk_size)
+    found = planned.count()
+    if found > n_new:      # equal url and position in several files: one of them stays
+        documents = cut_lineage(documents.dropDuplicates(["pos", "url"]))
+        planned = plan_delta(documents, chunk_size)
+        found = planned.count()
+    if found != n_new:
+        raise ValueError(f"{n_new} new urls, but texts for {found}")
+    cut = 0 if max_chars is None else planned.filter(F.col("length") > max_chars).count()
     tasks = chunk_partitions(n_new, chunk_size)
     if route == "single":
         append_vectors(encode_planned(documents, planned, encoder, first_pos, tasks, max_chars),
                        store_path)
     else:
-        work = work_path or f"{store_path}/_chunks"
+        run = f"{getattr(encoder, '__qualname__', encoder)}|{max_chars}|{size['n']}|{first_pos}"
+        work = work_path or f"{store_path}/_chunks/{hashlib.md5(run.encode()).hexdigest()[:16]}"
         _write_pending(spark, documents, planned, encoder, first_pos, tasks, max_chars, work)
         gathered = matching_keys(read_chunks(spark, work), planned)
         append_vectors(drop_repeats(gathered, "url", "pos"), store_path)
+        delete_folder(spark, work)
     total = read_vectors(spark, store_path, check=False).count()
-    return DeltaReport(route, size["n"], total - size["n"], total)
+    if total - size["n"] != n_new:
+        raise ValueError(f"{n_new} new documents, but {total - size['n']} rows were added")
+    return DeltaReport(route, size["n"], n_new, total, cut)
 
 
 def _write_pending(spark: SparkSession, documents: DataFrame, planned: DataFrame,

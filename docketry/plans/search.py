@@ -13,7 +13,8 @@ from ..functions.sections import pack_text
 from ..functions.text import result_key, snippet
 from ..operators.dedupe import dedupe_keep_first
 from ..operators.joins import hit_documents
-from ..operators.models import Encoder, Scorer, encode_queries, generate_cards, lexical_overlap
+from ..operators.models import (Encoder, Scorer, document_key, encode_queries, generate_cards,
+                                lexical_overlap)
 from ..operators.ranking import (assign_rank, authority_rerank, outcome_diversity, rerank_topk)
 from ..operators.sizes import BROADCAST_BYTES, broadcast_within, measured_bytes
 from ..operators.vector_blocks import semantic_topk
@@ -137,17 +138,17 @@ def _summary(queries: DataFrame, hits: DataFrame, assessed: DataFrame,
     )
 
 
-def top_cards(results: DataFrame, generator=None, *, params: SearchParams = NORMAL,
+def top_cards(results: DataFrame, generator=None, *, max_chars: int | None = None,
               grounded: bool = False) -> DataFrame:
     """Summary card of every query's best result by authority: query_id, key, url, card.
 
     The best row is the authority-top one, also when the landscape order puts
-    another row first.
+    another row first. Whole texts are used unless ``max_chars`` (a model's limit,
+    such as ``params.generation_max_chars``) is given.
     """
     best = Window.partitionBy("query_id").orderBy(F.desc("authority_score"), F.asc("rank"))
     top = results.withColumn("_n", F.row_number().over(best)).filter("_n = 1").drop("_n")
-    cards = generate_cards(top, generator, max_chars=params.generation_max_chars,
-                           grounded=grounded)
-    keys = top.select("query_id", result_key(
-        F.col("url"), F.col("name"), F.col("date")).alias("key"))
-    return keys.join(cards, "key")
+    top = cut_lineage(top)
+    cards = generate_cards(top, generator, max_chars=max_chars, grounded=grounded)
+    keys = top.select("query_id", document_key(F.col("full_text")).alias("document"))
+    return keys.join(cards, "document").drop("document")

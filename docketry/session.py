@@ -54,13 +54,32 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def is_local(master: str) -> bool:
+    """Whether driver and executors are one process."""
+    return master == "local" or master.startswith("local[")
+
+
+def delete_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder this package wrote, wherever Spark can write."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder the session names; a temporary one only where it names none."""
+    """The shared folder the session names; a temporary one only in local mode without one.
+
+    On a cluster a folder of the driver's machine would be lost to the executors,
+    so there a session without ``spark.checkpoint.dir`` is refused.
+    """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
-    folder = sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="docketry-")
+    folder = sc.getConf().get("spark.checkpoint.dir")
+    if not folder:
+        if not is_local(sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="docketry-")
     sc.setCheckpointDir(folder)
     return sc.getCheckpointDir()
 

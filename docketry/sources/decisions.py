@@ -8,10 +8,14 @@ from pyspark.sql import functions as F
 from .. import fixed_values as fixed
 from ..functions.text import has_text
 from ..operators.joins import url_bucket
+from ..operators.sizes import broadcast_within
 from ..schemas import require_columns
+from ..session import cut_lineage
 
 # Bits of ``pos`` that count rows inside one file.
 _ROW_BITS = 40
+# Largest table of file names that is sent to every executor, about two million files.
+_FILE_TABLE_BYTES = 256 * 1024 * 1024
 
 
 def drop_blank_text(df: DataFrame, text: str = "text") -> DataFrame:
@@ -46,19 +50,19 @@ def dev_limit(df: DataFrame, n: int = fixed.DEV_ROW_LIMIT) -> DataFrame:
 def _with_file_position(raw: DataFrame) -> DataFrame:
     """Add ``pos``, the row order of the files, from scan metadata: no sort, no shuffle.
 
-    With several files, the files are numbered by path; that table has one
-    row per file and is all that is joined.
+    With several files, the files are numbered by path. That table has one row
+    per file; it is measured and sent to the scan, so texts stay where they are.
     """
     row = F.col("_metadata.row_index")
     if len(raw.inputFiles()) <= 1:
         return raw.withColumn("pos", row)
-    files = (
+    files = cut_lineage(
         raw.select(F.col("_metadata.file_path").alias("_file")).distinct()
         .select("_file", F.row_number().over(Window.orderBy("_file")).alias("_n"))
     )
     tagged = raw.select("*", F.col("_metadata.file_path").alias("_file"), row.alias("_row"))
     pos = F.shiftleft(F.col("_n").cast("long") - 1, _ROW_BITS) + F.col("_row")
-    return tagged.join(files, "_file").withColumn("pos", pos).drop("_file", "_n", "_row")
+    return tagged.join(broadcast_within(files, _FILE_TABLE_BYTES), "_file").withColumn("pos", pos).drop("_file", "_n", "_row")
 
 
 def spread_small(df: DataFrame, key: str) -> DataFrame:

@@ -2,30 +2,48 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from .. import fixed_values as fixed
 from ..operators.models import Encoder
 from ..plans.index import delta_index
-from ..schemas import DECISIONS
-from ..sources.decisions import drop_blank_text
+from ..schemas import require_columns
+from ..sources.decisions import candidate_projection, drop_blank_text
+
+# Column types of corpus files.
+CORPUS = "url_en string, name_en string, document_date_en string, unofficial_text_en string"
 
 
 def index_stream(spark: SparkSession, source: str, store_path: str, encoder: Encoder,
-                 checkpoint: str, *, schema: str = DECISIONS, files_per_batch: int | None = None,
-                 available_now: bool = True) -> StreamingQuery:
+                 checkpoint: str, *, schema: str = CORPUS, files_per_batch: int | None = None,
+                 available_now: bool = True, max_chars: int | None = None) -> StreamingQuery:
     """Index new Parquet files below ``source`` into the store, batch by batch.
 
-    A batch that is run again after a failure adds nothing twice: urls already
+    Files have the corpus columns, as ``read_decisions`` wants them, and need no
+    position; a document is known by its url, and rows of a batch are ordered as
+    they are met. Rows without any of those values (files of another layout) fail the batch. A batch that is run again after a failure adds nothing twice: urls already
     in the store are left out. The stream checkpoint remembers finished files.
     """
     reader = spark.readStream.schema(schema)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    arriving = drop_blank_text(reader.parquet(source))
+    arriving = reader.parquet(source)
+    require_columns(arriving, fixed.REQUIRED_COLUMNS)
 
     def add(batch: DataFrame, batch_id: int) -> None:
-        delta_index(batch, store_path, encoder, work_path=f"{checkpoint}/chunks-{batch_id}")
+        nothing = reduce(and_, [F.col(c).isNull() for c in fixed.REQUIRED_COLUMNS])
+        if not batch.filter(nothing).isEmpty():
+            raise ValueError(f"batch {batch_id} has rows without any of {fixed.REQUIRED_COLUMNS}")
+        decisions = drop_blank_text(candidate_projection(batch.drop("pos")))
+        # The same files in the same order on every pass over the batch.
+        numbered = decisions.withColumn("pos", F.monotonically_increasing_id())
+        delta_index(numbered, store_path, encoder, max_chars=max_chars,
+                    work_path=f"{checkpoint}/chunks-{batch_id}")
 
     writer = arriving.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint)
     if available_now:

@@ -37,11 +37,11 @@ def test_delta_adds_what_is_missing_once(spark, tmp_path, threshold, route):
     append_vectors(store_of(spark, [f"u{i}" for i in range(10)]), path)
     encoder = models.hashed_terms(4)
     report = delta_index(df, path, encoder, threshold=threshold, chunk_size=8)
-    assert report == (route, 10, 20, 30)
+    assert report == (route, 10, 20, 30, 0)
     assert urls(spark, path) == sorted(f"u{i}" for i in range(30))
     rows = read_vectors(spark, path).orderBy("pos").collect()
     assert [r["pos"] for r in rows] == list(range(30))
-    assert delta_index(df, path, encoder, threshold=threshold) == ("none", 30, 0, 30)
+    assert delta_index(df, path, encoder, threshold=threshold) == ("none", 30, 0, 30, 0)
     # Positions of new rows follow text length.
     lengths = {r["url"]: len(r["text"]) for r in df.collect()}
     added = [lengths[r["url"]] for r in rows[10:]]
@@ -50,7 +50,7 @@ def test_delta_adds_what_is_missing_once(spark, tmp_path, threshold, route):
 
 def test_delta_starts_a_store(spark, tmp_path):
     path = str(tmp_path / "v")
-    assert delta_index(corpus(spark, 5), path, models.hashed_terms(4)) == ("single", 0, 5, 5)
+    assert delta_index(corpus(spark, 5), path, models.hashed_terms(4)) == ("single", 0, 5, 5, 0)
 
 
 def test_duplicates_in_the_corpus_are_encoded_once(spark, tmp_path):
@@ -233,10 +233,65 @@ def test_stream_adds_new_files_and_survives_a_replay(spark, tmp_path):
                      files_per_batch=1).awaitTermination()
         return urls(spark, path)
 
-    corpus(spark, 10).coalesce(1).write.mode("append").parquet(source)
+    def arrive(n, start=0):
+        rows = corpus(spark, n, start=start)
+        rows.select(F.col("name").alias("name_en"), F.col("document_date").alias("document_date_en"),
+                    F.col("url").alias("url_en"), F.col("text").alias("unofficial_text_en")
+                    ).coalesce(1).write.mode("append").parquet(source)
+
+    arrive(10)
     assert len(run("c1")) == 10
-    corpus(spark, 15, start=5).coalesce(1).write.mode("append").parquet(source)
+    arrive(15, 5)
     assert len(run("c1")) == 20
     # A lost stream checkpoint replays every file; nothing is added twice.
     assert len(run("c2")) == 20
     assert sorted(r["pos"] for r in read_vectors(spark, path).collect()) == list(range(20))
+
+
+def test_files_that_each_count_from_zero_lose_nothing(spark, tmp_path):
+    one = corpus(spark, 20)
+    two = corpus(spark, 20, start=100).withColumn("pos", F.col("pos") - F.lit(100))
+    calls = spark.sparkContext.accumulator(0)
+    inner = models.hashed_terms(4)
+
+    def encoder(texts):
+        calls.add(len(texts))
+        return inner(texts)
+
+    for threshold in (1000, 1):
+        path = str(tmp_path / f"v{threshold}")
+        before = calls.value
+        assert delta_index(one.unionByName(two).unionByName(two.limit(3)), path, encoder,
+                           threshold=threshold).added == 40
+        rows = read_vectors(spark, path, check=False).collect()
+        assert len({r["url"] for r in rows}) == len({r["pos"] for r in rows}) == len(rows) == 40
+        assert calls.value - before == 40
+
+
+def test_chunks_of_another_run_are_not_reused(spark, tmp_path):
+    import os
+
+    path = str(tmp_path / "v")
+    delta_index(corpus(spark, 12), path, models.hashed_terms(4), threshold=1)
+    chunks = f"{path}/_chunks"
+    assert not os.path.isdir(chunks) or not os.listdir(chunks)
+
+
+def test_a_null_url_is_encoded_once(spark, tmp_path):
+    path = str(tmp_path / "v")
+    df = corpus(spark, 3).withColumn("url", F.when(F.col("pos") > 0, F.col("url")))
+    assert delta_index(df, path, models.hashed_terms(4)).added == 3
+    assert delta_index(df, path, models.hashed_terms(4)) == ("none", 3, 0, 3, 0)
+
+
+def test_a_stream_of_another_layout_fails(spark, tmp_path):
+    source = str(tmp_path / "in")
+    corpus(spark, 4).coalesce(1).write.parquet(source)
+    with pytest.raises(Exception, match="without any of"):
+        index_stream(spark, source, str(tmp_path / "v"), models.hashed_terms(4),
+                     str(tmp_path / "c")).awaitTermination()
+
+
+def test_cut_texts_are_reported(spark, tmp_path):
+    df = corpus(spark, 3, words=50)
+    assert delta_index(df, str(tmp_path / "v"), models.hashed_terms(4), max_chars=7).cut == 3

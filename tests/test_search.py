@@ -148,11 +148,11 @@ def test_cards_for_the_best_by_authority(world, spark):
         calls.add(len(prompts))
         return [f"<think>x</think>hi **Issue:** {len(p)}" for p in prompts]
 
-    cards = S.top_cards(results, generator, params=FAST).collect()
+    cards = S.top_cards(results, generator, max_chars=FAST.generation_max_chars).collect()
     assert {r["query_id"]: r["url"] for r in cards} == {q: u for q, (_, u) in best.items()}
     assert all(r["card"].startswith("**Issue:** ") for r in cards)
     assert calls.value == len({u for _, u in best.values()})
-    stand_in = S.top_cards(results, params=FAST, grounded=True).collect()
+    stand_in = S.top_cards(results, grounded=True).collect()
     assert all("[Source: para 2-4 | explicit]" in r["card"] for r in stand_in)
 
 

@@ -4,6 +4,8 @@ from pyspark.sql import functions as F
 from docketry.sources import decisions as S
 from docketry.sources import vector_store as VS
 
+from .conftest import plan_of
+
 NAMES = "name_en string, document_date_en date, url_en string, unofficial_text_en string"
 
 
@@ -96,3 +98,26 @@ def test_chunks_are_replaced_one_by_one(spark, tmp_path):
     VS.write_chunks(rows.withColumn("chunk_id", (F.col("pos") / 2).cast("long")), path)
     VS.write_chunks(vectors(spark, [(9, "u9", [1.0])]).withColumn("chunk_id", F.lit(1)), path)
     assert {r["url"] for r in VS.read_chunks(spark, path).collect()} == {"u0", "u1", "u9"}
+
+
+def test_texts_of_many_files_are_not_shuffled(spark, tmp_path):
+    path = str(tmp_path / "corpus")
+    rows = [(f"n{i}", "2020", f"u{i}", f"text {i}") for i in range(40)]
+    spark.createDataFrame(rows, "name_en string, document_date_en string, url_en string,"
+                          " unofficial_text_en string").repartition(4).write.parquet(path)
+    limit = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(limit)
+    spark.conf.set(limit, "-1")
+    try:
+        df = S.read_decisions(spark, path)
+        assert df.select("pos").distinct().count() == 40
+        assert "hashpartitioning" not in plan_of(df) and "SortMergeJoin" not in plan_of(df)
+    finally:
+        spark.conf.set(limit, before)
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from docketry.session import is_local
+
+    assert is_local("local") and is_local("local[4]")
+    assert not is_local("local-cluster[2,1,1024]") and not is_local("yarn")
