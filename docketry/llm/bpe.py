@@ -234,4 +234,4 @@ def encode_texts(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "
 
         return run
 
-    return map_texts(docs, [F.col(id_col), F.col(text_col)], schema, make, 2 << 20, owner="bpe")
+    return map_texts(docs, [F.col(id_col), F.col(text_col)], schema, make, 1 << 19, owner="bpe")

@@ -136,4 +136,4 @@ def token_counts(docs: DataFrame, vocabulary: str, id_col: str = "doc_id",
 
     return map_texts(docs, [F.col(id_col), F.col(text_col)],
                      f"{id_col} {id_type}, n_words long, n_tokens long, score long", make,
-                     2 << 20, "tokens")
+                     1 << 20, "tokens")
