@@ -30,4 +30,6 @@ def test_entry(spark):
     import __spark_entry__ as entry
 
     assert entry.entry(spark).count() > 0
-    assert entry.queries().keys() == entry.oracle_sql().keys()
+    # Training-data queries come on top; not all of those have a twin in SQL.
+    assert QUERIES.keys() <= entry.queries().keys()
+    assert QUERIES.keys() <= entry.oracle_sql().keys() <= entry.queries().keys()
