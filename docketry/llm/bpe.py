@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from .common import map_texts, worker_table
 
 # Pre-tokens and pairs a worker keeps; a full table keeps what the current texts use.
-KEPT, PAIRS_KEPT = 60_000, 220_000
+KEPT, PAIRS_KEPT = 60_000, 170_000
 _NONE = 1 << 40
 
 
@@ -36,20 +36,20 @@ class PrefixEncoder:
     """Encodes byte strings with the ranks of a vocabulary."""
 
     def __init__(self, ranks: dict[bytes, int]):
+        import ahocorasick
+
         self.ranks = ranks
         self.bytes_of = {rank: piece for piece, rank in ranks.items()}
         self.length_of = {rank: len(piece) for piece, rank in ranks.items()}
         self.longest = max(map(len, ranks), default=1)
         self._built: dict[int, bool] = {}
         self._pairs: dict[int, bool] = {}
-        # Tokens read from their last byte to their first: (node << 8 | byte) -> node.
-        self._back: dict[int, int] = {}
-        self._token_at: dict[int, int] = {}
+        # Finds the tokens that end at each byte, longest first; bytes stand as Latin-1 letters.
+        self._tokens = ahocorasick.Automaton()
         for piece, rank in ranks.items():
-            node = 0
-            for byte in reversed(piece):
-                node = self._back.setdefault(node << 8 | byte, len(self._back) + 1)
-            self._token_at[node] = rank
+            self._tokens.add_word(piece.decode("latin-1"), (rank, len(piece)))
+        if ranks:
+            self._tokens.make_automaton()
 
     def _merge(self, data: bytes) -> list[bytes]:
         """Plain BPE on a short string: merge the lowest rank, leftmost first."""
@@ -77,39 +77,39 @@ class PrefixEncoder:
         return known
 
     def _stays_apart(self, left: int, right: int) -> bool:
-        a, b = self.bytes_of[left], self.bytes_of[right]
+        """Whether BPE builds ``right`` and leaves the two tokens as they are."""
         if len(self._pairs) >= PAIRS_KEPT:
             self._pairs.clear()
-        known = self._pairs[left << 32 | right] = self._merge(a + b) == [a, b]
+        a, b = self.bytes_of[left], self.bytes_of[right]
+        known = self._pairs[left << 32 | right] = (
+            self._is_built(right) and self._merge(a + b) == [a, b])
         return known
 
     def extend(self, data: bytes, last: list[int], upto: int | None = None) -> list[int]:
         """Fill ``last`` up to ``upto``; ``last[i]`` ends the encoding of ``data[:i + 1]``."""
-        back, token_at, pairs = self._back.get, self._token_at.get, self._pairs
-        for end in range(len(last) + 1, (len(data) if upto is None else upto) + 1):
-            node, ends = 0, []
-            for start in range(end - 1, -1, -1):
-                node = back(node << 8 | data[start])
-                if node is None:
-                    break
-                token = token_at(node)
-                if token is not None:
-                    ends.append((start, token))
-            found = None
-            for start, token in reversed(ends):
-                if start == 0:
-                    fits = True
-                else:
-                    before = last[start - 1]
-                    fits = pairs.get(before << 32 | token)
-                    if fits is None:
-                        fits = self._stays_apart(before, token)
-                if fits and self._is_built(token):
-                    found = token
-                    break
-            if found is None:
-                raise ValueError(f"no token for byte {data[end - 1]}")
-            last.append(found)
+        done, stop = len(last), len(data) if upto is None else upto
+        if done >= stop:
+            return last
+        pairs = self._pairs.get
+        at = max(0, done + 1 - self.longest)
+        for end, (token, size) in self._tokens.iter(data[at:stop].decode("latin-1")):
+            end += at
+            if end < done:
+                continue
+            if end > done:
+                break
+            if size > end:
+                fits = self._is_built(token)
+            else:
+                before = last[end - size]
+                fits = pairs(before << 32 | token)
+                if fits is None:
+                    fits = self._stays_apart(before, token)
+            if fits:
+                last.append(token)
+                done += 1
+        if done < stop:
+            raise ValueError(f"no token for byte {data[done]}")
         return last
 
     def path(self, last: list[int]) -> list[int]:
