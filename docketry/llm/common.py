@@ -36,7 +36,7 @@ def remainder_of_id(id_column: Column, divisor: int) -> Column:
 
 
 # Rows and bytes that a Python worker gets at once; texts may be long.
-BATCH_ROWS, BATCH_BYTES = 1_000, 16 << 20
+BATCH_ROWS, BATCH_BYTES = 500, 4 << 20
 
 
 def bounded_batches(spark: SparkSession) -> None:
@@ -52,7 +52,11 @@ _kept: dict[str, dict] = {}
 
 
 def worker_table(owner: str | None) -> dict:
-    """A table that a Python worker keeps between tasks of one operator; others' are let go."""
+    """A table that a Python worker keeps between tasks of one operator.
+
+    Tables of other operators and memory that Arrow holds unused are let go.
+    """
+    pa.default_memory_pool().release_unused()
     if owner not in _kept:
         _kept.clear()
     return _kept.setdefault(owner, {}) if owner else {}
@@ -88,6 +92,8 @@ def map_texts(df: DataFrame, columns: list[Column], schema: str,
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(values, type=field.type)
                      for values, field in zip(made, out)], schema=out)
+            del batch, texts
+            pa.default_memory_pool().release_unused()
 
     return narrow.mapInArrow(run, schema)
 
