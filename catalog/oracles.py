@@ -373,6 +373,9 @@ def _card_prompt(system: str, n: int) -> str:
     return f"md5({start} || left(text, {n}) || {end})"
 
 
+# The best result of every query, among those the landscape chose.
+_BEST = """best AS (SELECT * FROM chosen QUALIFY row_number() OVER (PARTITION BY query_id
+    ORDER BY authority_score DESC, rank) = 1)"""
 _SCORE = "((pos % 101) / 100.0::DOUBLE)"
 _YEAR = year_of("document_date")
 
@@ -573,9 +576,27 @@ ORACLES = {
     + "SELECT chunk_id, idx, tokens, batch_id FROM batched",
     "pending_chunks": f"WITH {DECISIONS}, {VECTORS}, {_CHUNKED} SELECT url, chunk_id FROM chunked"
     " WHERE url NOT IN (SELECT url FROM vectors)",
-    "plan_route": """SELECT n, CASE WHEN n = 0 THEN 'none' WHEN n < 1000 THEN 'single'
+    "plan_route": """SELECT conv_id, n, CASE WHEN n = 0 THEN 'none' WHEN n < 1000 THEN 'single'
         ELSE 'chunked' END AS route FROM (
-        SELECT sum(length(text))::BIGINT AS n FROM conversations)""",
+        SELECT conv_id, sum(length(text))::BIGINT AS n FROM conversations GROUP BY conv_id)""",
+    "search_statuses": with_(*search_ctes(FAST), """n_hit AS (
+        SELECT query_id, count(*) AS n_hits FROM hits GROUP BY query_id)""") + f"""
+        SELECT 'all' AS run, query_id, 'ok' AS status, n_hits, outcome_diversity,
+          n >= 2 AS landscape_mode FROM (
+          SELECT query_id, count(*) AS n, {_DIVERSE} AS outcome_diversity
+          FROM assessed GROUP BY query_id) JOIN n_hit USING (query_id)
+        UNION ALL SELECT 'no_vectors', query_id, 'no_candidates', 0, true, false FROM asked_text
+        UNION ALL SELECT 'no_texts', query_id, 'none_after_rerank', n_hits, true, false
+          FROM n_hit""",
+    "top_cards": with_(*search_ctes(FAST), landscape_of("assessed"), cards(False), _BEST)
+    + "SELECT query_id, url AS key, url, md5(card) AS card_md5 FROM best JOIN card USING (url)",
+    "top_cards_grounded": with_(*search_ctes(FAST), landscape_of("assessed"), _BEST)
+    + f"""SELECT query_id, url AS key, url, md5({q('**Issue:**' + chr(10) + '- ')}
+        || {_card_prompt(fixed.GROUNDED_CARD_PROMPT, 2147483647)}) AS card_md5 FROM best""",
+    "cards_without_url": with_(*SECTIONS, cards(False)) + f"""SELECT coalesce(nullif(
+        {_result_url}, ''), 'rank-1:Unnamed:' || coalesce(document_date, '')) AS key,
+        {_result_url} AS url, md5(card) AS card_md5 FROM card JOIN decisions USING (url)""",
+    "write_vectors": f"WITH {DOC_VECTORS} SELECT url, pos, {digest('v')} FROM doc_vec",
     "delta_index": f"WITH {_DELTA} SELECT url, pos, {digest('v')} FROM store",
     "delta_stream": f"WITH {_DELTA} SELECT url, {digest('v')} FROM store",
     "encode_documents": f"WITH {DOC_VECTORS} SELECT url, {digest('v')} FROM doc_vec",
@@ -584,13 +605,18 @@ ORACLES = {
         JOIN conversations p ON p.conv_id = t.conv_id AND p.turn = t.turn - 1""",
 }
 ORACLES["cosine_topk_grid"] = ORACLES["cosine_topk"]
-ORACLES["delta_index_chunked"] = ORACLES["delta_index"]
+for _same in ("delta_index_chunked", "delta_resume", "delta_reindex"):
+    ORACLES[_same] = ORACLES["delta_index"]
+for _same in ("search_seeded", "search_bucketed"):
+    ORACLES[_same] = ORACLES["search_fast"]
+ORACLES["build_index"] = ORACLES["align"]
 
 # Columns that are 32-bit integers in Spark.
 _INTEGERS = {
     "candidate_projection": ["n"], "estimate_tokens": ["tokens"], "cosine_topk": ["stage1_rank"],
     "cosine_topk_grid": ["stage1_rank"], "hit_lookup": ["stage1_rank", "n"],
     "search_normal": ["rank"], "search_fast": ["rank"], "search_summary": ["n_hits"],
+    "search_seeded": ["rank"], "search_bucketed": ["rank"], "search_statuses": ["n_hits"],
     "rerank_topk": ["stage2_rank"], "authority_rerank": ["authority_rank"],
     "landscape": ["rank"], "grounding": ["citations"], "section_profile": ["place", "length"],
     "document_terms": ["ord"], "claim_sources": ["ord"]}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -228,11 +229,13 @@ def hit_lookup(spark, sf):
                         F.length("text").alias("n"))
 
 
-def _search(spark, sf, params):
-    return search.search(
-        views.text_queries(spark, sf), views.decisions(spark, sf),
-        views.document_vectors(spark, sf), params=params,
-        encoder=models.hashed_terms(64), as_of_year=YEAR)
+def _search(spark, sf, params, decisions=None, vectors=None, **options):
+    if decisions is None:
+        decisions = views.decisions(spark, sf)
+    if vectors is None:
+        vectors = views.document_vectors(spark, sf)
+    return search.search(views.text_queries(spark, sf), decisions, vectors, params=params,
+                         encoder=models.hashed_terms(64), as_of_year=YEAR, **options)
 
 
 def _result_columns(results):
@@ -256,6 +259,47 @@ def search_summary(spark, sf):
     return _search(spark, sf, FAST).summary
 
 
+def search_seeded(spark, sf):
+    """Fast search that takes its bars from the embeddings' urls first."""
+    vecs = views.document_vectors(spark, sf)
+    seed = vecs.join(views.vectors(spark, sf).select("url"), "url", "left_semi")
+    return _result_columns(_search(spark, sf, FAST, vectors=vecs, seed=seed).results)
+
+
+def search_bucketed(spark, sf):
+    """Fast search over a corpus laid out by url bucket."""
+    path = scratch(spark, "bucketed")
+    source.write_bucketed(views.decisions(spark, sf), path, 8)
+    return _result_columns(_search(spark, sf, FAST, decisions=spark.read.parquet(path),
+                                   buckets=8).results)
+
+
+def search_statuses(spark, sf):
+    """Summaries of three searches: the whole corpus, a store without rows, texts of other urls."""
+    docs, vecs = views.decisions(spark, sf), views.document_vectors(spark, sf)
+    other = docs.withColumn("url", F.concat(F.lit("other:"), "url"))
+    runs = {"all": {}, "no_vectors": {"vectors": vecs.filter("url is null")},
+            "no_texts": {"decisions": other}}
+    return dedupe.union_all(*[
+        _search(spark, sf, FAST, **changed).summary.select(F.lit(run).alias("run"), "*")
+        for run, changed in runs.items()])
+
+
+def top_cards(spark, sf):
+    """The card of every query's best result."""
+    return search.top_cards(_search(spark, sf, FAST).results).select(
+        "query_id", "key", "url", F.md5("card").alias("card_md5"))
+
+
+def top_cards_grounded(spark, sf):
+    """The same through a Python generator, which sees the grounded prompt of the whole text."""
+    def generator(prompts):
+        return ["Hello.\n**Issue:**\n- " + hashlib.md5(p.encode()).hexdigest() for p in prompts]
+
+    cards = search.top_cards(_search(spark, sf, FAST).results, generator, grounded=True)
+    return cards.select("query_id", "key", "url", F.md5("card").alias("card_md5"))
+
+
 def _scored(spark, sf):
     """Results made from the conversations: a score and a date per turn, its text as decision."""
     turns = table(spark, sf, "conversations")
@@ -475,6 +519,16 @@ def generate_cards(spark, sf):
     return cards.select("key", "url", F.md5("card").alias("card_md5"))
 
 
+def cards_without_url(spark, sf):
+    """Most decisions share a name and date here, and a third has no url: one card each."""
+    docs = views.decisions(spark, sf)
+    cards = models.generate_cards(docs.select(
+        F.when(F.pmod("pos", F.lit(3)) != 0, F.col("url")).alias("url"),
+        F.lit("Unnamed").alias("name"), F.col("document_date").alias("date"),
+        F.col("text").alias("full_text")))
+    return cards.select("key", "url", F.md5("card").alias("card_md5"))
+
+
 # --- joins, dedupe and index ---------------------------------------------------------------
 
 def align(spark, sf):
@@ -541,9 +595,7 @@ def plan_route(spark, sf):
     """The route each conversation's worth of text would take, by its characters."""
     sizes = table(spark, sf, "conversations").groupBy("conv_id").agg(
         F.sum(F.length("text")).alias("n"))
-    total = sizes.agg(F.sum("n").alias("n"))
-    n = total.first()["n"]
-    return total.select("n", F.lit(batching.plan_route(n)).alias("route"))
+    return sizes.select("conv_id", "n", batching.route_column(F.col("n")).alias("route"))
 
 
 def _delta(spark, sf, threshold):
@@ -556,6 +608,50 @@ def _delta(spark, sf, threshold):
         "embedding"))
 
 
+def delta_resume(spark, sf):
+    """A chunked run that was broken off: the chunks it had written are not encoded again."""
+    path, work = scratch(spark, "store"), scratch(spark, "work")
+    vector_store.append_vectors(views.vectors(spark, sf), path)
+    docs, encoder = views.decisions(spark, sf), models.hashed_terms(64)
+    store = vector_store.read_vectors(spark, path, check=False)
+    first = store.agg(F.max("pos")).first()[0] + 1
+    fresh = index.new_documents(docs, index.new_keys(docs, store))
+    # The first chunks were finished when it stopped.
+    done = index.plan_delta(fresh, 100).filter("chunk_id < 3")
+    vector_store.write_chunks(index.encode_planned(fresh, done, encoder, first, 3), work)
+    index.delta_index(docs, path, encoder, threshold=1, chunk_size=100, work_path=work)
+    return vector_store.read_vectors(spark, path).select("url", "pos", *_vector_digest(
+        "embedding"))
+
+
+def delta_reindex(spark, sf):
+    """A store filled by one encoder, put back, and filled by another."""
+    path, docs = scratch(spark, "store"), views.decisions(spark, sf)
+    vector_store.append_vectors(views.vectors(spark, sf), path)
+    index.delta_index(docs, path, models.hashed_terms(32), threshold=1)
+    vector_store.write_vectors(views.vectors(spark, sf), path)
+    index.delta_index(docs, path, models.hashed_terms(64), threshold=1)
+    return vector_store.read_vectors(spark, path).select("url", "pos", *_vector_digest(
+        "embedding"))
+
+
+def build_index(spark, sf):
+    """The store aligned to the decisions, normalised, written and read back."""
+    built = index.build_index(views.decisions(spark, sf), views.vectors(spark, sf),
+                              scratch(spark, "index"))
+    return built.select("pos", "url", F.round(V.l2_norm(F.col("embedding")), 4).alias("norm"))
+
+
+def write_vectors(spark, sf):
+    """A store of two segments is replaced by vectors of all documents."""
+    path = scratch(spark, "store")
+    vector_store.append_vectors(views.vectors(spark, sf), path)
+    vector_store.append_vectors(views.vectors(spark, sf), path)
+    vector_store.write_vectors(views.document_vectors(spark, sf), path)
+    return vector_store.read_vectors(spark, path).select("url", "pos", *_vector_digest(
+        "embedding"))
+
+
 def delta_index(spark, sf):
     return _delta(spark, sf, fixed.CHUNKED_WRITE_THRESHOLD)
 
@@ -607,5 +703,7 @@ QUERIES = {f.__name__: f for f in (
     card_sections, claim_sources, claim_confidence, generate_cards, align, missing_vectors,
     new_decisions, membership_set, dedupe_keep_first, duplicate_counts, merge_store,
     assign_chunks, assign_batches, pending_chunks, plan_route, delta_index, delta_index_chunked,
-    delta_stream, encode_documents, score_pairs)}
+    delta_stream, encode_documents, score_pairs, search_seeded, search_bucketed, search_statuses,
+    top_cards, top_cards_grounded, cards_without_url, delta_resume, delta_reindex, build_index,
+    write_vectors)}
 QUERIES["detect_terms"] = detect

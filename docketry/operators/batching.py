@@ -20,6 +20,11 @@ def plan_route(n_new: int, threshold: int = fixed.CHUNKED_WRITE_THRESHOLD) -> st
     return "single" if n_new < threshold else "chunked"
 
 
+def route_column(n_new: Column, threshold: int = fixed.CHUNKED_WRITE_THRESHOLD) -> Column:
+    """``plan_route`` of a column of counts."""
+    return F.when(n_new == 0, "none").when(n_new < threshold, "single").otherwise("chunked")
+
+
 def chunk_partitions(n_new: int, size: int = fixed.CHUNK_SIZE, most: int = 20_000) -> int:
     """Tasks of a chunked run: one per chunk, up to ``most``."""
     return max(1, min(most, math.ceil(n_new / size)))

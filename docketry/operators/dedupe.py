@@ -71,5 +71,8 @@ def union_all(*parts: DataFrame) -> DataFrame:
 
 
 def merge_store(store: DataFrame, *added: DataFrame) -> DataFrame:
-    """Existing rows and new ones, one row per url, the lowest position first."""
-    return dedupe_keep_first(union_all(store, *added), "url", "pos")
+    """Existing rows and new ones, one row per url, the lowest position first.
+
+    Only keys are shuffled unless a lot repeats (see ``drop_repeats``).
+    """
+    return drop_repeats(union_all(store, *added), "url", "pos")

@@ -21,6 +21,10 @@ from ..functions.vectors import (NORM_FLOOR, SCORE_DECIMALS, WORST_SCORE, cosine
 BROADCAST_QUERIES = 4096
 # Vectors per cell of the shuffled way.
 CELL_VECTORS = 65536
+# Bytes of queries (doubles) and of a cell's vectors (floats); wide vectors lower the counts.
+QUERY_BYTES, CELL_BYTES = 64 << 20, 256 << 20
+# Partial rows of one scan: a large store is scanned by fewer tasks that each pass more files.
+PARTIAL_ROWS = 1_000_000_000
 # Score matrix elements held at a time in a task.
 _BLOCK = 4_000_000
 _HIT_SCHEMA = "query_id long, url string, stage1_score double"
@@ -150,8 +154,25 @@ def _floors(column: pa.ChunkedArray) -> np.ndarray:
     return np.nan_to_num(column.to_numpy(zero_copy_only=False).astype(float), nan=-np.inf)
 
 
+def block_limits(width: int) -> tuple[int, int]:
+    """(queries sent to every task, vectors of a grid cell) for vectors of ``width`` numbers."""
+    return (max(1, min(BROADCAST_QUERIES, QUERY_BYTES // (8 * max(1, width)))),
+            max(1, min(CELL_VECTORS, CELL_BYTES // (4 * max(1, width)))))
+
+
+def scan_tasks(n_queries: int, k: int, cores: int) -> int:
+    """Most tasks of a scan, so that partial rows stay bounded while every core has work."""
+    return max(2 * cores, PARTIAL_ROWS // max(1, n_queries * k))
+
+
 def _broadcast_hits(head: pa.Table, vectors: DataFrame, k: int) -> DataFrame:
-    """All queries to every task; each task emits at most k rows per query."""
+    """All queries to every task; each task emits at most k rows per query.
+
+    ``coalesce`` joins input splits without a shuffle and never adds any, so a
+    task's running bar serves many files and partial rows do not grow with the store.
+    """
+    cores = vectors.sparkSession.sparkContext.defaultParallelism
+    vectors = vectors.coalesce(scan_tasks(head.num_rows, k, cores))
     payload = vectors.sparkSession.sparkContext.broadcast((
         head.column("query_id").to_numpy(), _matrix(head.column("q_vec")),
         _floors(head.column("floor"))))
@@ -173,7 +194,7 @@ def _grid_hits(queries: DataFrame, vectors: DataFrame, k: int, query_block: int,
     """Any number of queries: both sides are cut into blocks and meet in grid cells.
 
     A cell holds about ``query_block`` queries and ``cell_vectors`` vectors, so
-    memory is bounded however large either side is. Vectors are sent once per
+    memory is bounded once these follow the width of the vectors. Vectors are sent once per
     block of queries and queries once per block of vectors.
     """
     n_q = max(1, math.ceil(queries.count() / query_block))
@@ -218,8 +239,13 @@ def best_per_query(hits: DataFrame, k: int, buckets: int = 16) -> DataFrame:
     )
 
 
-def _partial_hits(asked: DataFrame, vectors: DataFrame, k: int, max_broadcast_queries: int,
-                  cell_vectors: int) -> DataFrame:
+def _partial_hits(asked: DataFrame, vectors: DataFrame, k: int,
+                  max_broadcast_queries: int | None, cell_vectors: int | None) -> DataFrame:
+    if max_broadcast_queries is None or cell_vectors is None:
+        first = asked.select(F.coalesce(F.size("q_vec"), F.lit(1)).alias("n")).first()
+        most = block_limits(first["n"] if first else 1)
+        max_broadcast_queries = max_broadcast_queries or most[0]
+        cell_vectors = cell_vectors or most[1]
     head = asked.limit(max_broadcast_queries + 1).toArrow()
     if head.num_rows <= max_broadcast_queries:
         return _broadcast_hits(head, vectors, k)
@@ -228,14 +254,15 @@ def _partial_hits(asked: DataFrame, vectors: DataFrame, k: int, max_broadcast_qu
 
 def semantic_topk(queries: DataFrame, vectors: DataFrame, k: int, *,
                   seed: DataFrame | None = None,
-                  max_broadcast_queries: int = BROADCAST_QUERIES,
-                  cell_vectors: int = CELL_VECTORS) -> DataFrame:
+                  max_broadcast_queries: int | None = None,
+                  cell_vectors: int | None = None) -> DataFrame:
     """The k nearest documents of every query: query_id, url, stage1_score, stage1_rank.
 
     Exact: every query meets every vector. Reads only url and embedding. Scores
     have nine places; ties go by url; a score that is not finite counts as -1.
     Up to ``max_broadcast_queries`` queries are sent to the tasks that scan
-    the vectors; more queries take the grid.
+    the vectors; more queries take the grid. Without these limits, ``block_limits``
+    sets them by the bytes of a vector.
 
     ``seed`` may be any part of ``vectors``, such as one file of a large store.
     It is searched first, and its k-th score per query is a lower bound for the

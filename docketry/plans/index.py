@@ -48,7 +48,7 @@ def new_keys(decisions: DataFrame, store: DataFrame) -> DataFrame:
 
 
 def new_documents(decisions: DataFrame, keys: DataFrame) -> DataFrame:
-    """pos, url and text of the new decisions.
+    """pos, url, text and length of the new decisions.
 
     A small delta is picked where texts are read and kept, so the corpus is
     passed once. A delta too large for that is most of the corpus; it is read
@@ -58,7 +58,8 @@ def new_documents(decisions: DataFrame, keys: DataFrame) -> DataFrame:
     size = measured_bytes(keys)
     wanted = broadcast_within(keys.select(F.col("pos").alias("_pos"), F.col("url").alias("_url")),
                               at_most=size)
-    picked = decisions.select("pos", "url", "text").join(
+    # Lengths are taken in the scan, so that planning a large delta moves no text.
+    picked = decisions.select("pos", "url", "text", F.length("text").alias("length")).join(
         wanted, F.col("pos").eqNullSafe(F.col("_pos")) & F.col("url").eqNullSafe(F.col("_url")),
         "left_semi")
     return cut_lineage(picked) if size <= BROADCAST_BYTES else picked
@@ -66,7 +67,8 @@ def new_documents(decisions: DataFrame, keys: DataFrame) -> DataFrame:
 
 def plan_delta(documents: DataFrame, chunk_size: int = fixed.CHUNK_SIZE) -> DataFrame:
     """Number new documents by (length, pos, url): source_pos, url, length, idx, chunk_id."""
-    lengths = cut_lineage(documents.select("pos", "url", F.length("text").alias("length")))
+    length = F.col("length") if "length" in documents.columns else F.length("text")
+    lengths = cut_lineage(documents.select("pos", "url", length.alias("length")))
     return assign_chunks(lengths, chunk_size).withColumnRenamed("pos", "source_pos")
 
 

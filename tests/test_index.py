@@ -116,6 +116,40 @@ def test_plan_of_a_delta(spark, monkeypatch, limit):
     assert [r["chunk_id"] for r in rows] == [i // 6 for i in range(19)]
 
 
+def test_lengths_of_a_large_delta_move_no_text(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "c")
+    corpus(spark, 20).write.parquet(path)
+    df = spark.read.parquet(path)
+    keys = index.new_keys(df, store_of(spark, ["u1"]))
+    monkeypatch.setattr(index, "BROADCAST_BYTES", -1)
+    monkeypatch.setattr(index, "broadcast_within", lambda df, **_: df.hint("merge"))
+    documents = index.new_documents(df, keys)
+    plan = plan_of(documents.select("pos", "url", "length"))
+    physical = plan[plan.index("== Physical Plan =="):]
+    # What the scan gives the join is the length; text is used in its projection only.
+    assert "SortMergeJoin" in physical
+    above = physical[:physical.index("length(text")]
+    assert "text#" not in above
+
+
+def test_merging_moves_no_vectors(spark, tmp_path):
+    path = str(tmp_path / "s")
+    append_vectors(store_of(spark, ["a", "b"]), path)
+    store = read_vectors(spark, path)
+    merged = dedupe.merge_store(store, store_of(spark, ["b", "c"]).withColumn(
+        "pos", F.col("pos") + 10))
+    plan = plan_of(merged)
+    assert "Window" not in plan and "hashpartitioning" not in plan
+    assert sorted((r["pos"], r["url"]) for r in merged.collect()) == [
+        (0, "a"), (1, "b"), (11, "c")]
+
+
+def test_route_of_a_column(spark):
+    rows = spark.createDataFrame([(n,) for n in (0, 1, 999, 1000)], "n long")
+    assert [r[0] for r in rows.select(batching.route_column(F.col("n"))).collect()] == [
+        "none", "single", "single", "chunked"]
+
+
 def test_routes():
     assert [batching.plan_route(n) for n in (0, 1, 999, 1000)] == [
         "none", "single", "single", "chunked"]

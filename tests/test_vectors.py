@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from docketry.functions import vectors as V
 from docketry.operators.profiles import embedding_profile, vector_quality
-from docketry.operators.vector_blocks import (prepare_vectors, semantic_topk,
-                                              semantic_topk_single)
+from docketry.operators.vector_blocks import (CELL_BYTES, PARTIAL_ROWS, QUERY_BYTES,
+                                              block_limits, prepare_vectors, scan_tasks,
+                                              semantic_topk, semantic_topk_single)
 
 NAN, INF = float("nan"), float("inf")
 CASES = [[3.0, 4.0, 0.0], [NAN, 2.0, 1.0], [INF, -INF, 5.0], [0.0, 0.0, 0.0],
@@ -149,6 +150,34 @@ def test_topk_of_nothing(spark):
     assert semantic_topk(asked.filter("false"), vectors, 3).count() == 0
 
 
+@pytest.mark.parametrize("width", [0, 1, 64, 4096, 1 << 20, 1 << 30])
+def test_blocks_are_bounded_in_bytes(width):
+    queries, cell = block_limits(width)
+    assert queries >= 1 and cell >= 1
+    assert queries == 1 or queries * width * 8 <= QUERY_BYTES
+    assert cell == 1 or cell * width * 4 <= CELL_BYTES
+
+
+def test_partial_rows_do_not_grow_with_the_store():
+    tasks = scan_tasks(4096, 40, 4000)
+    assert tasks == 8000                          # all cores have work
+    assert scan_tasks(1, 40, 8) * 40 <= PARTIAL_ROWS
+    assert scan_tasks(0, 40, 8) > 8
+
+
+def test_a_scan_of_many_splits_is_joined(spark, monkeypatch):
+    from docketry.operators import vector_blocks
+
+    monkeypatch.setattr(vector_blocks, "scan_tasks", lambda *_: 2)
+    rng = np.random.default_rng(9)
+    docs = [(f"d{i}", rng.normal(size=4)) for i in range(60)]
+    asked, vectors = frames(spark, docs, [docs[0][1]])
+    spread = vectors.repartition(12)
+    head = asked.withColumn("floor", F.lit(None).cast("double")).toArrow()
+    assert vector_blocks._broadcast_hits(head, spread, 5).rdd.getNumPartitions() == 2
+    check(collected(semantic_topk(asked, spread, 5)), brute(docs, [docs[0][1]], 5))
+
+
 def test_unequal_lengths_are_refused(spark):
     asked, vectors = frames(spark, [("a", [1.0, 2.0]), ("b", [1.0])], [[1.0, 1.0]], 1)
     with pytest.raises(Exception, match="unequal length"):
