@@ -20,7 +20,7 @@ from docketry.operators.vector_blocks import (prepare_vectors, semantic_topk,
                                               semantic_topk_single)
 from docketry.params import FAST, NORMAL
 from docketry.plans import index, search
-from docketry.session import checkpoint_dir
+from docketry.session import checkpoint_dir, cut_lineage
 from docketry.sources import decisions as source
 from docketry.sources import vector_store
 from docketry.streaming.delta import index_stream
@@ -568,7 +568,7 @@ def duplicate_counts(spark, sf):
 
 def merge_store(spark, sf):
     """The store, and vectors of all documents behind it."""
-    store, fresh = views.vectors(spark, sf), views.document_vectors(spark, sf)
+    store, fresh = views.vectors(spark, sf), cut_lineage(views.document_vectors(spark, sf))
     merged = dedupe.merge_store(store, fresh.withColumn("pos", F.col("pos") + 1_000_000))
     return merged.select("pos", "url", F.round(V.l2_norm(F.col("embedding")), 4).alias("norm"))
 

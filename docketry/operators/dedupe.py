@@ -73,6 +73,7 @@ def union_all(*parts: DataFrame) -> DataFrame:
 def merge_store(store: DataFrame, *added: DataFrame) -> DataFrame:
     """Existing rows and new ones, one row per url, the lowest position first.
 
-    Only keys are shuffled unless a lot repeats (see ``drop_repeats``).
+    Only keys are shuffled unless a lot repeats (see ``drop_repeats``). They are
+    read in a pass of their own, so vectors still to be encoded are written first.
     """
     return drop_repeats(union_all(store, *added), "url", "pos")
