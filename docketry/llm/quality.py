@@ -4,8 +4,8 @@ Every line gets a state, good or bad. Its features are its own shape (character
 classes, word lengths, repeated words) and those of the lines before and after;
 neighbouring states are tied by learned weights. Labels exist per document, so
 in training all lines of a document carry its label. The model is fitted on a
-bounded sample of labelled documents (``SAMPLE_DOCS``; only feature rows reach
-the driver). The score is the mean of the forward-backward marginals of "good",
+bounded sample of labelled documents (``SAMPLE_DOCS`` and ``SAMPLE_LINES``; only
+feature rows reach the driver). The score is the mean of the forward-backward marginals of "good",
 weighted by line length, between 0 and 1.
 
 Null and empty texts are one empty line and get a score like any other. Without
@@ -159,18 +159,22 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         sample_lines: int = SAMPLE_LINES) -> QualityModel:
     """Fit on at most ``sample_docs`` labelled documents, picked by a hash of the id.
 
-    Documents are taken in that order until ``sample_lines`` lines are reached.
-    An id with labels that differ counts as bad.
+    All of them take part. If they have more than ``sample_lines`` lines, the longest
+    give a run of their lines only, of one length that makes the sum fit, so that a
+    long document displaces no other. An id with labels that differ counts as bad.
     """
     picked = (labels.filter(F.col(id_col).isNotNull() & F.col(label_col).isNotNull())
               .groupBy(F.col(id_col).alias("_id")).agg(F.min(label_col).cast("int").alias("_y"))
-              .withColumn("_h", F.xxhash64("_id")).orderBy("_h").limit(sample_docs))
+              .withColumn("_h", F.xxhash64("_id")).orderBy("_h")
+              .limit(min(sample_docs, sample_lines)))
     chosen = docs.join(F.broadcast(picked), docs[id_col] == F.col("_id"))
 
     def make():
         def run(keys, texts):
             x, _, per_text = line_features(texts)
             cut = np.split(x.astype(np.float32), np.cumsum(per_text)[:-1])
+            cut = [c[run_start(k[0], len(c), sample_lines):][:sample_lines]
+                   for k, c in zip(keys, cut)]
             return [[k[0] for k in keys], [k[1] for k in keys],
                     [c.shape[0] for c in cut], [c.tobytes() for c in cut]]
 
@@ -178,23 +182,45 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     rows = map_texts(chosen, [F.col("_h"), F.col("_y"), F.col(text_col)],
                      "h long, y int, n int, x binary", make)
-    # The lines of the documents before, in picked order, decide which features are fetched.
+    # The lines of all documents decide how many of each are fetched.
     from .common import written
 
     rows = written(rows, "lines")
-    sizes = rows.select("h", "n").toPandas().sort_values("h", kind="stable")
-    kept = sizes[(sizes["n"].cumsum() - sizes["n"] < sample_lines)]
-    if kept.empty:
-        return QualityModel(0.5)
-    got = (rows.filter((F.col("h") <= int(kept["h"].max())) & (F.col("n") <= sample_lines))
-           .toPandas().sort_values(["h", "n"], kind="stable"))
-    if got.empty:
+    sizes = rows.select("h", "n").toPandas()
+    if sizes.empty:
         return QualityModel(0.5)
+    most = fair_lines(sizes["n"].to_numpy(np.int64), sample_lines)
+    width = 4 * x_width()
+    start = F.when(F.col("n") > most, F.pmod(F.col("h"), F.col("n") - most + 1)).otherwise(0)
+    got = (rows.select("h", "y", F.least("n", F.lit(most)).alias("n"), F.substring(
+        "x", (start * width + 1).cast("int"), F.lit(most * width)).alias("x"))
+        .toPandas().sort_values(["h", "n"], kind="stable"))
     x = np.concatenate([np.frombuffer(b, np.float32).reshape(n, -1)
                         for b, n in zip(got["x"], got["n"])]).astype(float)
     return fit_lines(x, got["n"].to_numpy(np.int64), got["y"].to_numpy(np.int64))
 
 
+def x_width() -> int:
+    """Features a line."""
+    return line_features([""])[0].shape[1]
+
+
+def run_start(h: int, lines: int, most: int) -> int:
+    """Where a run of at most ``most`` lines begins."""
+    return h % (lines - most + 1) if lines > most else 0
+
+
+def fair_lines(sizes: np.ndarray, total: int) -> int:
+    """The largest number of lines a document that keeps the sum within ``total``."""
+    if sizes.sum() <= total:
+        return int(sizes.max())
+    low, high = 1, int(sizes.max())
+    while low < high:
+        middle = (low + high + 1) // 2
+        low, high = (middle, high) if np.minimum(sizes, middle).sum() <= total else (low, middle - 1)
+    return low
+
+
 def score(docs: DataFrame, model: QualityModel, id_col: str = "doc_id",
           text_col: str = "text") -> DataFrame:
     """(id, score) per row; a map without shuffle."""
