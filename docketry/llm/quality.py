@@ -162,12 +162,15 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     All of them take part. If they have more than ``sample_lines`` lines, the longest
     give a run of their lines only, of one length that makes the sum fit, so that a
     long document displaces no other. An id with labels that differ counts as bad.
+    Of rows that repeat an id the one whose text has the least hash is taken.
     """
     picked = (labels.filter(F.col(id_col).isNotNull() & F.col(label_col).isNotNull())
               .groupBy(F.col(id_col).alias("_id")).agg(F.min(label_col).cast("int").alias("_y"))
               .withColumn("_h", F.xxhash64("_id")).orderBy("_h")
               .limit(min(sample_docs, sample_lines)))
-    chosen = docs.join(F.broadcast(picked), docs[id_col] == F.col("_id"))
+    # One text per id; rows of an id combine before the shuffle.
+    chosen = docs.join(F.broadcast(picked), docs[id_col] == F.col("_id")).groupBy("_h", "_y").agg(
+        F.min_by(F.col(text_col), F.xxhash64(text_col)).alias("_text"))
 
     def make():
         def run(keys, texts):
@@ -180,7 +183,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
         return run
 
-    rows = map_texts(chosen, [F.col("_h"), F.col("_y"), F.col(text_col)],
+    rows = map_texts(chosen, [F.col("_h"), F.col("_y"), F.col("_text")],
                      "h long, y int, n int, x binary", make)
     # The lines of all documents decide how many of each are fetched.
     from .common import written

@@ -45,3 +45,17 @@ def test_fair_lines():
         most = quality.fair_lines(sizes, total)
         assert np.minimum(sizes, most).sum() <= total
         assert most == sizes.max() or np.minimum(sizes, most + 1).sum() > total
+
+
+def test_repeated_ids_are_one_document(spark, monkeypatch):
+    rows, labels = labelled(spark)
+    rows += [(7, rows[7][1])] * 400 + [(8, f"{rows[8][1]}\n{i}") for i in range(400)]
+    rows += [(None, "x"), (9, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    seen = []
+    fit_lines = quality.fit_lines
+    monkeypatch.setattr(quality, "fit_lines", lambda x, n, y: seen.append(n) or fit_lines(x, n, y))
+    models = [quality.fit(part, labels, sample_lines=400)
+              for part in (df, df.repartition(7, "text"))]
+    assert [len(n) for n in seen] == [60, 60] and (seen[0] == seen[1]).all()
+    assert np.allclose(models[0].weights, models[1].weights)
