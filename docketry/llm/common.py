@@ -30,6 +30,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def digest_of(text: str) -> Column:
+    """MD5 of a text column; what tells rows of one id apart. Null is like the empty text."""
+    return F.unhex(F.md5(F.coalesce(F.col(text), F.lit(""))))
+
+
 def remainder_of_id(id_column: Column, divisor: int) -> Column:
     """crc32 of the id as text, modulo ``divisor``; what splits training from held-out rows."""
     return F.crc32(id_column.cast("string").cast("binary")) % F.lit(divisor)

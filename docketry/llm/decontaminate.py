@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.sizes import broadcast_within
-from .common import map_texts, written
+from .common import digest_of, map_texts, written
 
 ERROR_RATE = 0.08
 BLOCK_BYTES = 16 * 1024 * 1024
@@ -171,7 +171,13 @@ def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
 
 def without_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id",
                   text_col: str = "text", error_rate: float = ERROR_RATE) -> DataFrame:
-    """The documents that hold no item. Rows with a null id cannot be named and stay."""
-    gone = written(leaks(docs, items, id_col, text_col, error_rate=error_rate).filter(
-        F.col(id_col).isNotNull()).select(F.col(id_col).alias("_gone")).distinct(), "leaks")
-    return docs.join(broadcast_within(gone), docs[id_col] == F.col("_gone"), "left_anti")
+    """The documents that hold no item, each row judged by its own text.
+
+    Rows with a null id cannot be named and stay.
+    """
+    rows = docs.withColumn("_digest", digest_of(text_col))
+    gone = written(leaks(rows.filter(F.col(id_col).isNotNull()), items, "_digest", text_col,
+                         error_rate=error_rate).select(F.col("_digest").alias("_gone")).distinct(),
+                   "leaks")
+    return rows.join(broadcast_within(gone), F.col(id_col).isNotNull()
+                     & (F.col("_digest") == F.col("_gone")), "left_anti").select(*docs.columns)

@@ -26,11 +26,11 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.sizes import broadcast_within
-from .common import map_texts, written
+from .common import digest_of, map_texts, written
 from .components import connected
 
 LOWER = bytes(range(65, 91)), bytes(range(97, 123))
@@ -257,17 +257,26 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
              shingle: int = 3, radius: int = 3) -> DataFrame:
     """The documents without those that a smaller id of their component stands for.
 
-    Rows with a null id cannot be named and stay. Rows that repeat an id are one
-    document: the first to be met of them stays.
+    Rows with a null id cannot be named and stay. Rows that repeat an id are judged
+    each by its own text; of a component's rows the one with the least (id, digest of
+    the text) stays, and of rows with equal ids and texts the first by other columns.
     """
-    found = near_duplicates(docs, id_col, text_col, shingle, radius)
-    gone = written(found.filter(F.col(id_col) != F.col("component_id"))
-                   .select(F.col(id_col).alias("_gone")).distinct(), "gone")
-    kept = docs.join(broadcast_within(gone), docs[id_col] == F.col("_gone"), "left_anti")
-    again = (docs.filter(F.col(id_col).isNotNull()).groupBy(id_col).count()
-             .filter("count > 1").select(F.col(id_col).alias("_again")))
+    rows = docs.withColumn("_digest", digest_of(text_col))
+    row = F.struct(F.col(id_col).alias("id"), F.col("_digest").alias("digest"))
+    found = near_duplicates(rows.filter(F.col(id_col).isNotNull()).select(
+        row.alias("row"), F.col(text_col)), "row", text_col, shingle, radius)
+    gone = written(found.filter("row <> component_id").select(
+        F.col("row.id").alias("_gone"), F.col("row.digest").alias("_text")).distinct(), "gone")
+    kept = rows.join(broadcast_within(gone), (rows[id_col] == F.col("_gone"))
+                     & (rows["_digest"] == F.col("_text")), "left_anti")
+    again = (rows.filter(F.col(id_col).isNotNull()).groupBy(id_col, "_digest").count()
+             .filter("count > 1").select(F.col(id_col).alias("_again"), F.col("_digest").alias("_text")))
     again = written(again, "again")
     if again.isEmpty():
-        return kept
-    once = kept.join(again, kept[id_col] == F.col("_again"), "left_semi").dropDuplicates([id_col])
-    return kept.join(again, kept[id_col] == F.col("_again"), "left_anti").unionByName(once)
+        return kept.select(*docs.columns)
+    same = (kept[id_col] == F.col("_again")) & (kept["_digest"] == F.col("_text"))
+    once = kept.join(again, same, "left_semi").withColumn("_row", F.row_number().over(
+        Window.partitionBy(id_col, "_digest").orderBy(
+            text_col, F.xxhash64(*docs.columns)))).filter("_row = 1")
+    return kept.join(again, same, "left_anti").select(*docs.columns).unionByName(
+        once.select(*docs.columns))
