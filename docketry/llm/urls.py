@@ -18,6 +18,8 @@ null ids each give their own row. Other columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from itertools import count
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -25,7 +27,7 @@ from pyspark.sql import functions as F
 from ..operators.sizes import broadcast_within
 from .common import written
 
-DEPTH, MANY, FEW_URLS = 6, 20, 4
+MANY, FEW_URLS = 20, 4
 STRENGTH, PURITY, Z = 4.0, 0.7, 1.96
 
 Rule = tuple[str, str]   # ("allow" or "block", "host/path")
@@ -56,23 +58,32 @@ def rule_of(host: Column, path: Column, rules: Sequence[Rule]) -> Column:
 
 
 def segments(path: Column) -> Column:
-    """Path segments, the variable ones generalised by their looks; what lies deeper is one."""
+    """Path segments, the variable ones generalised by their looks."""
     parts = F.transform(F.split(path, "/"), lambda s: F.when(s.rlike("^[0-9]+$"), "{n}")
                         .when(s.rlike("[0-9]"), "{x}").otherwise(s))
-    parts = F.slice(parts, 2, F.lit(1 << 30))
-    return F.when(F.size(parts) > DEPTH, F.concat(F.slice(parts, 1, DEPTH), F.array(F.lit("{more}")))
-                  ).otherwise(parts)
+    return F.slice(parts, 2, F.lit(1 << 30))
 
 
 def grow(shapes: DataFrame) -> DataFrame:
-    """``tree``: the generalised template of every (host, template) row with counts."""
-    done = shapes.withColumn("tree", F.array().cast("array<string>"))
-    for level in range(DEPTH + 1):
-        own = F.get("template", F.lit(level))
-        here = done.withColumn("seg", own)
-        children = here.filter("seg is not null").groupBy("host", "tree", "seg").agg(
+    """``tree``: the generalised template of every (host, template) row with counts.
+
+    Levels grow until no template has a further segment. A row that is alone in its
+    node stays so, and takes its other segments at once, so that rounds follow the
+    longest part that templates share, not the longest path.
+    """
+    current = shapes.withColumn("tree", F.array().cast("array<string>"))
+    ended = []
+    for level in count():
+        ended.append(current.filter(F.size("template") <= level))
+        here = current.filter(F.size("template") > level).withColumn(
+            "seg", F.get("template", F.lit(level)))
+        if here.isEmpty():
+            return written(reduce(DataFrame.unionByName, ended), "tree")
+        children = here.groupBy("host", "tree", "seg").agg(
+            F.count(F.lit(1)).alias("rows"),
             F.sum("n").alias("n"), F.sum("good").alias("good"), F.sum("bad").alias("bad"))
         nodes = children.groupBy("host", "tree").agg(
+            F.sum("rows").alias("all_rows"),
             F.count(F.lit(1)).alias("kinds"), F.sum("n").alias("all_n"),
             F.sum("good").alias("all_good"), F.sum("bad").alias("all_bad"))
         both = children.join(nodes, ["host", "tree"])
@@ -86,12 +97,17 @@ def grow(shapes: DataFrame) -> DataFrame:
         # An only child has nothing to be merged with.
         single = F.col("kinds") == 1
         plain = F.coalesce((distinct | single) & ~variable, F.lit(False))
-        kept = both.filter(plain).select("host", "tree", "seg", F.lit(True).alias("plain"))
-        done = written(here.join(kept, ["host", "tree", "seg"], "left").select(
+        kept = both.filter(plain).select("host", "tree", "seg", F.lit(True).alias("plain"),
+                                         (F.col("all_rows") == 1).alias("alone"))
+        grown = written(here.join(kept, ["host", "tree", "seg"], "left").select(
             "host", "template", "n", "good", "bad",
-            F.when(F.col("seg").isNull(), F.col("tree")).otherwise(F.concat("tree", F.array(
+            F.coalesce("alone", F.lit(False)).alias("alone"),
+            F.when(F.col("alone"), F.concat("tree", F.slice(
+                "template", F.lit(level + 1), F.size("template"))))
+            .otherwise(F.concat("tree", F.array(
                 F.when(F.col("plain"), F.col("seg")).otherwise("*")))).alias("tree")), "tree")
-    return done
+        ended.append(grown.filter("alone").drop("alone"))
+        current = grown.filter("not alone").drop("alone")
 
 
 def rejected_templates(shapes: DataFrame, purity: float = PURITY) -> DataFrame:
