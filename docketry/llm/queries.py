@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chunks, decontaminate, language, quality, simhash, tokens, topk, urls, warc
+from . import (bpe, chunks, decontaminate, language, neighbours, quality, simhash, simplex, tokens,
+               topk, urls, warc, whitening)
 from .common import remainder_of_id, scratch, table
 
 THRESHOLD = 0.3
@@ -83,6 +84,18 @@ def op10_warc(spark: SparkSession, sf: str) -> DataFrame:
     return warc.captures(spark, path)
 
 
+def op11_whitening(spark: SparkSession, sf: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf, "embeddings"))
+
+
+def op12_neighbours(spark: SparkSession, sf: str) -> DataFrame:
+    return neighbours.near_vectors(table(spark, sf, "embeddings"))
+
+
+def op13_clusters(spark: SparkSession, sf: str) -> DataFrame:
+    return simplex.cluster(table(spark, sf, "embeddings")).drop("compared")
+
+
 def pipeline(spark: SparkSession, sf: str) -> DataFrame:
     import corpus_pipeline
 
@@ -91,9 +104,72 @@ def pipeline(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES = {q.__name__: q for q in (
     op1_simhash, op2_topk, op3_tokens, op4_language, op5_bpe, op6_decontaminate, op7_quality,
-    op8_substrings, op9_urls, op10_warc, pipeline)}
+    op8_substrings, op9_urls, op10_warc, op11_whitening, op12_neighbours, op13_clusters, pipeline)}
+
+
+def clusters_sql(k: int = 16, rounds: int = 3) -> str:
+    """The rounds of op13 as one query: a table of centroids and of places for each."""
+    steps = ["""
+        v as (
+            select row_number() over () as r, vec_id,
+                   list_transform(embedding, lambda x: floor(64.0 * x::double)) as x
+            from embeddings
+            where len(embedding) = 64
+              and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0)""", f"""
+        c0 as (
+            select row_number() over (order by h, x) - 1 as c, x
+            from (select sha256('1:' || cast(vec_id as varchar)) as h, x from v)
+            order by h, x limit {k})"""]
+    for n in range(rounds + 1):
+        steps.append(f"""
+        a{n} as (
+            select r, vec_id, x, c, d from (
+                select v.r, vec_id, v.x, c,
+                       list_dot_product(v.x, v.x) - 2 * list_dot_product(v.x, m.x)
+                           + list_dot_product(m.x, m.x) as d,
+                       row_number() over (partition by v.r order by d, c) as nearest
+                from v cross join c{n} as m)
+            where nearest = 1)""")
+        if n < rounds:
+            steps.append(f"""
+        p{n + 1} as (
+            select c, i, floor(sum(y) / count(*)) as y
+            from (select c, unnest(x) as y, generate_subscripts(x, 1) as i from a{n})
+            group by c, i),
+        c{n + 1} as (
+            select c, coalesce(m.x, old.x) as x
+            from c{n} as old left join (select c, list(y order by i) as x from p{n + 1} group by c)
+                as m using (c))""")
+    return "with" + ",".join(steps) + f"""
+        select vec_id, cast(c as integer) as cluster, cast(d as bigint) as distance,
+               cast(sum(d) over (partition by c) as bigint) as cluster_inertia,
+               cast(sum(d) over () as bigint) as inertia,
+               sha256(array_to_string(list_transform(m.x, lambda y: cast(y as bigint)), ','))
+                   as centroid_sha256
+        from a{rounds} join c{rounds} as m using (c)"""
+
 
 ORACLES = {
+    "op12_neighbours": """
+        with recursive u as (
+            select row_number() over () as r, vec_id, list_transform(embedding, lambda x: x::double)
+                   as e, coalesce(len(list_filter(embedding, lambda x: x is null or not isfinite(x)))
+                   = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0, false) as good
+            from embeddings),
+        l as (
+            select a.r as a, b.r as b from u a join u b
+                on a.r <> b.r and a.good and b.good and len(a.e) = len(b.e)
+            where list_cosine_similarity(a.e, b.e) >= 0.95),
+        reach(r, m) as (
+            select r, vec_id from u
+            union
+            select l.b, reach.m from reach join l on l.a = reach.r),
+        least as (select r, min(m) as component_id from reach group by r),
+        n as (select a as r, count(*) as n from l group by a)
+        select vec_id, coalesce(n, 0) as n_links, component_id,
+               vec_id is not distinct from component_id as kept
+        from u join least using (r) left join n using (r)""",
+    "op13_clusters": clusters_sql(),
     "op2_topk": """
         with v as (
             select vec_id, list_transform(embedding, lambda x: floor(256.0 * x::double)) as v
