@@ -41,8 +41,8 @@ THRESHOLD = 0.95
 SHARD_ROWS, GROUP_BYTES, TASK_ROWS = 16_384, 64 << 20, 4_096
 # Sampled vectors of an audit, the share of links that beams must find, and the first beam.
 AUDIT_ROWS, RECALL, BEAM = 512, 0.99, 32
-# Vectors of a block that are compared with each other at once.
-BLOCK = 2_048
+# Vectors of a block that are compared with each other at once, and of a component that is one.
+BLOCK = 512
 # Rounding of an angle; pairs nearer than this to the link angle are compared.
 ANGLE_SLACK = 1e-9
 _COUNTS = "row long, n long"
@@ -228,7 +228,7 @@ def links(units: DataFrame, graphs: DataFrame, sizes: list, threshold: float, si
     spark = units.sparkSession
     asked = units.filter("u is not null").select("row", "width", "u")
     tasks = max(spark.sparkContext.defaultParallelism, -(-asked.count() // TASK_ROWS))
-    asked = written(asked.repartition(tasks), "asked").repartition(tasks)
+    asked = asked.repartition(tasks)
     out, at = None, 0
     while at < len(sizes):
         stop, total = at + 1, sizes[at][1]

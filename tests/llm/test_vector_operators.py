@@ -157,7 +157,7 @@ def near_rows():
     return [(i, v if v is None else [None if c is None else float(c) for c in v]) for i, v in rows]
 
 
-@pytest.mark.parametrize("shard_rows, block", [(16_384, 2_048), (60, 16)])
+@pytest.mark.parametrize("shard_rows, block", [(16_384, 512), (60, 16)])
 def test_links_and_components(spark, near_rows, shard_rows, block):
     df = spark.createDataFrame(near_rows, "vec_id long, embedding array<double>").withColumns(
         {c: F.lit("clash") for c in CLASH})
