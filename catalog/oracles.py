@@ -599,17 +599,27 @@ ORACLES = {
     "write_vectors": f"WITH {DOC_VECTORS} SELECT url, pos, {digest('v')} FROM doc_vec",
     "delta_index": f"WITH {_DELTA} SELECT url, pos, {digest('v')} FROM store",
     "delta_stream": f"WITH {_DELTA} SELECT url, {digest('v')} FROM store",
+    "delta_token_limit": f"""WITH {DECISIONS}, w AS (SELECT url, text,
+        len(regexp_extract_all(text, '[^ ]+')) AS n,
+        regexp_extract(text, '^( *[^ ]+){{50}}') AS head FROM decisions)
+        SELECT url, least(n, 50) AS words, length(CASE WHEN n > 50 THEN head ELSE text END) AS chars,
+          50::BIGINT AS most, (SELECT count(*) FROM w WHERE n > 50) AS texts_cut FROM w""",
+    "compact_store": f"""WITH {VECTORS} SELECT url,
+        pos + CASE pos % 3 WHEN 0 THEN 2000000 WHEN 1 THEN 1000000 ELSE 0 END AS pos,
+        round({norm_of('embedding')}, 4) AS norm,
+        (SELECT count(*) FROM vectors) AS total, 1::BIGINT AS segments FROM vectors""",
     "encode_documents": f"WITH {DOC_VECTORS} SELECT url, {digest('v')} FROM doc_vec",
     "score_pairs": f"""SELECT t.conv_id, t.turn, {r6('''length(p.text)::DOUBLE
         / (length(p.text) + length(t.text))''')} AS score FROM conversations t
         JOIN conversations p ON p.conv_id = t.conv_id AND p.turn = t.turn - 1""",
 }
 ORACLES["cosine_topk_grid"] = ORACLES["cosine_topk"]
-for _same in ("delta_index_chunked", "delta_resume", "delta_reindex"):
+for _same in ("delta_index_chunked", "delta_resume", "delta_reindex", "delta_other_encoder"):
     ORACLES[_same] = ORACLES["delta_index"]
 for _same in ("search_seeded", "search_bucketed"):
     ORACLES[_same] = ORACLES["search_fast"]
 ORACLES["build_index"] = ORACLES["align"]
+ORACLES["merge_tables"] = ORACLES["merge_store"]
 
 # Columns that are 32-bit integers in Spark.
 _INTEGERS = {

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import re
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -541,8 +542,10 @@ def missing_vectors(spark, sf):
         "pos", "url")
 
 
-def new_decisions(spark, sf):
+def new_decisions(spark, sf, docs=None):
     """Decisions not in the store; every seventh has no url and is always new."""
+    if docs is not None:
+        return joins.new_decisions(docs, views.vectors(spark, sf))
     docs = views.decisions(spark, sf).withColumn(
         "url", F.when(F.pmod("pos", F.lit(7)) != 0, F.col("url")))
     return joins.new_decisions(docs, views.vectors(spark, sf)).select("pos", "url")
@@ -567,7 +570,20 @@ def duplicate_counts(spark, sf):
 
 
 def merge_store(spark, sf):
-    """The store, and vectors of all documents behind it."""
+    """The store, and vectors of all documents behind it: written, reported and read back."""
+    path = scratch(spark, "store")
+    vector_store.append_vectors(views.vectors(spark, sf), path)
+    before = vector_store.manifest_of(spark, path).rows
+    report = vector_store.merge_vectors(
+        spark, path, views.document_vectors(spark, sf).withColumn("pos", F.col("pos") + 1_000_000))
+    merged = vector_store.read_vectors(spark, path)
+    if (report.total, report.added) != (merged.count(), merged.count() - before):
+        raise ValueError(f"the report {report} is not what the store holds")
+    return merged.select("pos", "url", F.round(V.l2_norm(F.col("embedding")), 4).alias("norm"))
+
+
+def merge_tables(spark, sf):
+    """The same without a store: two tables, one row per url."""
     store, fresh = views.vectors(spark, sf), cut_lineage(views.document_vectors(spark, sf))
     merged = dedupe.merge_store(store, fresh.withColumn("pos", F.col("pos") + 1_000_000))
     return merged.select("pos", "url", F.round(V.l2_norm(F.col("embedding")), 4).alias("norm"))
@@ -608,22 +624,73 @@ def _delta(spark, sf, threshold):
         "embedding"))
 
 
-def delta_resume(spark, sf):
-    """A chunked run that was broken off: the chunks it had written are not encoded again."""
+def _stops(encoder, length: int):
+    """An encoder that fails at a text of this length."""
+    def run(texts):
+        if any(len(t) == length for t in texts):
+            raise RuntimeError("broken off")
+        return encoder(texts)
+
+    return run
+
+
+def _broken_off(spark, sf, first, second):
+    """A chunked run whose encoder fails at the longest text, then one with another encoder."""
     path, work = scratch(spark, "store"), scratch(spark, "work")
     vector_store.append_vectors(views.vectors(spark, sf), path)
-    docs, encoder = views.decisions(spark, sf), models.hashed_terms(64)
-    store = vector_store.read_vectors(spark, path, check=False)
-    first = store.agg(F.max("pos")).first()[0] + 1
-    fresh = index.new_documents(docs, index.new_keys(docs, store))
-    # The first chunks were finished when it stopped.
-    done = index.plan_delta(fresh, 100).filter("chunk_id < 3")
-    vector_store.write_chunks(index.encode_planned(fresh, done, encoder, first, 3), work)
-    index.delta_index(docs, path, encoder, threshold=1, chunk_size=100, work_path=work)
+    docs = views.decisions(spark, sf)
+    longest = new_decisions(spark, sf, docs).agg(F.max(F.length("text"))).first()[0]
+    try:
+        index.delta_index(docs, path, _stops(first, longest), threshold=1, chunk_size=100,
+                          work_path=work)
+    except Exception as error:
+        if "broken off" not in str(error):
+            raise
+    index.delta_index(docs, path, second, threshold=1, chunk_size=100, work_path=work)
     return vector_store.read_vectors(spark, path).select("url", "pos", *_vector_digest(
         "embedding"))
 
 
+def delta_resume(spark, sf):
+    """A chunked run that was broken off: the chunks it had written are not encoded again."""
+    return _broken_off(spark, sf, models.hashed_terms(64), models.hashed_terms(64))
+
+
+def delta_other_encoder(spark, sf):
+    """A run broken off with one encoder of a factory and gone on with another: nothing is mixed."""
+    return _broken_off(spark, sf, models.hashed_terms(32), models.hashed_terms(64))
+
+
+def delta_token_limit(spark, sf):
+    """The delta with an encoder that counts: texts are cut at 50 words, and it sees so many."""
+    path = scratch(spark, "store")
+    counter = models.TokenCounter(
+        lambda text: [m.end() for m in re.finditer(r"[^ ]+", text)])
+
+    def counting(texts, max_tokens):
+        return [[len([w for w in t.split(" ") if w]), len(t), max_tokens] for t in texts]
+
+    report = index.delta_index(views.decisions(spark, sf), path, counting, max_tokens=50,
+                               counter=counter, threshold=1)
+    return vector_store.read_vectors(spark, path).select(
+        "url", *[F.col("embedding")[i].cast("long").alias(name)
+                 for i, name in enumerate(("words", "chars", "most"))],
+        F.lit(report.cut).cast("long").alias("texts_cut"))
+
+
+def compact_store(spark, sf):
+    """Segments that repeat urls, merged by key range into one; what readers see stays."""
+    path, vecs = scratch(spark, "store"), views.vectors(spark, sf)
+    for part in range(3):
+        vector_store.append_vectors(vecs.filter(F.col("pos") % 3 >= part).withColumn(
+            "pos", F.col("pos") + 1_000_000 * (2 - part)), path)
+    report = vector_store.compact(spark, path)
+    return vector_store.read_vectors(spark, path).select(
+        "url", "pos", F.round(V.l2_norm(F.col("embedding")), 4).alias("norm"),
+        F.lit(report.total).cast("long").alias("total"),
+        F.lit(report.segments).cast("long").alias("segments"))
+
+
 def delta_reindex(spark, sf):
     """A store filled by one encoder, put back, and filled by another."""
     path, docs = scratch(spark, "store"), views.decisions(spark, sf)
@@ -705,5 +772,5 @@ QUERIES = {f.__name__: f for f in (
     assign_chunks, assign_batches, pending_chunks, plan_route, delta_index, delta_index_chunked,
     delta_stream, encode_documents, score_pairs, search_seeded, search_bucketed, search_statuses,
     top_cards, top_cards_grounded, cards_without_url, delta_resume, delta_reindex, build_index,
-    write_vectors)}
+    write_vectors, merge_tables, delta_other_encoder, delta_token_limit, compact_store)}
 QUERIES["detect_terms"] = detect

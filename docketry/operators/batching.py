@@ -42,12 +42,17 @@ def assign_chunks(df: DataFrame, size: int = fixed.CHUNK_SIZE,
     return numbered.withColumn("chunk_id", F.floor(F.col("idx") / size).cast("long"))
 
 
+def token_estimate(length: int) -> int:
+    """``functions.text.estimate_tokens`` of a length, for use inside tasks."""
+    return max(1, math.ceil(length / fixed.CHARS_PER_TOKEN))
+
+
 def greedy_batches(lengths: Sequence[int], max_items: int = fixed.BATCH_MAX_ITEMS,
                    target_tokens: int = fixed.BATCH_TARGET_TOKENS) -> Iterator[tuple[int, int]]:
     """(start, stop) of consecutive batches within both limits; used inside tasks."""
     start = tokens = 0
     for i, length in enumerate(lengths):
-        own = max(1, math.ceil(length / fixed.CHARS_PER_TOKEN))
+        own = token_estimate(length)
         if i > start and (i - start == max_items or tokens + own > target_tokens):
             yield start, i
             start, tokens = i, 0

@@ -13,6 +13,8 @@ class SearchParams:
     stage2_top_k: int
     reranker_max_tokens: int
     generation_max_chars: int
+    embedding_max_tokens: int
+    generation_max_tokens: int
     landscape: bool
 
     @property
@@ -21,8 +23,8 @@ class SearchParams:
 
 
 # The two search modes.
-NORMAL = SearchParams(40, 5, 8192, 24000, landscape=False)
-FAST = SearchParams(20, 3, 2048, 12000, landscape=True)
+NORMAL = SearchParams(40, 5, 8192, 24000, 8192, 1536, landscape=False)
+FAST = SearchParams(20, 3, 2048, 12000, 4096, 768, landscape=True)
 
 
 def params(fast: bool = False) -> SearchParams:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,15 +12,16 @@ from ..operators.batching import (assign_chunks, chunk_partitions, matching_keys
                                   plan_route)
 from ..operators.dedupe import dedupe_keep_first, drop_repeats
 from ..operators.joins import align, new_decisions
-from ..operators.models import Encoder, encode
+from ..operators.models import Encoder, TokenCounter, encode, encoder_fingerprint
 from ..operators.sizes import BROADCAST_BYTES, broadcast_within, measured_bytes
 from ..session import cut_lineage, delete_folder
-from ..sources.vector_store import (append_vectors, empty_vectors, read_chunks, read_vectors,
-                                    store_exists, write_chunks, write_vectors)
+from ..sources.chunk_store import read_chunks, run_folder, write_chunks
+from ..sources.vector_store import (append_vectors, empty_vectors, read_vectors, store_exists,
+                                    write_vectors)
 
 
 class DeltaReport(NamedTuple):
-    """What a delta run did; ``cut`` counts the texts that ``max_chars`` shortened."""
+    """What a delta run did; ``cut`` counts the texts that ``max_chars`` or tokens shortened."""
 
     route: str
     before: int
@@ -73,8 +73,8 @@ def plan_delta(documents: DataFrame, chunk_size: int = fixed.CHUNK_SIZE) -> Data
 
 
 def encode_planned(documents: DataFrame, planned: DataFrame, encoder: Encoder, first_pos: int,
-                   partitions: int, max_chars: int | None = None) -> DataFrame:
-    """Vectors of the planned documents, similar lengths side by side.
+                   partitions: int, max_chars: int | None = None, **limits) -> DataFrame:
+    """Vectors of the planned documents, similar lengths side by side; model calls keep to a chunk.
 
     Texts cross one shuffle. Chunks are dealt out to tasks by number, which
     needs no sampling pass over the texts and spreads long ones.
@@ -86,23 +86,31 @@ def encode_planned(documents: DataFrame, planned: DataFrame, encoder: Encoder, f
         F.col("pos").eqNullSafe(F.col("_pos")) & F.col("url").eqNullSafe(F.col("_url")))
     task = F.pmod("chunk_id", F.lit(partitions)).cast("int")
     ordered = texts.repartitionById(partitions, task).sortWithinPartitions("idx")
-    vectors = encode(ordered, encoder, max_chars=max_chars, keep=["url", "idx", "chunk_id"])
+    vectors = encode(ordered, encoder, max_chars=max_chars, keep=["url", "idx", "chunk_id"],
+                     group="chunk_id", **limits)
     return vectors.select(
-        (F.lit(first_pos) + F.col("idx")).alias("pos"), "url", "embedding", "chunk_id")
+        (F.lit(first_pos) + F.col("idx")).alias("pos"), "url", "embedding", "chunk_id",
+        *[c for c in vectors.columns if c == limits.get("cut")])
 
 
 def delta_index(decisions: DataFrame, store_path: str, encoder: Encoder, *,
-                work_path: str | None = None, chunk_size: int = fixed.CHUNK_SIZE,
+                encoder_name: str | None = None, work_path: str | None = None,
+                chunk_size: int = fixed.CHUNK_SIZE,
                 threshold: int = fixed.CHUNKED_WRITE_THRESHOLD,
-                max_chars: int | None = None) -> DeltaReport:
+                max_chars: int | None = None, max_tokens: int | None = None,
+                counter: TokenCounter | None = None) -> DeltaReport:
     """Encode the decisions the store lacks and add them as a new segment.
 
-    Nothing new means no text read and nothing written. A small run is one write. A large run
-    writes chunks to ``work_path`` first; when it is started again it skips
-    every url a finished chunk holds. Without a ``work_path`` the folder is named
-    after the encoder, the cut and the state of the store, so chunks of another
-    run are not taken up. It is deleted once the segment is there. Existing rows
-    are never rewritten. A run that would lose or repeat a document fails.
+    Nothing new means no text read and nothing written. A run of fewer than
+    ``threshold`` texts is one write, which starts anew if it breaks off. A larger run
+    writes chunks below ``work_path`` first; when it is started again it skips
+    every url a finished chunk holds. Its folder is named after the encoder, the limits
+    and the state of the store, so chunks of another run are not taken up; the
+    encoder is known by ``encoder_name`` or by its vectors of fixed texts (see
+    ``encoder_fingerprint``). The folder is deleted once the segment is there. Existing
+    rows are never rewritten. A run that would lose or repeat a document fails.
+    Whole texts are encoded unless ``max_chars``, or ``max_tokens`` with a
+    ``counter``, cuts them; the report says how many.
     """
     spark = decisions.sparkSession
     known = store_exists(spark, store_path)
@@ -123,26 +131,50 @@ def delta_index(decisions: DataFrame, store_path: str, encoder: Encoder, *,
         found = planned.count()
     if found != n_new:
         raise ValueError(f"{n_new} new urls, but texts for {found}")
+    by_tokens = max_tokens is not None and counter is not None
     cut = 0 if max_chars is None else planned.filter(F.col("length") > max_chars).count()
     tasks = chunk_partitions(n_new, chunk_size)
+    limits = {"max_chars": max_chars, "max_tokens": max_tokens, "counter": counter}
+    work = None
     if route == "single":
-        append_vectors(encode_planned(documents, planned, encoder, first_pos, tasks, max_chars),
-                       store_path)
+        marks = {"cut": "_cut"} if by_tokens else {}
+        rows = encode_planned(documents, planned, encoder, first_pos, tasks, **limits, **marks)
+        if by_tokens:
+            rows = cut_lineage(rows)
+            cut = rows.filter("_cut").count()
     else:
-        run = f"{getattr(encoder, '__qualname__', encoder)}|{max_chars}|{size['n']}|{first_pos}"
-        work = work_path or f"{store_path}/_chunks/{hashlib.md5(run.encode()).hexdigest()[:16]}"
-        _write_pending(spark, documents, planned, encoder, first_pos, tasks, max_chars, work)
-        gathered = matching_keys(read_chunks(spark, work), planned)
-        append_vectors(drop_repeats(gathered, "url", "pos"), store_path)
-        delete_folder(spark, work)
+        root = work_path or f"{store_path}/_chunks"
+        work = run_folder(spark, root, {
+            "encoder": encoder_fingerprint(spark, encoder, encoder_name, **limits),
+            "max_chars": max_chars, "max_tokens": max_tokens, "rows": size["n"],
+            "first_pos": first_pos})
+        _write_pending(spark, documents, planned, encoder, first_pos, tasks, limits, work)
+        if by_tokens:
+            cut = _count_cut(documents, limits)
+        rows = drop_repeats(matching_keys(read_chunks(spark, work), planned), "url", "pos")
+    gathered = rows.select("pos", "url", "embedding")
+    append_vectors(gathered, store_path, known_new=True)
+    if work is not None:
+        # Runs that began at an earlier state of the store cannot go on either.
+        delete_folder(spark, root)
     total = read_vectors(spark, store_path, check=False).count()
     if total - size["n"] != n_new:
         raise ValueError(f"{n_new} new documents, but {total - size['n']} rows were added")
     return DeltaReport(route, size["n"], n_new, total, cut)
 
 
+def _no_vectors(texts: list[str]) -> list[list[float]]:
+    return [[0.0]] * len(texts)
+
+
+def _count_cut(documents: DataFrame, limits: dict) -> int:
+    """Texts that the token limit shortens; a pass of its own, as a resumed run reads only some."""
+    counted = encode(documents, _no_vectors, keep=["url"], cut="_cut", **limits)
+    return counted.filter("_cut").count()
+
+
 def _write_pending(spark: SparkSession, documents: DataFrame, planned: DataFrame,
-                   encoder: Encoder, first_pos: int, tasks: int, max_chars: int | None,
+                   encoder: Encoder, first_pos: int, tasks: int, limits: dict,
                    work: str) -> None:
     written = read_chunks(spark, work)
     todo = pending(planned, written)
@@ -150,4 +182,4 @@ def _write_pending(spark: SparkSession, documents: DataFrame, planned: DataFrame
         # New chunk numbers, so that finished chunks are not replaced.
         last = written.agg(F.max("chunk_id")).first()[0]
         todo = todo.withColumn("chunk_id", F.col("chunk_id") + F.lit(int(last or 0) + 1))
-    write_chunks(encode_planned(documents, todo, encoder, first_pos, tasks, max_chars), work)
+    write_chunks(encode_planned(documents, todo, encoder, first_pos, tasks, **limits), work)

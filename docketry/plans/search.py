@@ -13,8 +13,8 @@ from ..functions.sections import pack_text
 from ..functions.text import result_key, snippet
 from ..operators.dedupe import dedupe_keep_first
 from ..operators.joins import hit_documents
-from ..operators.models import (Encoder, Scorer, document_key, encode_queries, generate_cards,
-                                lexical_overlap)
+from ..operators.models import (Encoder, Scorer, TokenCounter, document_key, encode_queries,
+                                generate_cards, lexical_overlap)
 from ..operators.ranking import (assign_rank, authority_rerank, outcome_diversity, rerank_topk)
 from ..operators.sizes import BROADCAST_BYTES, broadcast_within, measured_bytes
 from ..operators.vector_blocks import semantic_topk
@@ -85,8 +85,9 @@ def attach_text(ranked: DataFrame, documents: DataFrame) -> DataFrame:
 
 def search(queries: DataFrame, decisions: DataFrame, vectors: DataFrame, *,
            scorer: Scorer = lexical_overlap, params: SearchParams = NORMAL,
-           encoder: Encoder | None = None, as_of_year: int | None = None,
-           seed: DataFrame | None = None, buckets: int | None = None) -> SearchOutput:
+           encoder: Encoder | None = None, counter: TokenCounter | None = None,
+           as_of_year: int | None = None, seed: DataFrame | None = None,
+           buckets: int | None = None) -> SearchOutput:
     """Answer many queries at once.
 
     ``queries``: query_id, query, and q_vec unless ``encoder`` is given.
@@ -94,11 +95,15 @@ def search(queries: DataFrame, decisions: DataFrame, vectors: DataFrame, *,
     url the first counts. ``vectors``: url and embedding, one row per url.
     Texts are read in one pass, for hit documents only; stages are materialised.
     A query without hits gets a status in ``summary`` and no result rows.
+    An encoder that takes ``max_tokens`` gets the mode's limit; with a ``counter``, queries
+    are cut to it, and ``summary`` has a column ``query_cut``.
     ``seed`` (see ``semantic_topk``) and ``buckets`` (see ``hit_documents``)
     save work on very large tables and change no result.
     """
     if encoder is not None:
-        queries = cut_lineage(encode_queries(queries, encoder))
+        queries = cut_lineage(encode_queries(
+            queries, encoder, max_tokens=params.embedding_max_tokens, counter=counter,
+            cut=None if counter is None else "query_cut"))
     hits = retrieve(queries, vectors, params, seed)
     # One row per url, and spread by url: a scan of many files leaves a few hits in each task.
     # Later narrow tables have no more rows than the hits, and at most two more numbers.
@@ -128,27 +133,35 @@ def _summary(queries: DataFrame, hits: DataFrame, assessed: DataFrame,
         F.when(F.col("n_hits").isNull(), "no_candidates")
         .when(n == 0, "none_after_rerank").otherwise("ok"))
     return (
-        queries.select("query_id").join(n_hits, "query_id", "left")
+        queries.select("query_id", *[c for c in queries.columns if c == "query_cut"]).join(n_hits, "query_id", "left")
         .join(n_results, "query_id", "left").join(diversity, "query_id", "left")
         .select(
             "query_id", status.alias("status"),
             F.coalesce("n_hits", F.lit(0)).alias("n_hits"),
             F.coalesce("outcome_diversity", F.lit(True)).alias("outcome_diversity"),
-            ((n >= 2) & F.lit(params.landscape)).alias("landscape_mode"))
+            ((n >= 2) & F.lit(params.landscape)).alias("landscape_mode"),
+            *(["query_cut"] if "query_cut" in queries.columns else []))
     )
 
 
 def top_cards(results: DataFrame, generator=None, *, max_chars: int | None = None,
-              grounded: bool = False) -> DataFrame:
+              grounded: bool = False, max_tokens: int | None = None) -> DataFrame:
     """Summary card of every query's best result by authority: query_id, key, url, card.
 
     The best row is the authority-top one, also when the landscape order puts
-    another row first. Whole texts are used unless ``max_chars`` (a model's limit,
-    such as ``params.generation_max_chars``) is given.
+    another row first. It is found by narrow columns; texts are read for the
+    rows that stay. Whole texts are used unless ``max_chars`` (a model's limit,
+    such as ``params.generation_max_chars``) is given; ``max_tokens``
+    (``params.generation_max_tokens``) goes to a generator that takes it.
     """
     best = Window.partitionBy("query_id").orderBy(F.desc("authority_score"), F.asc("rank"))
-    top = results.withColumn("_n", F.row_number().over(best)).filter("_n = 1").drop("_n")
-    top = cut_lineage(top)
-    cards = generate_cards(top, generator, max_chars=max_chars, grounded=grounded)
-    keys = top.select("query_id", document_key(F.col("full_text")).alias("document"))
-    return keys.join(cards, "document").drop("document")
+    narrow = results.select("query_id", "rank", "authority_score",
+                            document_key(F.col("full_text")).alias("document"))
+    top = cut_lineage(narrow.withColumn("_n", F.row_number().over(best)).filter("_n = 1")
+                      .select("query_id", "rank", "document"))
+    rows = results.join(broadcast_within(top.select("query_id", "rank")), ["query_id", "rank"],
+                        "left_semi")
+    cards = generate_cards(rows, generator, max_chars=max_chars, grounded=grounded,
+                           max_tokens=max_tokens)
+    return cards.join(broadcast_within(top.select("query_id", "document")), "document").drop(
+        "document").select("query_id", "key", "url", "card")

@@ -50,6 +50,18 @@ def ship_code(spark: SparkSession) -> None:
     _shipped.add(sc.applicationId)
 
 
+# Bytes that a Python worker gets at once; texts may be long.
+ARROW_BYTES = 16 << 20
+
+
+def bound_arrow_batches(spark: SparkSession, most: int = ARROW_BYTES) -> None:
+    """Keep Arrow batches of this session below ``most`` bytes; results do not depend on it."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(key, str(most)).lower().rstrip("b")
+    if not now.isdigit() or not 0 < int(now) <= most:
+        spark.conf.set(key, str(most))
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

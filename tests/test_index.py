@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from docketry.operators import batching, dedupe, joins, models, positions
 from docketry.plans import index
 from docketry.plans.index import build_index, delta_index
-from docketry.sources.vector_store import append_vectors, read_vectors, write_chunks
+from docketry.sources import chunk_store
+from docketry.sources.vector_store import append_vectors, read_vectors
 from docketry.streaming.delta import index_stream
 
 from .conftest import plan_of
@@ -76,23 +77,112 @@ def test_a_null_url_is_new_but_kept_once(spark, tmp_path, threshold):
     assert delta_index(df, path, models.hashed_terms(4), threshold=threshold).total == 3
 
 
+def own(texts):
+    """Texts of the corpus, not those an encoder is known by."""
+    return [t for t in texts if t.startswith("word ")]
+
+
+def stops(encoder, text, seen=None):
+    """An encoder that fails at a text."""
+    def run(texts):
+        if seen is not None:
+            seen.add(len(own(texts)))
+        if text in texts:
+            raise RuntimeError("broken off")
+        return encoder(texts)
+
+    return run
+
+
+def long_corpus(spark, n):
+    """Texts of unlike lengths, the longest last."""
+    return spark.createDataFrame(
+        [(i, f"u{i}", "n", "2020", "word " * (i + 1)) for i in range(n)], DECISIONS)
+
+
+def broken_off(spark, df, path, work, encoder, chunk_size=8, **options):
+    """A run that ends with an error at its longest text, late in its last task."""
+    with pytest.raises(Exception, match="broken off"):
+        delta_index(df, path, stops(encoder, "word " * df.count()), work_path=work, threshold=1,
+                    chunk_size=chunk_size, **options)
+    (run,) = [p for p in __import__("pathlib").Path(work).iterdir()]
+    return str(run)
+
+
 def test_interrupted_run_resumes(spark, tmp_path):
     path, work = str(tmp_path / "v"), str(tmp_path / "w")
-    df, seen = corpus(spark, 40), spark.sparkContext.accumulator(0)
-    # A finished chunk of an earlier try, and a leftover of another corpus.
-    done = spark.createDataFrame(
-        [(i, f"u{i}", [2.0] * 4, 0) for i in range(7)] + [(99, "stranger", [3.0] * 4, 1)],
-        "pos long, url string, embedding array<float>, chunk_id long")
-    write_chunks(done, work)
+    df, seen = long_corpus(spark, 160), spark.sparkContext.accumulator(0)
+    run = broken_off(spark, df, path, work, models.hashed_terms(4))
+    done = chunk_store.read_chunks(spark, run).count()
+    assert 0 < done < 160
+    ranges = chunk_store.finished_ranges(spark, run).collect()
+    assert sum(r["rows"] for r in ranges) == done and all(r["chunks"] == 1 for r in ranges)
     inner = models.hashed_terms(4)
 
     def encoder(texts):
-        seen.add(len(texts))
+        seen.add(len(own(texts)))
         return inner(texts)
 
     report = delta_index(df, path, encoder, work_path=work, threshold=1, chunk_size=8)
-    assert report.total == 40 and seen.value == 33
-    assert urls(spark, path) == sorted(f"u{i}" for i in range(40))
+    assert report.total == 160 and seen.value == 160 - done
+    assert urls(spark, path) == sorted(f"u{i}" for i in range(160))
+    assert not __import__("os").path.isdir(work)
+
+
+@pytest.mark.parametrize("change", ["encoder", "limit", "store", "name"])
+def test_another_run_takes_up_nothing(spark, tmp_path, change):
+    """Encoders of one factory, another limit, another state of the store, another name."""
+    path, work = str(tmp_path / "v"), str(tmp_path / "w")
+    df = long_corpus(spark, 80)
+    names = {"encoder_name": "one"} if change == "name" else {}
+    broken_off(spark, df, path, work, models.hashed_terms(4), **names)
+    encoder, options = models.hashed_terms(4), {}
+    if change == "encoder":
+        encoder = models.hashed_terms(6)
+    elif change == "limit":
+        options = {"max_chars": 12}
+    elif change == "name":
+        options = {"encoder_name": "two"}
+    else:
+        append_vectors(store_of(spark, ["other"]), path)
+    seen = spark.sparkContext.accumulator(0)
+    report = delta_index(df, path, stops(encoder, None, seen), work_path=work, threshold=1,
+                         chunk_size=8, **options)
+    assert report.added == 80 and seen.value == 80
+    fresh = str(tmp_path / "fresh")
+    if change == "store":
+        append_vectors(store_of(spark, ["other"]), fresh)
+    options.pop("encoder_name", None)
+    delta_index(df, fresh, encoder, **options)
+    assert sorted(map(str, read_vectors(spark, path).collect())) == sorted(
+        map(str, read_vectors(spark, fresh).collect()))
+
+
+def test_encoders_are_told_apart(spark):
+    same = [models.encoder_fingerprint(spark, models.hashed_terms(8)) for _ in range(2)]
+    assert same[0] == same[1]
+    others = [models.hashed_terms(4), lambda texts: np.ones((len(texts), 8)),
+              lambda texts: np.array([[len(t)] for t in texts])]
+    prints = {models.encoder_fingerprint(spark, e) for e in others} | {same[0]}
+    assert len(prints) == 4
+    cut = models.encoder_fingerprint(spark, models.hashed_terms(8), max_chars=100)
+    assert cut != same[0]
+    assert models.encoder_fingerprint(spark, others[1], "v2") == "name v2"
+
+
+def test_many_chunks_are_few_files(spark, tmp_path):
+    """A file a task, however many chunks it takes; nothing is listed by chunk."""
+    work = str(tmp_path / "w")
+    rows = spark.range(100_000).select(
+        F.col("id").alias("pos"), F.concat(F.lit("u"), "id").alias("url"),
+        F.array(F.lit(1.0).cast("float")).alias("embedding"), F.col("id").alias("chunk_id"))
+    tasks = batching.chunk_partitions(100_000, 1, most=6)
+    chunk_store.write_chunks(
+        rows.repartitionById(tasks, F.pmod("chunk_id", F.lit(tasks)).cast("int")), work)
+    files = [p for p in (tmp_path / "w").rglob("*.parquet")]
+    assert len(files) == 6 and chunk_store.finished_ranges(spark, work).agg(
+        F.sum("chunks"), F.count("file")).first()[:] == (100_000, 6)
+    assert chunk_store.read_chunks(spark, work).count() == 100_000
 
 
 def test_keys_are_found_without_reading_texts(spark, tmp_path):
@@ -251,6 +341,82 @@ def test_encoder_contract(spark):
         models.encode(df, lambda texts: np.ones((len(texts) + 1, 2)), keep=["url"]).collect()
 
 
+def batch_calls(df, keep, **options):
+    """What each model call got, as the number of texts and their total length."""
+    def encoder(texts):
+        return np.array([[len(texts), sum(map(len, texts))]] * len(texts))
+
+    return models.encode(df, encoder, keep=keep, **options)
+
+
+def test_model_batches_cross_arrow_batches_and_equal_assign_batches(spark):
+    rng = random.Random(8)
+    rows = [(i, rng.choice([3, 40, 3000, 90_000])) for i in range(400)]
+    df = spark.createDataFrame(rows, "pos long, length int").withColumn(
+        "url", F.col("pos").cast("string"))
+    planned = batching.assign_chunks(df, 150).withColumn(
+        "tokens", F.greatest(F.lit(1), F.ceil(F.col("length") / 4)))
+    expected = {r["idx"]: (r["n"], r["total"]) for r in batching.assign_batches(planned).join(
+        planned.select("idx", "length"), "idx").select(
+        "idx", F.expr("count(1) over (partition by chunk_id, batch_id)").alias("n"),
+        F.expr("sum(length) over (partition by chunk_id, batch_id)").alias("total")).collect()}
+    texts = planned.withColumn("text", F.expr("repeat('x', length)"))
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    for records in ("7", "10000"):
+        spark.conf.set(key, records)
+        ordered = texts.repartitionById(2, F.pmod("chunk_id", F.lit(2)).cast("int")
+                                        ).sortWithinPartitions("idx")
+        got = batch_calls(ordered, ["idx", "chunk_id"], group="chunk_id").collect()
+        assert {r["idx"]: tuple(r["embedding"]) for r in got} == expected
+    spark.conf.set(key, before)
+
+
+def test_memory_of_a_task_follows_a_batch_not_the_table():
+    """400 texts of 1 MB pass through; a few are held."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    def arriving():
+        for i in range(400):
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([i]), pa.array(["x" * 1_000_000])], names=["i", "_text"])
+
+    tracemalloc.start()
+    held = pa.total_allocated_bytes()
+    most, seen = 0, 0
+    for rows, texts, _ in models.model_batches(arriving(), 1):
+        assert rows.num_rows == len(texts) == 1
+        seen += len(texts)
+        most = max(most, pa.total_allocated_bytes() - held)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert seen == 400 and peak < 10_000_000 and most < 10_000_000
+
+
+WORDS = models.TokenCounter(lambda text: [m.end() for m in __import__("re").finditer(r"\S+", text)])
+
+
+def test_token_limits(spark, tmp_path):
+    df = long_corpus(spark, 20)
+    got = {r["url"]: (r["embedding"][0], r["_cut"]) for r in models.encode(
+        df, lambda texts: np.array([[len(t.split())] for t in texts]), keep=["url"],
+        max_tokens=5, counter=WORDS, cut="_cut").collect()}
+    assert got == {f"u{i}": (min(i + 1, 5), i >= 5) for i in range(20)}
+    assert WORDS.cut("", 3) == ("", False) and WORDS.cut("a b", 0) == ("", True)
+    # Without a counter the limit is the encoder's own.
+    def limited(texts, max_tokens):
+        return np.full((len(texts), 1), max_tokens)
+
+    rows = models.encode(df, limited, keep=["url"], max_tokens=7, cut="_cut").collect()
+    assert {(r["embedding"][0], r["_cut"]) for r in rows} == {(7.0, False)}
+    for threshold in (1000, 1):
+        report = delta_index(df, str(tmp_path / f"v{threshold}"), models.hashed_terms(4),
+                             threshold=threshold, max_tokens=5, counter=WORDS)
+        assert report.cut == 15 and report.added == 20
+
+
 def test_truncation_ahead_of_encoding(spark):
     df = corpus(spark, 3, words=50)
     seen = models.encode(df, lambda texts: np.array([[len(t)] for t in texts]), max_chars=7,
@@ -289,7 +455,7 @@ def test_files_that_each_count_from_zero_lose_nothing(spark, tmp_path):
     inner = models.hashed_terms(4)
 
     def encoder(texts):
-        calls.add(len(texts))
+        calls.add(len(own(texts)))
         return inner(texts)
 
     for threshold in (1000, 1):

@@ -88,3 +88,64 @@ def test_measured_size_counts_text_and_elements(spark):
     df = spark.createDataFrame([("abé", ["xy", "z"], [1.0]), (None, None, None)],
                                "s string, a array<string>, f array<float>")
     assert sizes.measured_bytes(df) == 2 * 48 + 4 + 32 + 3 + 16
+
+
+def moved(plan, column):
+    """Whether an exchange or a sort of the plan carries a column."""
+    physical = plan[plan.index("== Physical Plan =="):].split("\n")
+    depth = [len(line) - len(line.lstrip(" :+-*")) for line in physical]
+    for i, line in enumerate(physical):
+        if re.search(r"(Exchange|Sort|Window) ?[\[(h]", line) and "Broadcast" not in line:
+            below = next((physical[j] for j in range(i + 1, len(physical)) if depth[j] > depth[i]), "")
+            if re.search(rf"\b{column}#\d+", line + below):
+                return True
+    return False
+
+
+@pytest.fixture(scope="module")
+def results(spark, tmp_path_factory):
+    path = str(tmp_path_factory.mktemp("results") / "r")
+    spark.range(400).select(
+        (F.col("id") / 4).cast("long").alias("query_id"), (F.col("id") % 4 + 1).cast("int").alias("rank"),
+        F.concat(F.lit("u"), F.col("id") % 50).alias("url"), F.lit("n").alias("name"),
+        F.lit("2020").alias("date"), (F.col("id") % 7 / 7).alias("authority_score"),
+        F.concat(F.lit("text of "), F.col("id") % 50).alias("full_text")).write.parquet(path)
+    return spark.read.parquet(path)
+
+
+def test_cards_move_no_texts(results):
+    from docketry.operators.models import generate_cards
+    from docketry.plans.search import top_cards
+
+    def write(prompts):
+        return ["**Issue:**\n- " + str(len(p)) for p in prompts]
+
+    for generator in (None, write):
+        for df in (generate_cards(results, generator), top_cards(results, generator)):
+            assert not moved(plan_of(df), "full_text") and not moved(plan_of(df), "text")
+            assert "Window" not in plan_of(df)
+    assert generate_cards(results).count() == 50
+    assert top_cards(results).count() == 100
+    shuffled = results.repartition(3, "url")
+    assert moved(plan_of(shuffled), "full_text")
+
+
+def test_cards_of_rows_alike(spark):
+    """Rows that agree in all narrow columns, and documents with several texts."""
+    from docketry.operators.models import generate_cards
+
+    rows = [("u1", "n", "d", "one")] * 3 + [("u1", "n", "d", "two"), (None, "n", "d", "three"),
+                                            (None, "n", "d", "four"), (None, "n", "d", None)]
+    df = spark.createDataFrame(rows, "url string, name string, date string, full_text string")
+    cards = generate_cards(df, lambda prompts: [p[-120:] for p in prompts]).collect()
+    assert len(cards) == 4 and len({c["document"] for c in cards}) == 4
+
+
+def test_a_card_limit_reaches_the_generator(results):
+    from docketry.operators.models import generate_cards
+
+    def write(prompts, max_tokens):
+        return [f"**Issue:**\n- {max_tokens}" for _ in prompts]
+
+    cards = generate_cards(results, write, max_tokens=768).collect()
+    assert len(cards) == 50 and all("768" in c["card"] for c in cards)

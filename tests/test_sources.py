@@ -79,8 +79,101 @@ def test_rewrite_may_read_its_own_store(spark, tmp_path):
     VS.append_vectors(vectors(spark, [(0, "a", [1.0])]), path)
     VS.append_vectors(vectors(spark, [(1, "a", [1.0]), (2, "b", [1.0])]), path)
     VS.write_vectors(VS.read_vectors(spark, path), path)
-    assert [p.name for p in (tmp_path / "v").iterdir() if p.is_dir()] == ["segment=2"]
+    assert [s.number for s in VS.manifest_of(spark, path).segments] == [2]
     assert VS.read_vectors(spark, path).count() == 2
+    VS.vacuum(spark, path, keep=1)
+    assert [p.name for p in (tmp_path / "v").glob("segment=*")] == ["segment=2"]
+    assert VS.read_vectors(spark, path).count() == 2
+
+
+def test_reading_a_store_compares_no_keys(spark, tmp_path):
+    path = str(tmp_path / "v")
+    for part in range(3):
+        VS.append_vectors(vectors(spark, [(part * 10 + i, f"u{part}{i}", [1.0]) for i in range(9)]),
+                          path)
+    plan = plan_of(VS.read_vectors(spark, path))
+    assert "Exchange" not in plan and "Join" not in plan and "Aggregate" not in plan
+    assert VS.read_vectors(spark, path).count() == 27
+
+
+@pytest.mark.parametrize("filters", [True, False])
+def test_only_keys_that_may_be_known_are_compared(spark, tmp_path, filters, monkeypatch):
+    """Repeats inside a segment, across segments, ties, null urls, lower positions later."""
+    if not filters:
+        monkeypatch.setattr(VS, "_FILTERS_BYTES", 0)
+    parts = [[(0, "a", [1.0]), (1, "b", [2.0]), (2, "b", [3.0]), (3, None, [4.0])],
+             [(10, "x", [5.0]), (11, "z", [6.0])],
+             [(20, "a", [7.0]), (21, "c", [8.0]), (22, None, [9.0]), (-1, "z", [10.0])],
+             [(30, "c", [11.0]), (21, "c", [12.0]), (31, "d", [13.0])]]
+    path, everything = str(tmp_path / "v"), []
+    for rows in parts:
+        VS.append_vectors(vectors(spark, rows), path)
+        everything += rows
+        best = {}
+        for pos, url, vec in everything:
+            if url not in best or pos < best[url][0]:
+                best[url] = (pos, vec)
+        got = {r["url"]: (r["pos"], r["embedding"]) for r in VS.read_vectors(spark, path).collect()}
+        assert got == best
+    # Equal url and position inside one segment.
+    VS.append_vectors(vectors(spark, [(40, "t", [1.0]), (40, "t", [1.0])]), path)
+    assert VS.manifest_of(spark, path).tied
+    assert VS.read_vectors(spark, path).filter("url = 't'").count() == 1
+    report = VS.compact(spark, path)
+    assert report.total == len(best) + 1 and report.segments == 1
+    assert VS.manifest_of(spark, path).repeats is None
+    assert "Exchange" not in plan_of(VS.read_vectors(spark, path))
+    assert VS.read_vectors(spark, path).count() == len(best) + 1
+
+
+def test_a_filter_passes_every_known_key(spark, tmp_path):
+    path = str(tmp_path / "v")
+    rows = spark.range(3000).select(F.col("id").alias("pos"), F.concat(F.lit("u"), "id").alias("url"),
+                                    F.array(F.lit(1.0).cast("float")).alias("embedding"))
+    VS.append_vectors(rows, path)
+    (segment,) = VS.manifest_of(spark, path).segments
+    filters = [(VS._bits_for(segment.rows), VS._read_filter(spark, path, segment))]
+    assert VS._maybe_known(rows.select("url"), filters).count() == 3000
+    others = rows.select(F.concat(F.lit("v"), "pos").alias("url"))
+    assert VS._maybe_known(others, filters).count() < 150
+
+
+def test_merging_reports_and_swaps_in_one_step(spark, tmp_path):
+    path = str(tmp_path / "v")
+    VS.append_vectors(vectors(spark, [(0, "a", [1.0]), (1, "b", [2.0])]), path)
+    during = VS.read_vectors(spark, path)
+    report = VS.merge_vectors(spark, path, vectors(spark, [(5, "b", [9.0]), (6, "c", [3.0])]),
+                              vectors(spark, [(7, "c", [4.0]), (8, "d", [5.0]), (9, "d", [6.0])]))
+    assert report == (4, 2, 3)
+    assert sorted(r["url"] for r in during.collect()) == ["a", "b"]
+    during = VS.read_vectors(spark, path)
+    assert VS.compact(spark, path, partitions=2) == (4, 0, 1)
+    # A reader that began before the swap still sees its state, one after it the new one.
+    expected = [(0, "a"), (1, "b"), (6, "c"), (8, "d")]
+    for reader in (during, VS.read_vectors(spark, path)):
+        assert sorted((r["pos"], r["url"]) for r in reader.collect()) == expected
+    assert VS.compact(spark, path) == (4, 0, 1)
+    VS.vacuum(spark, path, keep=1)
+    assert len(list((tmp_path / "v").glob("segment=*"))) == 1
+
+
+def test_two_changes_at_once_do_not_both_count(spark, tmp_path):
+    path = str(tmp_path / "v")
+    VS.append_vectors(vectors(spark, [(0, "a", [1.0])]), path)
+    state = VS.manifest_of(spark, path)
+    VS.append_vectors(vectors(spark, [(1, "b", [1.0])]), path)
+    with pytest.raises(RuntimeError, match="changed by another run"):
+        VS._commit(spark, path, state)
+
+
+def test_a_store_without_a_manifest_is_read_and_taken_over(spark, tmp_path):
+    path = str(tmp_path / "v")
+    vectors(spark, [(0, "a", [1.0]), (1, "b", [2.0])]).write.parquet(f"{path}/segment=0")
+    vectors(spark, [(2, "b", [1.0])]).write.parquet(f"{path}/segment=1")
+    assert VS.store_exists(spark, path) and VS.read_vectors(spark, path).count() == 2
+    VS.append_vectors(vectors(spark, [(3, "a", [1.0]), (4, "e", [1.0])]), path)
+    assert [s.rows for s in VS.manifest_of(spark, path).segments] == [2, 1, 2]
+    assert sorted(r["pos"] for r in VS.read_vectors(spark, path).collect()) == [0, 1, 4]
 
 
 def test_inconsistent_stores_are_rejected(spark, tmp_path):
@@ -98,6 +191,7 @@ def test_chunks_are_replaced_one_by_one(spark, tmp_path):
     VS.write_chunks(rows.withColumn("chunk_id", (F.col("pos") / 2).cast("long")), path)
     VS.write_chunks(vectors(spark, [(9, "u9", [1.0])]).withColumn("chunk_id", F.lit(1)), path)
     assert {r["url"] for r in VS.read_chunks(spark, path).collect()} == {"u0", "u1", "u9"}
+    assert len(VS.read_chunks(spark, path).columns) == 4
 
 
 def test_texts_of_many_files_are_not_shuffled(spark, tmp_path):
