@@ -620,6 +620,9 @@ for _same in ("search_seeded", "search_bucketed"):
     ORACLES[_same] = ORACLES["search_fast"]
 ORACLES["build_index"] = ORACLES["align"]
 ORACLES["merge_tables"] = ORACLES["merge_store"]
+ORACLES["merge_store"] = f"""SELECT *, (SELECT count(*) FROM m) AS total,
+    (SELECT count(*) FROM m WHERE pos >= 1000000) AS added FROM m""".join(
+    ["WITH m AS (" + ORACLES["merge_tables"] + ") ", ""])
 
 # Columns that are 32-bit integers in Spark.
 _INTEGERS = {

@@ -16,13 +16,12 @@ from pyspark.sql import functions as F
 
 from ..functions.vectors import (NORM_FLOOR, SCORE_DECIMALS, WORST_SCORE, cosine_score,
                                  sanitize_and_normalize)
+from ..session import cut_lineage
 
-# Queries whose vectors are sent to every task; more go the shuffled way.
-BROADCAST_QUERIES = 4096
-# Vectors per cell of the shuffled way.
-CELL_VECTORS = 65536
-# Bytes of queries (doubles) and of a cell's vectors (floats); wide vectors lower the counts.
-QUERY_BYTES, CELL_BYTES = 64 << 20, 256 << 20
+# Queries whose vectors are sent to every task at once, and their bytes as doubles.
+BROADCAST_QUERIES, QUERY_BYTES = 4096, 64 << 20
+# Rows of the first sample that bars are found in, and how much larger the next one is.
+FIRST_SLICE, GROWTH = 4096, 16
 # Partial rows of one scan: a large store is scanned by fewer tasks that each pass more files.
 PARTIAL_ROWS = 1_000_000_000
 # Score matrix elements held at a time in a task.
@@ -154,10 +153,9 @@ def _floors(column: pa.ChunkedArray) -> np.ndarray:
     return np.nan_to_num(column.to_numpy(zero_copy_only=False).astype(float), nan=-np.inf)
 
 
-def block_limits(width: int) -> tuple[int, int]:
-    """(queries sent to every task, vectors of a grid cell) for vectors of ``width`` numbers."""
-    return (max(1, min(BROADCAST_QUERIES, QUERY_BYTES // (8 * max(1, width)))),
-            max(1, min(CELL_VECTORS, CELL_BYTES // (4 * max(1, width)))))
+def broadcast_queries(width: int) -> int:
+    """How many queries of ``width`` numbers are sent to every task."""
+    return max(1, min(BROADCAST_QUERIES, QUERY_BYTES // (8 * max(1, width))))
 
 
 def scan_tasks(n_queries: int, k: int, cores: int) -> int:
@@ -189,36 +187,54 @@ def _broadcast_hits(head: pa.Table, vectors: DataFrame, k: int) -> DataFrame:
     return vectors.select("url", "embedding").mapInArrow(run, _HIT_SCHEMA)
 
 
-def _grid_hits(queries: DataFrame, vectors: DataFrame, k: int, query_block: int,
-               cell_vectors: int) -> DataFrame:
-    """Any number of queries: both sides are cut into blocks and meet in grid cells.
+def growing_slices(vectors: DataFrame, first: int = FIRST_SLICE) -> list[DataFrame]:
+    """Samples of a table by a hash of the url, of ``first`` rows, 16 times as many, and so on.
 
-    A cell holds about ``query_block`` queries and ``cell_vectors`` vectors, so
-    memory is bounded once these follow the width of the vectors. Vectors are sent once per
-    block of queries and queries once per block of vectors.
+    They are written once, and hold less than a tenth of the table in all.
     """
-    n_q = max(1, math.ceil(queries.count() / query_block))
-    n_d = max(1, math.ceil(vectors.count() / cell_vectors))
-    left = vectors.select(
-        "url", "embedding",
-        F.pmod(F.xxhash64("url", "embedding"), F.lit(n_d)).cast("int").alias("_d"),
-        F.explode(F.sequence(F.lit(0), F.lit(n_q - 1))).alias("_q"))
-    right = queries.select(
-        "query_id", "q_vec", "floor",
-        F.pmod(F.xxhash64("query_id"), F.lit(n_q)).cast("int").alias("_q"),
-        F.explode(F.sequence(F.lit(0), F.lit(n_d - 1))).alias("_d"))
-
-    def cell(docs: pa.Table, asked: pa.Table) -> pa.Table:
-        if not docs.num_rows or not asked.num_rows:
-            return _HIT_ARROW.empty_table()
-        top = _TopK(asked.column("query_id").to_numpy(), _matrix(asked.column("q_vec")), k,
-                    _floors(asked.column("floor")))
-        top.add(docs.column("url").combine_chunks(), _matrix(docs.column("embedding")))
-        found = top.hits()
-        return _HIT_ARROW.empty_table() if found is None else pa.Table.from_batches([found])
-
-    return left.groupBy("_q", "_d").cogroup(right.groupBy("_q", "_d")).applyInArrow(
-        cell, _HIT_SCHEMA)
+    total, places = vectors.count(), 1 << 30
+    place = F.pmod(F.xxhash64("url"), F.lit(places))
+    out = []
+    reach = first
+    while reach * GROWTH <= total:
+        share = int(places * (reach / total))
+        out.append(cut_lineage(vectors.select("url", "embedding").filter(place < share)))
+        reach *= GROWTH
+    return out
+
+
+def _with_floor(head: pa.Table, best: DataFrame, k: int) -> pa.Table:
+    """The queries with the k-th score of ``best`` as their bar, where that is higher."""
+    known = best.filter(F.col("stage1_rank") == k).select("query_id", "stage1_score").toArrow()
+    bars = dict(zip(known.column(0).to_pylist(), known.column(1).to_pylist()))
+    floors = [max((x for x in (old, bars.get(i)) if x is not None), default=None) for i, old in
+              zip(head.column("query_id").to_pylist(), head.column("floor").to_pylist())]
+    return head.set_column(head.schema.get_field_index("floor"), "floor",
+                           pa.array(floors, pa.float64()))
+
+
+def _blocked_topk(queries: DataFrame, vectors: DataFrame, k: int, block: int,
+                  first_slice: int) -> DataFrame:
+    """Any number of queries: a block of them at a time meets the vectors where they lie.
+
+    Vectors are neither copied nor shuffled. Each block is searched in growing
+    samples first; the k-th score there bars all but about 16 k rows a query of
+    the full scan, whatever the number of tasks. A block's hits are written before the next.
+    """
+    n_blocks = max(1, math.ceil(queries.count() / block))
+    tagged = cut_lineage(queries.withColumn(
+        "_b", F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)).cast("int")))
+    slices = growing_slices(vectors, first_slice)
+    out = None
+    for b in range(n_blocks):
+        head = tagged.filter(F.col("_b") == b).select("query_id", "q_vec", "floor").toArrow()
+        if not head.num_rows:
+            continue
+        for part in slices:
+            head = _with_floor(head, best_per_query(_broadcast_hits(head, part, k), k), k)
+        found = cut_lineage(best_per_query(_broadcast_hits(head, vectors, k), k))
+        out = found if out is None else out.unionByName(found)
+    return out
 
 
 def best_per_query(hits: DataFrame, k: int, buckets: int = 16) -> DataFrame:
@@ -239,44 +255,43 @@ def best_per_query(hits: DataFrame, k: int, buckets: int = 16) -> DataFrame:
     )
 
 
-def _partial_hits(asked: DataFrame, vectors: DataFrame, k: int,
-                  max_broadcast_queries: int | None, cell_vectors: int | None) -> DataFrame:
-    if max_broadcast_queries is None or cell_vectors is None:
+def _topk(asked: DataFrame, vectors: DataFrame, k: int, max_broadcast_queries: int | None,
+          first_slice: int) -> DataFrame:
+    if max_broadcast_queries is None:
         first = asked.select(F.coalesce(F.size("q_vec"), F.lit(1)).alias("n")).first()
-        most = block_limits(first["n"] if first else 1)
-        max_broadcast_queries = max_broadcast_queries or most[0]
-        cell_vectors = cell_vectors or most[1]
+        max_broadcast_queries = broadcast_queries(first["n"] if first else 1)
     head = asked.limit(max_broadcast_queries + 1).toArrow()
     if head.num_rows <= max_broadcast_queries:
-        return _broadcast_hits(head, vectors, k)
-    return _grid_hits(asked, vectors, k, max_broadcast_queries, cell_vectors)
+        return best_per_query(_broadcast_hits(head, vectors, k), k)
+    return _blocked_topk(asked, vectors, k, max_broadcast_queries, first_slice)
 
 
 def semantic_topk(queries: DataFrame, vectors: DataFrame, k: int, *,
                   seed: DataFrame | None = None,
                   max_broadcast_queries: int | None = None,
-                  cell_vectors: int | None = None) -> DataFrame:
+                  first_slice: int = FIRST_SLICE) -> DataFrame:
     """The k nearest documents of every query: query_id, url, stage1_score, stage1_rank.
 
     Exact: every query meets every vector. Reads only url and embedding. Scores
     have nine places; ties go by url; a score that is not finite counts as -1.
-    Up to ``max_broadcast_queries`` queries are sent to the tasks that scan
-    the vectors; more queries take the grid. Without these limits, ``block_limits``
-    sets them by the bytes of a vector.
+    Up to ``max_broadcast_queries`` queries (by default set by the bytes of a vector)
+    are sent to the tasks that scan the vectors; more queries go in blocks of
+    so many, each with a bar found in samples of the vectors, the smallest of
+    ``first_slice`` rows.
 
     ``seed`` may be any part of ``vectors``, such as one file of a large store.
     It is searched first, and its k-th score per query is a lower bound for the
     whole store, so the tasks of the full scan keep only what may still get in.
     """
     asked = queries.select(F.col("query_id").cast("long"), "q_vec")
-    limits = (max_broadcast_queries, cell_vectors)
+    limits = (max_broadcast_queries, first_slice)
     no_floor = asked.withColumn("floor", F.lit(None).cast("double"))
     if seed is None:
-        return best_per_query(_partial_hits(no_floor, vectors, k, *limits), k)
-    bounds = best_per_query(_partial_hits(no_floor, seed, k, *limits), k).filter(
+        return _topk(no_floor, vectors, k, *limits)
+    bounds = _topk(no_floor, seed, k, *limits).filter(
         F.col("stage1_rank") == k).select("query_id", F.col("stage1_score").alias("floor"))
     bounded = asked.join(bounds, "query_id", "left").select("query_id", "q_vec", "floor")
-    return best_per_query(_partial_hits(bounded, vectors, k, *limits), k)
+    return _topk(bounded, vectors, k, *limits)
 
 
 def semantic_topk_single(vectors: DataFrame, q_vec: list[float], k: int) -> DataFrame:

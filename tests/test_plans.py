@@ -40,12 +40,24 @@ def test_topk_limits_ahead_of_the_shuffle_and_reads_two_columns(tables):
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
 
 
-def test_grid_has_no_cross_join(tables):
+def test_blocks_of_queries_copy_no_vectors(tables, monkeypatch):
+    from docketry.operators import vector_blocks as blocks
+
     decisions, vectors = tables
     queries = vectors.select(F.col("pos").alias("query_id"), F.col("embedding").alias("q_vec"))
-    plan = plan_of(semantic_topk(queries, vectors, 5, max_broadcast_queries=100))
-    assert "FlatMapCoGroupsInArrow" in plan
-    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+    seen = []
+    vectors_scan = blocks._broadcast_hits
+
+    def scan(head, df, k):
+        seen.append(vectors_scan(head, df, k))
+        return seen[-1]
+
+    monkeypatch.setattr(blocks, "_broadcast_hits", scan)
+    hits = semantic_topk(queries, vectors, 5, max_broadcast_queries=700, first_slice=100)
+    assert hits.count() == 5 * 2000 and len(seen) == 6      # three blocks, a sample and all
+    for plan in [plan_of(hits), *map(plan_of, seen)]:
+        assert "Generate" not in plan and "explode" not in plan and "Exchange" not in plan
+        assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
 
 
 def test_single_query_keeps_a_heap_not_a_sort(tables):

@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from docketry.functions import vectors as V
 from docketry.operators.profiles import embedding_profile, vector_quality
-from docketry.operators.vector_blocks import (CELL_BYTES, PARTIAL_ROWS, QUERY_BYTES,
-                                              block_limits, prepare_vectors, scan_tasks,
+from docketry.operators.vector_blocks import (PARTIAL_ROWS, QUERY_BYTES, broadcast_queries,
+                                              growing_slices, prepare_vectors, scan_tasks,
                                               semantic_topk, semantic_topk_single)
 
 NAN, INF = float("nan"), float("inf")
@@ -111,7 +111,7 @@ def check(found, expected):
         assert np.allclose([s for _, s in found[i]], [s for _, s in expected[i]], atol=1e-9)
 
 
-@pytest.mark.parametrize("options", [{}, {"max_broadcast_queries": 3, "cell_vectors": 40}])
+@pytest.mark.parametrize("options", [{}, {"max_broadcast_queries": 3, "first_slice": 10}])
 def test_topk_equals_brute_force(spark, options):
     rng = np.random.default_rng(3)
     # A third of all vectors are copies of one, so ties cross every partition.
@@ -123,7 +123,7 @@ def test_topk_equals_brute_force(spark, options):
         check(collected(semantic_topk(asked, vectors, k, **options)), brute(docs, queries, k))
 
 
-@pytest.mark.parametrize("options", [{}, {"max_broadcast_queries": 3, "cell_vectors": 40}])
+@pytest.mark.parametrize("options", [{}, {"max_broadcast_queries": 3, "first_slice": 10}])
 def test_a_seed_changes_nothing(spark, options):
     rng = np.random.default_rng(8)
     docs = [(f"d{i:03}", rng.normal(size=8)) for i in range(150)]
@@ -152,10 +152,16 @@ def test_topk_of_nothing(spark):
 
 @pytest.mark.parametrize("width", [0, 1, 64, 4096, 1 << 20, 1 << 30])
 def test_blocks_are_bounded_in_bytes(width):
-    queries, cell = block_limits(width)
-    assert queries >= 1 and cell >= 1
-    assert queries == 1 or queries * width * 8 <= QUERY_BYTES
-    assert cell == 1 or cell * width * 4 <= CELL_BYTES
+    queries = broadcast_queries(width)
+    assert queries == 1 or 1 < queries and queries * width * 8 <= QUERY_BYTES
+
+
+def test_samples_grow_and_hold_each_other(spark):
+    docs = [(f"d{i}", [1.0]) for i in range(3000)]
+    _, vectors = frames(spark, docs, [[1.0]])
+    found = [{r["url"] for r in s.collect()} for s in growing_slices(vectors, 10)]
+    assert len(found) == 2 and found[0] < found[1]
+    assert 2 <= len(found[0]) <= 30 and 100 <= len(found[1]) <= 230
 
 
 def test_partial_rows_do_not_grow_with_the_store():
