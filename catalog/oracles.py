@@ -598,7 +598,8 @@ ORACLES = {
         {_result_url} AS url, md5(card) AS card_md5 FROM card JOIN decisions USING (url)""",
     "write_vectors": f"WITH {DOC_VECTORS} SELECT url, pos, {digest('v')} FROM doc_vec",
     "delta_index": f"WITH {_DELTA} SELECT url, pos, {digest('v')} FROM store",
-    "delta_stream": f"WITH {_DELTA} SELECT url, {digest('v')} FROM store",
+    "delta_stream": f"WITH {_DELTA} SELECT url, {digest('v')}, 2::BIGINT AS files_set_aside"
+    " FROM store",
     "delta_token_limit": f"""WITH {DECISIONS}, w AS (SELECT url, text,
         len(regexp_extract_all(text, '[^ ]+')) AS n,
         regexp_extract(text, '^( *[^ ]+){{50}}') AS head FROM decisions)

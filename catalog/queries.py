@@ -24,7 +24,7 @@ from docketry.plans import index, search
 from docketry.session import checkpoint_dir, cut_lineage
 from docketry.sources import decisions as source
 from docketry.sources import vector_store
-from docketry.streaming.delta import index_stream
+from docketry.streaming.delta import index_stream, rejected_files
 
 from . import views
 from .views import AS_OF_YEAR, table
@@ -727,17 +727,33 @@ def delta_index_chunked(spark, sf):
 
 
 def delta_stream(spark, sf):
-    """The decisions arrive as files; the stream adds those the store lacks."""
+    """The decisions arrive as files; the stream adds those the store lacks.
+
+    Among the files are one of another layout, one whose text is a number and one with
+    rows of nulls; dates are text in some files and dates in others.
+    """
     root = scratch(spark, "stream")
     vector_store.append_vectors(views.vectors(spark, sf), f"{root}/store")
-    views.decisions(spark, sf).select(
+    arriving = views.decisions(spark, sf).select(
         F.col("name").alias("name_en"), F.col("document_date").alias("document_date_en"),
         F.col("url").alias("url_en"), F.col("text").alias("unofficial_text_en"),
-    ).repartition(3).write.parquet(f"{root}/in")
+        F.col("pos"))
+    for part, day in ((0, "string"), (1, "date")):
+        arriving.filter(F.col("pos") % 2 == part).drop("pos").withColumn(
+            "document_date_en", F.col("document_date_en").try_cast(day)).repartition(3).write.mode(
+            "append").parquet(f"{root}/in")
+    nothing = arriving.drop("pos").limit(3)
+    nothing.select(*[F.lit(None).cast("string").alias(c) for c in nothing.columns]).coalesce(
+        1).write.mode("append").parquet(f"{root}/in")
+    nothing.select(F.lit("x").alias("title"), "url_en").coalesce(1).write.mode("append").parquet(
+        f"{root}/in")
+    nothing.withColumn("unofficial_text_en", F.lit(1)).coalesce(1).write.mode("append").parquet(
+        f"{root}/in")
     index_stream(spark, f"{root}/in", f"{root}/store", models.hashed_terms(64),
-                 f"{root}/checkpoint", files_per_batch=2).awaitTermination()
+                 f"{root}/checkpoint", files_per_batch=5).awaitTermination()
+    set_aside = rejected_files(spark, f"{root}/checkpoint").count()
     return vector_store.read_vectors(spark, f"{root}/store").select(
-        "url", *_vector_digest("embedding"))
+        "url", *_vector_digest("embedding"), F.lit(set_aside).cast("long").alias("files_set_aside"))
 
 
 def encode_documents(spark, sf):

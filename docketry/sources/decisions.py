@@ -13,7 +13,7 @@ from ..schemas import require_columns
 from ..session import cut_lineage
 
 # Bits of ``pos`` that count rows inside one file.
-_ROW_BITS = 40
+ROW_BITS = 40
 # Largest table of file names that is sent to every executor, about two million files.
 _FILE_TABLE_BYTES = 256 * 1024 * 1024
 
@@ -47,7 +47,7 @@ def dev_limit(df: DataFrame, n: int = fixed.DEV_ROW_LIMIT) -> DataFrame:
     return df.orderBy("pos").limit(n)
 
 
-def _with_file_position(raw: DataFrame) -> DataFrame:
+def with_file_position(raw: DataFrame) -> DataFrame:
     """Add ``pos``, the row order of the files, from scan metadata: no sort, no shuffle.
 
     With several files, the files are numbered by path. That table has one row
@@ -61,7 +61,7 @@ def _with_file_position(raw: DataFrame) -> DataFrame:
         .select("_file", F.row_number().over(Window.orderBy("_file")).alias("_n"))
     )
     tagged = raw.select("*", F.col("_metadata.file_path").alias("_file"), row.alias("_row"))
-    pos = F.shiftleft(F.col("_n").cast("long") - 1, _ROW_BITS) + F.col("_row")
+    pos = F.shiftleft(F.col("_n").cast("long") - 1, ROW_BITS) + F.col("_row")
     return tagged.join(broadcast_within(files, _FILE_TABLE_BYTES), "_file").withColumn("pos", pos).drop("_file", "_n", "_row")
 
 
@@ -79,7 +79,7 @@ def read_decisions(spark: SparkSession, path: str, max_rows: int | None = None)
     """Scan a Parquet corpus: check columns, drop blank texts, optionally the first rows."""
     raw = spark.read.parquet(path)
     require_columns(raw, fixed.REQUIRED_COLUMNS)
-    decisions = drop_blank_text(candidate_projection(_with_file_position(raw)))
+    decisions = drop_blank_text(candidate_projection(with_file_position(raw)))
     return decisions if max_rows is None else dev_limit(decisions, max_rows)
 
 

@@ -9,7 +9,7 @@ from docketry.plans import index
 from docketry.plans.index import build_index, delta_index
 from docketry.sources import chunk_store
 from docketry.sources.vector_store import append_vectors, read_vectors
-from docketry.streaming.delta import index_stream
+from docketry.streaming.delta import index_stream, rejected_files
 
 from .conftest import plan_of
 
@@ -484,12 +484,49 @@ def test_a_null_url_is_encoded_once(spark, tmp_path):
     assert delta_index(df, path, models.hashed_terms(4)) == ("none", 3, 0, 3, 0)
 
 
-def test_a_stream_of_another_layout_fails(spark, tmp_path):
-    source = str(tmp_path / "in")
-    corpus(spark, 4).coalesce(1).write.parquet(source)
-    with pytest.raises(Exception, match="without any of"):
-        index_stream(spark, source, str(tmp_path / "v"), models.hashed_terms(4),
-                     str(tmp_path / "c")).awaitTermination()
+def test_files_of_another_layout_are_set_aside(spark, tmp_path):
+    """Missing columns, other types, no Parquet at all, rows of nulls: the rest is indexed."""
+    source, path, checkpoint = (str(tmp_path / n) for n in ("in", "v", "c"))
+    rows = corpus(spark, 6).select(
+        F.col("name").alias("name_en"), F.col("document_date").alias("document_date_en"),
+        F.col("url").alias("url_en"), F.col("text").alias("unofficial_text_en"))
+
+    def arrive(df):
+        df.coalesce(1).write.mode("append").parquet(source)
+
+    arrive(rows)
+    arrive(rows.limit(2).select(*[F.lit(None).cast("string").alias(c) for c in rows.columns]))
+    arrive(corpus(spark, 4))
+    arrive(rows.limit(1).withColumn("unofficial_text_en", F.lit(5)))
+    arrive(rows.limit(1).withColumn("url_en", F.array("url_en")))
+    arrive(rows.limit(1).withColumns({"url_en": F.lit("dated"), "document_date_en": F.current_date()}))
+    (tmp_path / "in" / "broken.parquet").write_bytes(b"no parquet")
+    index_stream(spark, source, path, models.hashed_terms(4), checkpoint,
+                 files_per_batch=3).awaitTermination()
+    assert urls(spark, path) == sorted(["dated", *(f"u{i}" for i in range(6))])
+    found = {r["reason"].split(":")[0]: r for r in rejected_files(spark, checkpoint).collect()}
+    assert rejected_files(spark, checkpoint).count() == 4
+    assert set(found) == {"missing columns", "columns of another type", "unreadable"}
+    assert found["missing columns"]["missing"] == [
+        "name_en", "document_date_en", "url_en", "unofficial_text_en"]
+    assert "text" in found["missing columns"]["available"]
+    assert rejected_files(spark, str(tmp_path / "other")).count() == 0
+
+
+def test_a_stream_restarted_with_another_encoder_mixes_nothing(spark, tmp_path):
+    source, path, checkpoint = (str(tmp_path / n) for n in ("in", "v", "c"))
+    df = long_corpus(spark, 80)
+    df.select(F.col("name").alias("name_en"), F.col("document_date").alias("document_date_en"),
+              F.col("url").alias("url_en"), F.col("text").alias("unofficial_text_en")
+              ).coalesce(1).write.parquet(source)
+    options = {"threshold": 1, "chunk_size": 8}
+    with pytest.raises(Exception, match="broken off"):
+        index_stream(spark, source, path, stops(models.hashed_terms(4), "word " * 80), checkpoint,
+                     **options).awaitTermination()
+    index_stream(spark, source, path, models.hashed_terms(6), checkpoint,
+                 **options).awaitTermination()
+    assert {len(r["embedding"]) for r in read_vectors(spark, path).collect()} == {6}
+    assert len(urls(spark, path)) == 80
 
 
 def test_cut_texts_are_reported(spark, tmp_path):
