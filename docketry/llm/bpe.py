@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 
 from .common import map_texts, worker_table
 
-# Pre-tokens and pairs a worker keeps; a full table keeps what the current texts use.
-KEPT, PAIRS_KEPT = 60_000, 170_000
+# Pre-tokens of a generation, and pairs, that a worker keeps.
+KEPT, PAIRS_KEPT = 150_000, 500_000
 _NONE = 1 << 40
 
 
@@ -186,12 +186,36 @@ class PrefixState:
         return self.encoder.path(self.last)
 
 
-def encoder_for(path: str) -> tuple[PrefixEncoder, dict[str, tuple[int, str, bytes]]]:
+class EncodedWords:
+    """Pre-tokens that a worker has encoded: count, ids as text, bytes decoded from them.
+
+    Two generations of about ``KEPT`` words: when the young one is full it becomes the
+    old one, and what was old and is not met again is let go.
+    """
+
+    def __init__(self):
+        self.young: dict[str, tuple[int, str, bytes]] = {}
+        self.old: dict[str, tuple[int, str, bytes]] = {}
+
+    def at_hand(self, used: set[str], encoder: PrefixEncoder) -> dict[str, tuple[int, str, bytes]]:
+        """A table that has all of ``used``."""
+        if len(self.young) >= KEPT:
+            self.young, self.old = {}, self.young
+        young, old = self.young, self.old
+        missing = used.difference(young)
+        for word in missing.intersection(old):
+            young[word] = old[word]
+        for word, ids in encoder.encode_all(list(missing.difference(old))).items():
+            young[word] = (len(ids), ",".join(map(str, ids)), encoder.decode(ids))
+        return young
+
+
+def encoder_for(path: str) -> tuple[PrefixEncoder, EncodedWords]:
     """The encoder and its table of encoded pre-tokens; a worker keeps both between tasks."""
     kept = worker_table("bpe")
     if path not in kept:
         kept.clear()
-        kept[path] = PrefixEncoder(load_ranks(path)), {}
+        kept[path] = PrefixEncoder(load_ranks(path)), EncodedWords()
     return kept[path]
 
 
@@ -207,17 +231,13 @@ def encode_texts(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "
         import regex
 
         split = regex.compile(pattern).findall
-        encoder, kept = encoder_for(vocabulary)
+        encoder, tables = encoder_for(vocabulary)
 
         def run(keys, texts):
             out: list[list] = [[k[0] for k in keys], [], [], []] + ([[]] if with_ids else [])
             pieces = [split(text or "") for text in texts]
             used = set().union(*pieces)
-            if len(kept) + len(used) > KEPT:
-                for word in kept.keys() - used:
-                    del kept[word]
-            for word, ids in encoder.encode_all(list(used.difference(kept))).items():
-                kept[word] = (len(ids), ",".join(map(str, ids)), encoder.decode(ids))
+            kept = tables.at_hand(used, encoder)
             for found in pieces:
                 n, shown, data = 0, [], []
                 for count, text, decoded in map(kept.__getitem__, found):

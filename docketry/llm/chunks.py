@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.sizes import broadcast_within
-from .common import bounded_batches, map_texts, worker_table, written
+from .common import bounded_batches, few_files, map_texts, own_name, worker_table, written
 
 REACH = 32               # bytes that a 32-bit gear hash depends on
 WINDOW, MIN_BYTES = 64, 96
@@ -173,7 +173,7 @@ def chunk_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                    window: int = WINDOW, min_bytes: int = MIN_BYTES) -> DataFrame:
     """(id, begin, end, source): byte spans to cut, and the id that keeps most of each."""
-    chunks = written(chunk_table(docs, id_col, text_col, window), "chunks")
+    chunks = written(few_files(chunk_table(docs, id_col, text_col, window)), "chunks")
     own = chunks.filter("seen is null")
     # Both parts have fixed width, so equal digests combine in hash tables before the shuffle.
     first = own.groupBy("digest").agg(
@@ -199,9 +199,9 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         F.min("begin").alias("begin"), F.max("end").alias("end"),
         F.max(F.col("end") - F.col("begin")).alias("aligned"),
         F.max_by("source", F.col("end") - F.col("begin")).alias("source"))
-    return runs.filter((F.col("end") - F.col("begin") >= min_bytes)
-                       & (F.col("aligned") * 2 >= min_bytes)).select(
-        F.col("id").alias(id_col), "begin", "end", "source")
+    return few_files(runs.filter((F.col("end") - F.col("begin") >= min_bytes)
+                                 & (F.col("aligned") * 2 >= min_bytes)).select(
+        F.col("id").alias(id_col), "begin", "end", "source"))
 
 
 def without(text: str | None, spans) -> str | None:
@@ -224,9 +224,10 @@ def without(text: str | None, spans) -> str | None:
 
 def cut(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id",
         text_col: str = "text") -> DataFrame:
-    """``docs`` with the spans removed from their texts, all columns kept."""
-    per_doc = written(spans.groupBy(F.col(id_col).alias("_id")).agg(
-        F.collect_list(F.struct("begin", "end")).alias("_spans")), "spans")
+    """``docs`` with the spans removed from their texts, all columns kept, whatever their names."""
+    key, found = own_name(docs, "_id"), own_name(docs, "_spans")
+    per_doc = written(few_files(spans.groupBy(F.col(id_col).alias(key)).agg(
+        F.collect_list(F.struct("begin", "end")).alias(found))), "spans")
 
     bounded_batches(docs.sparkSession)
 
@@ -238,13 +239,13 @@ def cut(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id",
         return pd.Series([without(t, s) for t, s in zip(texts, spans)], dtype=object)
 
     # Only texts with spans go through Python; the others pass beside them.
-    small = broadcast_within(per_doc.withColumn("_size", F.size("_spans")), at_most=_bytes(per_doc))
-    joined = docs.join(small, docs[id_col] == F.col("_id"), "left")
-    touched = joined.filter(F.col("_id").isNotNull()).withColumn(
-        text_col, shorten(F.col(text_col), F.col("_spans")))
-    untouched = joined.filter(F.col("_id").isNull())
+    small = broadcast_within(per_doc, at_most=_bytes(per_doc, found))
+    joined = docs.join(small, docs[id_col] == small[key], "left")
+    touched = joined.filter(F.col(key).isNotNull()).withColumn(
+        text_col, shorten(F.col(text_col), F.col(found)))
+    untouched = joined.filter(F.col(key).isNull())
     return untouched.select(*docs.columns).unionByName(touched.select(*docs.columns))
 
 
-def _bytes(per_doc: DataFrame) -> int:
-    return per_doc.agg(F.coalesce(F.sum(32 + 24 * F.size("_spans")), F.lit(0))).first()[0]
+def _bytes(per_doc: DataFrame, spans: str) -> int:
+    return per_doc.agg(F.coalesce(F.sum(32 + 24 * F.size(spans)), F.lit(0))).first()[0]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -23,13 +24,38 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+# A writer holds a row group of each open file in memory.
+ROW_GROUP_BYTES = 16 << 20
+# Tasks for each core that still keep all cores busy to the end.
+TASKS_PER_CORE = 4
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lost executors cost no rework."""
     path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("parquet.block.size", ROW_GROUP_BYTES).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def few_files(df: DataFrame) -> DataFrame:
+    """``df`` in at most ``TASKS_PER_CORE`` tasks a core, without a shuffle.
+
+    For narrow tables that arrive in many small pieces. A task works through its pieces one by
+    one, so its memory stays; the number grows with the cluster.
+    """
+    return df.coalesce(TASKS_PER_CORE * df.sparkSession.sparkContext.defaultParallelism)
+
+
+def own_name(df: DataFrame, name: str) -> str:
+    """``name``, or the first of name_1, name_2, ... that is no column of ``df`` in any case."""
+    taken = {c.lower() for c in df.columns}
+    found, n = name, 0
+    while found.lower() in taken:
+        n += 1
+        found = f"{name}_{n}"
+    return found
+
+
 def digest_of(text: str) -> Column:
     """MD5 of a text column; what tells rows of one id apart. Null is like the empty text."""
     return F.unhex(F.md5(F.coalesce(F.col(text), F.lit(""))))
@@ -56,12 +82,20 @@ def bounded_batches(spark: SparkSession) -> None:
 _kept: dict[str, dict] = {}
 
 
+def give_back() -> None:
+    """Return memory that this worker no longer uses, where the C library can."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def worker_table(owner: str | None) -> dict:
     """A table that a Python worker keeps between tasks of one operator.
 
-    Tables of other operators and memory that Arrow holds unused are let go.
+    Tables of other operators and unused memory are let go.
     """
-    pa.default_memory_pool().release_unused()
+    give_back()
     if owner not in _kept:
         _kept.clear()
     return _kept.setdefault(owner, {}) if owner else {}
@@ -99,6 +133,7 @@ def map_texts(df: DataFrame, columns: list[Column], schema: str,
                      for values, field in zip(made, out)], schema=out)
             del batch, texts
             pa.default_memory_pool().release_unused()
+        give_back()
 
     return narrow.mapInArrow(run, schema)
 

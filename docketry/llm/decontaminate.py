@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.sizes import broadcast_within
-from .common import digest_of, map_texts, written
+from .common import digest_of, map_texts, own_name, written
 
 ERROR_RATE = 0.08
 BLOCK_BYTES = 16 * 1024 * 1024
@@ -175,9 +175,10 @@ def without_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id",
 
     Rows with a null id cannot be named and stay.
     """
-    rows = docs.withColumn("_digest", digest_of(text_col))
-    gone = written(leaks(rows.filter(F.col(id_col).isNotNull()), items, "_digest", text_col,
-                         error_rate=error_rate).select(F.col("_digest").alias("_gone")).distinct(),
-                   "leaks")
-    return rows.join(broadcast_within(gone), F.col(id_col).isNotNull()
-                     & (F.col("_digest") == F.col("_gone")), "left_anti").select(*docs.columns)
+    digest, gone = own_name(docs, "_digest"), own_name(docs, "_gone")
+    rows = docs.withColumn(digest, digest_of(text_col))
+    found = written(leaks(rows.filter(F.col(id_col).isNotNull()), items, digest, text_col,
+                          error_rate=error_rate).select(F.col(digest).alias(gone)).distinct(),
+                    "leaks")
+    return rows.join(broadcast_within(found), F.col(id_col).isNotNull()
+                     & (F.col(digest) == F.col(gone)), "left_anti").select(*docs.columns)

@@ -141,7 +141,8 @@ def fit(docs: DataFrame, lang_col: str = "lang", text_col: str = "text",
             .select("lang", "gram", (F.col("n") / F.col("total")).alias("share")).toPandas())
     top = rows.groupby("gram")["share"].transform("max")
     rows = rows[rows["share"] * ratio >= top]
-    size = max(1024, CELLS_PER_GRAM * rows["gram"].nunique())
+    # A language's bits are a filter of their own: the largest language sets the size.
+    size = max(1024, CELLS_PER_GRAM * int(rows.groupby("lang").size().max()))
     cells = np.zeros((size, -(-len(languages) // 8)), np.uint8)
     chance = np.zeros(len(languages))
     for i, lang in enumerate(languages):

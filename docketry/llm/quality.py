@@ -169,8 +169,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
               .withColumn("_h", F.xxhash64("_id")).orderBy("_h")
               .limit(min(sample_docs, sample_lines)))
     # One text per id; rows of an id combine before the shuffle.
-    chosen = docs.join(F.broadcast(picked), docs[id_col] == F.col("_id")).groupBy("_h", "_y").agg(
-        F.min_by(F.col(text_col), F.xxhash64(text_col)).alias("_text"))
+    chosen = (docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
+              .join(F.broadcast(picked), "_id").groupBy("_h", "_y").agg(
+        F.min_by("_text", F.xxhash64("_text")).alias("_text")))
 
     def make():
         def run(keys, texts):

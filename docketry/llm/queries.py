@@ -172,19 +172,20 @@ ORACLES = {
     "op13_clusters": clusters_sql(),
     "op2_topk": """
         with v as (
-            select vec_id, list_transform(embedding, lambda x: floor(256.0 * x::double)) as v
+            select row_number() over () as r, vec_id,
+                   list_transform(embedding, lambda x: floor(256.0 * x::double)) as v
             from embeddings
             where vec_id is not null and embedding is not null
               and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
         s as (
-            select q.vec_id as query_id, c.vec_id,
+            select q.r as q, q.vec_id as query_id, c.vec_id,
                    cast(list_dot_product(q.v, c.v) as bigint) as score
-            from v q join v c on c.vec_id <> q.vec_id
+            from v q join v c on c.r <> q.r and len(c.v) = len(q.v)
             where q.vec_id % 50 = 0)
-        select query_id, cast(r as integer) as rank, vec_id, score
-        from (select *, row_number() over (partition by query_id order by score desc, vec_id) as r
+        select distinct query_id, cast(n as integer) as rank, vec_id, score
+        from (select *, row_number() over (partition by q order by score desc, vec_id) as n
               from s)
-        where r <= 5""",
+        where n <= 5""",
     "op10_warc": """
         with p as (
             select page_id, coalesce(html, '') as html from pages),

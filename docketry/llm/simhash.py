@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.sizes import broadcast_within
-from .common import digest_of, map_texts, written
+from .common import digest_of, own_name, map_texts, written
 from .components import connected
 
 LOWER = bytes(range(65, 91)), bytes(range(97, 123))
@@ -261,22 +261,25 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     each by its own text; of a component's rows the one with the least (id, digest of
     the text) stays, and of rows with equal ids and texts the first by other columns.
     """
-    rows = docs.withColumn("_digest", digest_of(text_col))
-    row = F.struct(F.col(id_col).alias("id"), F.col("_digest").alias("digest"))
-    found = near_duplicates(rows.filter(F.col(id_col).isNotNull()).select(
-        row.alias("row"), F.col(text_col)), "row", text_col, shingle, radius)
-    gone = written(found.filter("row <> component_id").select(
-        F.col("row.id").alias("_gone"), F.col("row.digest").alias("_text")).distinct(), "gone")
-    kept = rows.join(broadcast_within(gone), (rows[id_col] == F.col("_gone"))
-                     & (rows["_digest"] == F.col("_text")), "left_anti")
-    again = (rows.filter(F.col(id_col).isNotNull()).groupBy(id_col, "_digest").count()
-             .filter("count > 1").select(F.col(id_col).alias("_again"), F.col("_digest").alias("_text")))
-    again = written(again, "again")
-    if again.isEmpty():
+    digest, gone, text, again, number = (own_name(docs, n) for n in (
+        "_digest", "_gone", "_text", "_again", "_row"))
+    rows = docs.withColumn(digest, digest_of(text_col))
+    row = F.struct(F.col(id_col).alias("id"), F.col(digest).alias("digest"))
+    named = rows.filter(F.col(id_col).isNotNull()).select(
+        row.alias("row"), F.col(text_col).alias("body"))
+    found = near_duplicates(named, "row", "body", shingle, radius)
+    out = written(found.filter("row <> component_id").select(
+        F.col("row.id").alias(gone), F.col("row.digest").alias(text)).distinct(), "gone")
+    kept = rows.join(broadcast_within(out), (rows[id_col] == F.col(gone))
+                     & (rows[digest] == F.col(text)), "left_anti")
+    several = (rows.filter(F.col(id_col).isNotNull()).groupBy(id_col, digest).count()
+               .filter("count > 1").select(F.col(id_col).alias(again), F.col(digest).alias(text)))
+    several = written(several, "again")
+    if several.isEmpty():
         return kept.select(*docs.columns)
-    same = (kept[id_col] == F.col("_again")) & (kept["_digest"] == F.col("_text"))
-    once = kept.join(again, same, "left_semi").withColumn("_row", F.row_number().over(
-        Window.partitionBy(id_col, "_digest").orderBy(
-            text_col, F.xxhash64(*docs.columns)))).filter("_row = 1")
-    return kept.join(again, same, "left_anti").select(*docs.columns).unionByName(
+    same = (kept[id_col] == F.col(again)) & (kept[digest] == F.col(text))
+    once = kept.join(several, same, "left_semi").withColumn(number, F.row_number().over(
+        Window.partitionBy(id_col, digest).orderBy(
+            text_col, F.xxhash64(*docs.columns)))).filter(F.col(number) == 1)
+    return kept.join(several, same, "left_anti").select(*docs.columns).unionByName(
         once.select(*docs.columns))

@@ -15,9 +15,10 @@ slice bounds what the next one emits to about 16 k rows a query, in sum a
 multiple of the logarithm of the table.
 
 Vectors that are null, hold null or non-finite components, or have no id take no
-part. Vectors of another length than a query are no candidates of it. A query
-row that is repeated in full counts once; repeated vectors are each a candidate
-and tie by id. Other columns are ignored.
+part. Vectors of another length than a query are no candidates of it. A query row
+that is repeated counts once, with the rows that repeat it as candidates but for one; a row
+with the query's id and other numbers is a candidate like any other. Repeated
+vectors are each a candidate and tie by id. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -91,7 +92,7 @@ def candidates(queries: Queries, ids: np.ndarray, x: np.ndarray, floor: np.ndarr
         for at in range(0, len(qi), 1 << 18):
             a, b = qi[at:at + (1 << 18)] + lo, xi[at:at + (1 << 18)]
             fine = np.einsum("ij,ij->i", queries.features[1][a], features[1][b])
-            near = (fine + slack >= floor[a]) & (queries.ids[a] != ids[b])
+            near = fine + slack >= floor[a]
             a, b = a[near], b[near]
             score = exact_scores(queries.vectors[a], x[b])
             real = score >= floor[a]
@@ -128,8 +129,14 @@ class Search:
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id",
           vector_col: str = "embedding", scale: int = 256, block: int = BLOCK,
           first_slice: int = FIRST_SLICE) -> DataFrame:
-    """(query_id, rank, id, score): the k best of all vectors but the query's own id."""
+    """(query_id, rank, id, score): the k best of all vectors but the query's own row.
+
+    ``queries`` are rows of ``vectors``. One candidate more than ``k`` is looked for, so that
+    the own row, which is known by its id and score, can be taken out last: rows of
+    one id and one score are alike in the result.
+    """
     spark = vectors.sparkSession
+    k += 1
     rows = quantised(vectors, id_col, vector_col, scale)
     wanted = quantised(queries, id_col, vector_col, scale).distinct()
     total, count = rows.count(), wanted.count()
@@ -159,13 +166,25 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec
                 floor[reached["number"].to_numpy()] = reached["score"].to_numpy()
             else:
                 found = here
-        names = spark.createDataFrame([(i, int(x)) for i, x in enumerate(got["id"])],
-                                      "number int, query_id long")
-        found = found.join(F.broadcast(names), "number")
+        own = [int(np.dot(np.array(v, np.int64), np.array(v, np.int64))) for v in got["v"]]
+        names = spark.createDataFrame(
+            [(i, int(x), s) for i, (x, s) in enumerate(zip(got["id"], own))],
+            "number int, query_id long, _own long")
+        found = _without_own(found.join(F.broadcast(names), "number"), k)
         result = found if result is None else result.unionByName(found)
     return result.select("query_id", "rank", F.col("id").alias(id_col), "score")
 
 
+def _without_own(found: DataFrame, most: int) -> DataFrame:
+    """The rows but one of the query's id and own score; without it among them, but the last."""
+    mine = (F.col("id") == F.col("query_id")) & (F.col("score") == F.col("_own"))
+    per_query = Window.partitionBy("number")
+    at = F.min(F.when(mine, F.col("rank"))).over(per_query)
+    gone = F.coalesce(at, F.lit(most))
+    return found.withColumn("_gone", gone).filter(F.col("rank") != F.col("_gone")).withColumn(
+        "rank", F.when(F.col("rank") > F.col("_gone"), F.col("rank") - 1).otherwise(F.col("rank")))
+
+
 def _scan(spark, rows: DataFrame, got, floor: np.ndarray, k: int) -> DataFrame:
     packed = []
     lengths = np.array([len(v) for v in got["v"]], int)

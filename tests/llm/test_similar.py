@@ -18,9 +18,11 @@ def plain_similarity(a, b):
     return len(sets[0] & sets[1]) / union if union else 1.0
 
 
-@pytest.mark.parametrize("few_pairs", [0, 50_000])
-def test_edited_copies_go(spark, few_pairs):
+@pytest.mark.parametrize("stars, block", [(0, 16), (1, 128), (2, 128), (4, 16)])
+def test_edited_copies_go(spark, stars, block, monkeypatch):
     """Copies with edits that SimHash within 3 bits does not find, against all pairs."""
+    monkeypatch.setattr(similar, "BLOCK", block)
+    monkeypatch.setattr(similar, "CELL", block)
     rng = random.Random(3)
     made = ["", " \n", None, "One two", "one  TWO", "one three"]
     for base in range(6):
@@ -41,7 +43,7 @@ def test_edited_copies_go(spark, few_pairs):
                 root = [min(a, b) if r in (a, b) else r for r in root]
     assert edited > 20
     df = spark.createDataFrame([(i, t) for i, t in enumerate(made)], "doc_id long, text string")
-    got = [r.doc_id for r in similar.keep_one(df, few_pairs=few_pairs).collect()]
+    got = [r.doc_id for r in similar.keep_one(df, stars=stars).collect()]
     assert sorted(got) == [i for i, r in enumerate(root) if i == r]
 
 
