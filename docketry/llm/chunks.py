@@ -173,7 +173,7 @@ def chunk_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                    window: int = WINDOW, min_bytes: int = MIN_BYTES) -> DataFrame:
     """(id, begin, end, source): byte spans to cut, and the id that keeps most of each."""
-    chunks = written(few_files(chunk_table(docs, id_col, text_col, window)), "chunks")
+    chunks = written(few_files(chunk_table(docs, id_col, text_col, window), docs), "chunks")
     own = chunks.filter("seen is null")
     # Both parts have fixed width, so equal digests combine in hash tables before the shuffle.
     first = own.groupBy("digest").agg(

@@ -26,8 +26,8 @@ def scratch(spark: SparkSession, name: str) -> str:
 
 # A writer holds a row group of each open file in memory.
 ROW_GROUP_BYTES = 16 << 20
-# Tasks for each core that still keep all cores busy to the end.
-TASKS_PER_CORE = 4
+# Tasks for each core that still keep all cores busy to the end, and bytes of input of a task.
+TASKS_PER_CORE, TASK_BYTES = 4, 64 << 20
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -37,13 +37,18 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def few_files(df: DataFrame) -> DataFrame:
+def few_files(df: DataFrame, source: DataFrame | None = None) -> DataFrame:
     """``df`` in at most ``TASKS_PER_CORE`` tasks a core, without a shuffle.
 
-    For narrow tables that arrive in many small pieces. A task works through its pieces one by
-    one, so its memory stays; the number grows with the cluster.
+    For tables that arrive in many small pieces. A task works through its pieces one by one, so
+    its memory stays. Work over whole texts names its ``source``: for more than ``TASK_BYTES``
+    of input a task the number grows with the input, so that no task gets longer.
     """
-    return df.coalesce(TASKS_PER_CORE * df.sparkSession.sparkContext.defaultParallelism)
+    tasks = TASKS_PER_CORE * df.sparkSession.sparkContext.defaultParallelism
+    if source is not None:
+        size = source._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+        tasks = max(tasks, min(int(str(size)) // TASK_BYTES + 1, (1 << 31) - 1))
+    return df.coalesce(tasks)
 
 
 def own_name(df: DataFrame, name: str) -> str:

@@ -259,3 +259,48 @@ def test_projection_saves_comparisons(spark):
     x = vectors(14, 8)[np.arange(400) % 8] + 0.01 * vectors(15, 400)
     got = simplex.cluster(table(spark, [*enumerate(x)]), k=8)
     assert got.agg(F.avg("compared")).first()[0] < 4
+
+
+# --- what operators share -----------------------------------------------------------
+
+def test_tasks_follow_the_input_once_they_are_long(spark, tmp_path, monkeypatch):
+    from docketry.llm import common
+
+    path = str(tmp_path / "t")
+    spark.range(20_000).select(F.sha2(F.col("id").cast("string"), 512).alias("t")).repartition(
+        40).write.parquet(path)
+    df = spark.read.option("maxPartitionBytes", "64k").parquet(path)
+    key = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "64k")
+    try:
+        most = common.TASKS_PER_CORE * spark.sparkContext.defaultParallelism
+        tasks = F.spark_partition_id().alias("p")
+        assert common.few_files(df).select(tasks).distinct().count() <= most
+        monkeypatch.setattr(common, "TASK_BYTES", 64 << 10)
+        assert common.few_files(df, df).select(tasks).distinct().count() > most
+    finally:
+        spark.conf.set(key, before)
+
+
+def test_own_names_avoid_every_case(spark):
+    from docketry.llm.common import own_name
+
+    df = spark.range(1).selectExpr("id as _ID", "id as `_id_1`")
+    assert own_name(df, "_id") == "_id_2" and own_name(df, "x") == "x"
+
+
+def test_topk_leaves_out_the_own_row_only(spark):
+    """Two different vectors of one id are candidates of each other."""
+    from docketry.llm import topk
+
+    df = spark.createDataFrame([(50, [1.0, 0.0]), (50, [0.5, 0.5]), (1, [0.25, 0.0]),
+                                (100, [0.0, 1.0]), (100, [0.0, 1.0])],
+                               "vec_id long, embedding array<double>")
+    got = sorted((r.query_id, r.rank, r.vec_id, r.score) for r in topk.top_k(
+        df, df.filter("vec_id % 50 = 0"), 2).collect())
+    one = 256 * 256
+    assert got == sorted([
+        (50, 1, 50, one // 2), (50, 2, 1, one // 4),          # of (1, 0)
+        (50, 1, 50, one // 2), (50, 2, 100, one // 2),        # of (0.5, 0.5)
+        (100, 1, 100, one), (100, 2, 50, one // 2)])
