@@ -89,6 +89,14 @@ RERANKER_INSTRUCTION = (
     "Given a legal query describing an appellant's situation, "
     "retrieve relevant Social Security Tribunal of Canada decisions"
 )
+# What the models expect around a text.
+EMBED_LAYOUT = ["Instruct: ", "\nQuery:"]
+RERANK_LAYOUT = ["<Instruct>: ", "\n<Query>: ", "\n<Document>: "]
+CARD_LAYOUT = [
+    "<|im_start|>system\n",
+    "<|im_end|>\n<|im_start|>user\nHere is the tribunal decision:\n\n",
+    "<|im_end|>\n<|im_start|>assistant\n",
+]
 CARD_PROMPT = (
     "You are a legal-aid assistant. Read the tribunal decision below and "
     "produce a plain-language summary a self-represented person can understand. "

@@ -104,7 +104,8 @@ def result_key(url: Column, name: Column, date: Column,
 
 
 def embed_prompt(query: Column) -> Column:
-    return F.concat(F.lit(f"Instruct: {fixed.EMBEDDING_INSTRUCTION}\nQuery:"), query)
+    before, after = fixed.EMBED_LAYOUT
+    return F.concat(F.lit(f"{before}{fixed.EMBEDDING_INSTRUCTION}{after}"), query)
 
 
 def rerank_query(query: Column) -> Column:
@@ -113,18 +114,13 @@ def rerank_query(query: Column) -> Column:
 
 def rerank_prompt(query: Column, document: Column) -> Column:
     """The text of one query and document pair for a pair scorer."""
+    before, asked, found = fixed.RERANK_LAYOUT
     return F.concat(
-        F.lit(f"<Instruct>: {fixed.RERANKER_INSTRUCTION}\n<Query>: "), query,
-        F.lit("\n<Document>: "), document,
-    )
+        F.lit(f"{before}{fixed.RERANKER_INSTRUCTION}{asked}"), query, F.lit(found), document)
 
 
 def card_prompt(text: Column, max_chars: int, grounded: bool = False) -> Column:
     """The chat prompt that asks for a summary card of a decision."""
     system = fixed.GROUNDED_CARD_PROMPT if grounded else fixed.CARD_PROMPT
-    return F.concat(
-        F.lit(f"<|im_start|>system\n{system}<|im_end|>\n<|im_start|>user\n"
-              "Here is the tribunal decision:\n\n"),
-        truncate_text(text, max_chars),
-        F.lit("<|im_end|>\n<|im_start|>assistant\n"),
-    )
+    start, user, end = fixed.CARD_LAYOUT
+    return F.concat(F.lit(f"{start}{system}{user}"), truncate_text(text, max_chars), F.lit(end))
