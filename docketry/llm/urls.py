@@ -3,11 +3,14 @@
 The rules are a short list; of those that fit, the longest decides (of equals
 that with the longer host). Urls with a rule are the labelled examples. For the
 others every host has a tree of path segments. Segments of digits, or with digits
-in them, are wildcards from the start. Level by level, a node with many children
+in them, are wildcards from the start. From the root down, a node with many children
 of few urls each has them generalised into ``*``, and children whose share of
 blocked labels is not significantly unlike that of their siblings are merged into
-``*`` as well. A template is rejected if its smoothed share of blocked labels
-reaches ``purity``; without labels a template is allowed.
+``*`` as well. A node's purity is its share of blocked labels, smoothed towards that
+of its parent; the host's is smoothed towards the share of all labels. A template that
+ends where others go on is a child of its node, and an only child is one with its parent.
+A template is rejected if its purity reaches ``purity``: one without labels is
+judged as its branch is, one of a host without labels is allowed.
 
 Work is on counts of (host, template), which combine before the shuffle, so a
 host with a third of all rows is one row per template. Null urls and urls without
@@ -19,7 +22,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from functools import reduce
-from itertools import count
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -64,63 +66,110 @@ def segments(path: Column) -> Column:
     return F.slice(parts, 2, F.lit(1 << 30))
 
 
+def common_start(lo: Column, hi: Column) -> Column:
+    """How many leading elements two arrays share; those of all arrays between them, too."""
+    alike = F.zip_with(lo, hi, lambda a, b: F.coalesce(a == b, F.lit(False)))
+    apart = F.array_position(alike, False)
+    return F.when(apart == 0, F.size(alike)).otherwise(apart - 1).cast("int")
+
+
+def smoothed(bad: Column, labels: Column, towards: Column) -> Column:
+    return (bad + F.lit(STRENGTH) * towards) / (labels + F.lit(STRENGTH))
+
+
 def grow(shapes: DataFrame) -> DataFrame:
-    """``tree``: the generalised template of every (host, template) row with counts.
+    """Every (host, template) row with its generalised template ``tree``, and of that node
+    ``purity`` (null for a host without labels) and ``node_rows``, the rows in it and below it.
 
-    Levels grow until no template has a further segment. A row that is alone in its
-    node stays so, and takes its other segments at once, so that rounds follow the
-    longest part that templates share, not the longest path.
+    A round takes the next segment and all that follow it in every template of the
+    child. A row that is alone in its node takes the rest of its segments. So rounds follow
+    the number of branches on a path, not its length.
     """
-    current = shapes.withColumn("tree", F.array().cast("array<string>"))
+    hosts = shapes.groupBy("host").agg(
+        F.count(F.lit(1)).alias("node_rows"), F.sum("bad").alias("b"),
+        F.sum(F.col("good") + F.col("bad")).alias("l"))
+    share = F.lit(_share_of_all(shapes))
+    current = shapes.join(hosts.select("host", "node_rows", F.when(
+        F.col("l") > 0, smoothed(F.col("b"), F.col("l"), share)).alias("purity")), "host").select(
+        "host", "template", "n", "good", "bad", "node_rows", "purity", F.lit(0).alias("at"),
+        F.array().cast("array<string>").alias("tree"))
     ended = []
-    for level in count():
-        ended.append(current.filter(F.size("template") <= level))
-        here = current.filter(F.size("template") > level).withColumn(
-            "seg", F.get("template", F.lit(level)))
+    while True:
+        ended.append(current.filter(F.size("template") <= F.col("at")))
+        here = current.filter(F.size("template") > F.col("at")).withColumn(
+            "seg", F.get("template", F.col("at")))
         if here.isEmpty():
-            return written(reduce(DataFrame.unionByName, ended), "tree")
-        children = here.groupBy("host", "tree", "seg").agg(
-            F.count(F.lit(1)).alias("rows"),
-            F.sum("n").alias("n"), F.sum("good").alias("good"), F.sum("bad").alias("bad"))
-        nodes = children.groupBy("host", "tree").agg(
-            F.sum("rows").alias("all_rows"),
-            F.count(F.lit(1)).alias("kinds"), F.sum("n").alias("all_n"),
-            F.sum("good").alias("all_good"), F.sum("bad").alias("all_bad"))
-        both = children.join(nodes, ["host", "tree"])
-        labels, others = F.col("good") + F.col("bad"), F.col("all_good") + F.col("all_bad")
-        rest = others - labels
-        pooled = F.col("all_bad") / others
-        apart = F.abs(F.col("bad") / labels - (F.col("all_bad") - F.col("bad")) / rest) / F.sqrt(
-            pooled * (1 - pooled) * (1 / labels + 1 / rest))
-        distinct = (labels > 0) & (rest > 0) & (pooled > 0) & (pooled < 1) & (apart >= Z)
-        variable = (F.col("kinds") > MANY) & (F.col("kinds") * FEW_URLS > F.col("all_n"))
-        # An only child has nothing to be merged with.
-        single = F.col("kinds") == 1
-        plain = F.coalesce((distinct | single) & ~variable, F.lit(False))
-        kept = both.filter(plain).select("host", "tree", "seg", F.lit(True).alias("plain"),
-                                         (F.col("all_rows") == 1).alias("alone"))
-        grown = written(here.join(kept, ["host", "tree", "seg"], "left").select(
-            "host", "template", "n", "good", "bad",
-            F.coalesce("alone", F.lit(False)).alias("alone"),
-            F.when(F.col("alone"), F.concat("tree", F.slice(
-                "template", F.lit(level + 1), F.size("template"))))
-            .otherwise(F.concat("tree", F.array(
-                F.when(F.col("plain"), F.col("seg")).otherwise("*")))).alias("tree")), "tree")
-        ended.append(grown.filter("alone").drop("alone"))
-        current = grown.filter("not alone").drop("alone")
+            return written(reduce(DataFrame.unionByName, ended).drop("at"), "tree")
+        to = F.when(F.col("node_rows") == 1, F.size("template")).otherwise(
+            F.col("at") + 1 + F.col("shared"))
+        grown = here.drop("node_rows", "purity").join(_children(here), ["host", "tree", "seg"])
+        grown = written(grown.select(
+            "host", "template", "n", "good", "bad", "node_rows", "purity", to.alias("at"),
+            F.concat("tree", F.array("name"), F.slice(
+                "template", F.col("at") + 2, to - F.col("at") - 1)).alias("tree")), "tree")
+        ended.append(grown.filter("node_rows = 1"))
+        current = grown.filter("node_rows > 1")
+
+
+def _children(here: DataFrame) -> DataFrame:
+    """(host, tree, seg) of a round's rows with the child's ``name``, its rows and purity, and
+    how many segments all its templates ``shared`` after this one."""
+    rest = F.slice("template", F.col("at") + 2, F.size("template"))
+    children = here.groupBy("host", "tree", "seg").agg(
+        F.count(F.lit(1)).alias("rows"), F.sum("n").alias("n"), F.sum("good").alias("good"),
+        F.sum("bad").alias("bad"), F.first("purity").alias("above"),
+        F.first("node_rows").alias("above_rows"), F.min(rest).alias("lo"), F.max(rest).alias("hi"))
+    nodes = children.groupBy("host", "tree").agg(
+        F.count(F.lit(1)).alias("kinds"), F.sum("n").alias("all_n"),
+        F.sum("good").alias("all_good"), F.sum("bad").alias("all_bad"))
+    labels, others = F.col("good") + F.col("bad"), F.col("all_good") + F.col("all_bad")
+    rest_labels = others - labels
+    pooled = F.try_divide("all_bad", others)
+    unlike = F.abs(F.try_divide("bad", labels) - F.try_divide(
+        F.col("all_bad") - F.col("bad"), rest_labels))
+    spread = F.sqrt(pooled * (1 - pooled) * (F.try_divide(F.lit(1), labels)
+                                             + F.try_divide(F.lit(1), rest_labels)))
+    # Null where a side has no labels, and without a spread.
+    distinct = F.try_divide(unlike, spread) >= Z
+    variable = (F.col("kinds") > MANY) & (F.col("kinds") * FEW_URLS > F.col("all_n"))
+    # An only child has nothing to be merged with.
+    single = F.col("kinds") == 1
+    plain = F.coalesce((distinct | single) & ~variable, F.lit(False))
+    named = children.join(nodes, ["host", "tree"]).withColumn(
+        "name", F.when(plain, F.col("seg")).otherwise("*"))
+    sums = named.groupBy("host", "tree", "name").agg(
+        F.sum("rows").alias("node_rows"), F.sum("bad").alias("b"),
+        F.sum(F.col("good") + F.col("bad")).alias("l"), F.first("above").alias("above"),
+        F.first("above_rows").alias("above_rows"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    sums = sums.select(
+        "host", "tree", "name", "node_rows", common_start(F.col("lo"), F.col("hi")).alias("shared"),
+        F.when(F.col("node_rows") == F.col("above_rows"), F.col("above")).otherwise(
+            smoothed(F.col("b"), F.col("l"), F.col("above"))).alias("purity"))
+    return named.select("host", "tree", "seg", "name").join(sums, ["host", "tree", "name"])
+
+
+def _share_of_all(shapes: DataFrame) -> float:
+    """The share of blocked labels among all."""
+    b, l = shapes.agg(F.sum("bad"), F.sum(F.col("good") + F.col("bad"))).first()
+    return b / l if l else 0.0
+
+
+def template_purity(shapes: DataFrame) -> DataFrame:
+    """(host, template, tree, purity) of every row; null purity for hosts without labels."""
+    tree = grow(shapes)
+    ends = tree.groupBy("host", "tree").agg(
+        F.count(F.lit(1)).alias("rows"), F.sum("bad").alias("b"),
+        F.sum(F.col("good") + F.col("bad")).alias("l"), F.first("purity").alias("node"),
+        F.first("node_rows").alias("node_rows"))
+    ends = ends.select("host", "tree", F.when(
+        F.col("rows") == F.col("node_rows"), F.col("node")).otherwise(
+        smoothed(F.col("b"), F.col("l"), F.col("node"))).alias("purity"))
+    return tree.select("host", "template", "tree").join(ends, ["host", "tree"])
 
 
 def rejected_templates(shapes: DataFrame, purity: float = PURITY) -> DataFrame:
     """(host, template) rows whose generalised template is bad by its smoothed purity."""
-    tree = grow(shapes)
-    prior = shapes.agg(F.sum("bad").alias("b"), F.sum(F.col("good") + F.col("bad")).alias("l")).first()
-    share = prior["b"] / prior["l"] if prior["l"] else 0.0
-    verdicts = tree.groupBy("host", "tree").agg(F.sum("bad").alias("b"),
-                                                F.sum(F.col("good") + F.col("bad")).alias("l"))
-    bad = verdicts.filter((F.col("l") > 0) & (
-        (F.col("b") + F.lit(STRENGTH * share)) / (F.col("l") + F.lit(STRENGTH)) >= purity))
-    return tree.join(bad.select("host", "tree"), ["host", "tree"], "left_semi").select(
-        "host", "template")
+    return template_purity(shapes).filter(F.col("purity") >= purity).select("host", "template")
 
 
 def judge(pages: DataFrame, rules: Sequence[Rule], id_col: str = "page_id",
