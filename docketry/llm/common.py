@@ -51,6 +51,25 @@ def few_files(df: DataFrame, source: DataFrame | None = None) -> DataFrame:
     return df.coalesce(tasks)
 
 
+# A key with more than one in this many rows is joined apart.
+HOT_SHARE = 1024
+
+
+def join_spread(rows: DataFrame, keyed: DataFrame, key: str, count: str,
+                how: str = "inner") -> DataFrame:
+    """Join ``rows`` with ``keyed``, one row per ``key`` and the ``count`` of ``rows`` with it.
+
+    Keys with more than one in ``HOT_SHARE`` of these rows, at most that many, are sent to the
+    tasks that read their rows; only the others are shuffled. Both tables are read twice, so
+    they have to be written ones. ``how`` is inner or left.
+    """
+    total = keyed.agg(F.sum(count)).first()[0] or 0
+    is_hot = F.col(count) > total // HOT_SHARE
+    hot, rare = keyed.filter(is_hot).drop(count), keyed.filter(~is_hot).drop(count)
+    others = rows.join(F.broadcast(hot.select(key)), key, "left_anti")
+    return rows.join(F.broadcast(hot), key).unionByName(others.join(rare, key, how))
+
+
 def own_name(df: DataFrame, name: str) -> str:
     """``name``, or the first of name_1, name_2, ... that is no column of ``df`` in any case."""
     taken = {c.lower() for c in df.columns}

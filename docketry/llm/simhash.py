@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.sizes import broadcast_within
-from .common import digest_of, own_name, map_texts, written
+from .common import digest_of, join_spread, map_texts, own_name, written
 from .components import connected
 
 LOWER = bytes(range(65, 91)), bytes(range(97, 123))
@@ -238,17 +238,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                     shingle: int = 3, radius: int = 3) -> DataFrame:
     """(id, fingerprint hex, component_id), one row per document."""
     prints = written(fingerprints(docs, id_col, text_col, shingle), "simhash")
-    distinct = written(prints.groupBy("fp").agg(F.min(id_col).alias("least")), "distinct")
+    distinct = written(prints.groupBy("fp").agg(
+        F.min(id_col).alias("least"), F.count(F.lit(1)).alias("rows")), "distinct")
     links = written(link_fingerprints(distinct, radius), "links")
-    least = distinct.select("fp", "least")
+    least = distinct
     roots = connected(links)
     if roots is not None:
-        named = distinct.join(roots, distinct["fp"] == roots["node"]).select("fp", "least", "root")
-        smallest = named.groupBy("root").agg(F.min("least").alias("smallest"))
-        moved = named.select("fp", "root").join(smallest, "root").select("fp", "smallest")
-        least = distinct.join(moved, "fp", "left").select(
-            "fp", F.coalesce("smallest", "least").alias("least"))
-    return prints.join(least, "fp").select(
+        named = written(distinct.join(roots, distinct["fp"] == roots["node"]).select(
+            "fp", "least", "root"), "rooted")
+        smallest = written(named.groupBy("root").agg(
+            F.min("least").alias("smallest"), F.count(F.lit(1)).alias("prints")), "smallest")
+        moved = join_spread(named.select("fp", "root"), smallest, "root", "prints")
+        least = written(distinct.join(moved.select("fp", "smallest"), "fp", "left").select(
+            "fp", F.coalesce("smallest", "least").alias("least"), "rows"), "least")
+    # A fingerprint may be that of a third of all rows.
+    return join_spread(prints, least, "fp", "rows").select(
         id_col, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"),
         F.col("least").alias("component_id"))
 

@@ -33,7 +33,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import _parse_datatype_string
 
 from ..operators.sizes import broadcast_within
-from .common import bounded_batches, worker_table, written
+from .common import bounded_batches, join_spread, worker_table, written
 
 MIN_BYTES = 1000
 END, START = "\r\n\r\n", "WARC/1."
@@ -229,14 +229,24 @@ def assemble(records: DataFrame) -> DataFrame:
 
 
 def captures(spark: SparkSession, path: str) -> DataFrame:
-    """(page_id, payload_bytes, payload_digest, record_type, refers_to) of every capture read."""
+    """(page_id, payload_bytes, payload_digest, record_type, refers_to) of every capture read.
+
+    Responses pass as they are; only revisits are joined with what they refer to, and a
+    payload that very many revisit does not put these into one task.
+    """
     rows = written(assemble(read_records(spark, path)).select(
         "capture_id", "metadata.page_id", "response.payload_bytes",
         F.col("response.digest").alias("payload_digest"),
         F.col("response.type").alias("record_type"), F.col("response.refers_to").alias("_to")),
         "captures")
-    again = rows.filter("record_type = 'revisit'").select(F.col("_to").alias("_id")).distinct()
-    target = rows.join(again, F.col("capture_id") == F.col("_id"), "left_semi").select(
-        F.col("capture_id").alias("_id"), F.col("page_id").alias("refers_to"))
-    return rows.join(target, F.col("_to") == F.col("_id"), "left").select(
-        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    shown = ("page_id", "payload_bytes", "payload_digest", "record_type")
+    # Captures without a response have no type.
+    refers = F.coalesce((F.col("record_type") == "revisit") & F.col("_to").isNotNull(), F.lit(False))
+    again = rows.filter(refers).select(*shown, "_to")
+    wanted = again.groupBy("_to").agg(F.count(F.lit(1)).alias("_n"))
+    target = written(rows.join(wanted.withColumnRenamed("_to", "_id"), F.col("capture_id") == F.col("_id"))
+                     .select(F.col("_id").alias("_to"), F.col("page_id").alias("refers_to"), "_n"),
+                     "targets")
+    found = join_spread(again, target, "_to", "_n", "left")
+    return rows.filter(~refers).select(*shown, F.lit(None).cast("long").alias("refers_to")) \
+        .unionByName(found.select(*shown, "refers_to"))
