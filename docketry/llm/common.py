@@ -5,6 +5,8 @@ from __future__ import annotations
 import ctypes
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import _parse_datatype_string
 
-from ..session import checkpoint_dir
+from ..session import checkpoint_dir, delete_folder
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,9 +32,35 @@ ROW_GROUP_BYTES = 16 << 20
 TASKS_PER_CORE, TASK_BYTES = 4, 64 << 20
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lost executors cost no rework."""
+# The folders that each open ``passing`` block has to delete, innermost last.
+_passing: ContextVar[tuple[list[str], ...]] = ContextVar("passing", default=())
+
+
+@contextmanager
+def passing(spark: SparkSession) -> Iterator[None]:
+    """Delete on leaving what ``written`` wrote inside, but for tables that are ``kept``.
+
+    For blocks whose result is written, and kept, before they end.
+    """
+    mine: list[str] = []
+    token = _passing.set((*_passing.get(), mine))
+    try:
+        yield
+    finally:
+        _passing.reset(token)
+        for path in mine:
+            delete_folder(spark, path)
+
+
+def written(df: DataFrame, name: str, kept: bool = False) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: lost executors cost no rework.
+
+    A ``kept`` table outlives the innermost ``passing`` block, but not the one around that.
+    """
     path = scratch(df.sparkSession, name)
+    blocks = _passing.get()
+    if len(blocks) > kept:
+        blocks[-1 - kept].append(path)
     df.write.option("parquet.block.size", ROW_GROUP_BYTES).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

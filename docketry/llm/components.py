@@ -5,13 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import few_files, join_spread, passing, written
 
 
 def _with_least(links: DataFrame) -> DataFrame:
-    """Rows (u, v, m) with m the least of u and its neighbours; partial minima combine first."""
-    least = links.groupBy("u").agg(F.min("v").alias("_v"))
-    return links.join(least.select("u", F.least("u", "_v").alias("m")), "u")
+    """Rows (u, v, m) with m the least of u and its neighbours; ``links`` is a written table.
+
+    Partial minima combine first, and the hub of a star is joined apart.
+    """
+    least = written(few_files(links.groupBy("u").agg(
+        F.min("v").alias("_v"), F.count(F.lit(1)).alias("_n"))), "least")
+    return join_spread(links, least.select("u", F.least("u", "_v").alias("m"), "_n"), "u", "_n")
 
 
 def connected(links: DataFrame) -> DataFrame | None:
@@ -19,7 +23,8 @@ def connected(links: DataFrame) -> DataFrame | None:
 
     Each round links the larger neighbours of every node to the least one, then
     the smaller ones, until every node hangs on its root. Rounds grow with the
-    logarithm of the longest chain; a stage is written to the shared folder.
+    logarithm of the longest chain; a stage is written to the shared folder, and what only
+    a round needs is deleted after it. A link with a null end is none; repeated ones count once.
     """
     edges = written(links.filter("a <> b").select(
         F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
@@ -33,10 +38,11 @@ def connected(links: DataFrame) -> DataFrame | None:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(
                 edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
         before = state
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _with_least(both).filter("v > u").select(
-            F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        small = _with_least(large)
-        small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(
-            small.select("u", F.col("m").alias("v")))
-        edges = written(small.filter("u <> v").distinct(), "edges")
+        with passing(edges.sparkSession):
+            both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+            large = written(few_files(_with_least(both).filter("v > u").select(
+                F.col("v").alias("u"), F.col("m").alias("v")).distinct()), "large")
+            small = _with_least(large)
+            small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(
+                small.select("u", F.col("m").alias("v")))
+            edges = written(few_files(small.filter("u <> v").distinct()), "edges", kept=True)

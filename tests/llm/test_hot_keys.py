@@ -1,12 +1,15 @@
 """Keys that a large part of the rows share."""
 
 import hashlib
+import os
 
 import pytest
 from pyspark.sql import functions as F
 
 from docketry.llm import common, simhash, warc
-from docketry.llm.common import join_spread, scratch, written
+from docketry.llm.common import join_spread, passing, scratch, written
+from docketry.llm.components import connected
+from docketry.session import checkpoint_dir
 
 
 @pytest.mark.parametrize("how", ["inner", "left"])
@@ -63,3 +66,45 @@ def test_one_payload_and_one_text_in_most_rows(spark, monkeypatch):
             found[j].fingerprint, 16)).count("1") <= 3]
         assert found[i].component_id <= min(alike)
         assert {found[j].component_id for j in alike} == {found[i].component_id}
+
+
+def tables(spark):
+    folder = checkpoint_dir(spark).removeprefix("file:")
+    return set(os.listdir(folder))
+
+
+@pytest.mark.parametrize("share", [1, 1024])
+def test_hubs_and_chains(spark, monkeypatch, share):
+    """A hub of most links, a chain, repeated links, links either way, and null ends."""
+    monkeypatch.setattr(common, "HOT_SHARE", share)
+    pairs = [(500, i) for i in range(501, 900)] + [(i + 1, i) for i in range(20, 60)]
+    pairs += [(3, 3), (7, 8), (8, 7), (7, 8), (None, 1), (2, None), (899, 41), (950, 951)]
+    group = {}
+    for a, b in (p for p in pairs if None not in p and p[0] != p[1]):
+        x, y = group.setdefault(a, a), group.setdefault(b, b)
+        group = {k: min(x, y) if g in (x, y) else g for k, g in group.items()}
+    before = tables(spark)
+    got = connected(spark.createDataFrame(pairs, "a long, b long")).collect()
+    assert len(got) == len(group) and {r.node: r.root for r in got} == group
+    # What a round alone needs is gone; each round's links stay for the table that was returned.
+    left = tables(spark) - before
+    assert left and all(name.startswith("edges-") for name in left)
+    assert connected(spark.createDataFrame([(5, 5), (None, 1)], "a long, b long")) is None
+
+
+def test_tables_inside_a_block_are_deleted(spark):
+    before = tables(spark)
+    with passing(spark):
+        first = written(spark.range(10), "first")
+        with passing(spark):
+            second = written(first.filter("id > 3"), "second")
+            third = written(second.filter("id > 5"), "third", kept=True)
+        assert {n.split("-")[0] for n in tables(spark) - before} == {"first", "third"}
+        last = written(third.filter("id > 7"), "last", kept=True)
+    assert {n.split("-")[0] for n in tables(spark) - before} == {"last"}
+    assert sorted(r.id for r in last.collect()) == [8, 9]
+    with pytest.raises(ZeroDivisionError):
+        with passing(spark):
+            written(spark.range(3), "broken")
+            raise ZeroDivisionError
+    assert {n.split("-")[0] for n in tables(spark) - before} == {"last"}
