@@ -22,6 +22,7 @@ every 4 kB. Other columns are ignored by ``repeated_spans`` and kept by ``cut``.
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -231,12 +232,10 @@ def cut(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id",
 
     bounded_batches(docs.sparkSession)
 
-    @F.pandas_udf("string")
-    def shorten(texts, spans):
-        import pandas as pd
-
+    @F.arrow_udf("string")
+    def shorten(texts: pa.Array, spans: pa.Array) -> pa.Array:
         worker_table(None)
-        return pd.Series([without(t, s) for t, s in zip(texts, spans)], dtype=object)
+        return pa.array(map(without, texts.to_pylist(), spans.to_pylist()), pa.string())
 
     # Only texts with spans go through Python; the others pass beside them.
     small = broadcast_within(per_doc, at_most=_bytes(per_doc, found))

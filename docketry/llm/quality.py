@@ -18,6 +18,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -247,12 +248,10 @@ def keep_good(docs: DataFrame, model: QualityModel, threshold: float = 0.3,
     shipped = docs.sparkSession.sparkContext.broadcast(model)
     bounded_batches(docs.sparkSession)
 
-    @F.pandas_udf("double")
-    def scores(texts):
-        import pandas as pd
-
+    @F.arrow_udf("double")
+    def scores(texts: pa.Array) -> pa.Array:
         worker_table(None)
-        values = texts.tolist()
+        values = texts.to_pylist()
         out: list[float] = []
         at = 0
         while at < len(values):
@@ -262,6 +261,6 @@ def keep_good(docs: DataFrame, model: QualityModel, threshold: float = 0.3,
                 to += 1
             out += shipped.value.scores(values[at:to])
             at = to
-        return pd.Series(out, dtype="float64")
+        return pa.array(out, pa.float64())
 
     return docs.filter(scores(F.col(text_col)) >= F.lit(threshold))

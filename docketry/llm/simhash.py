@@ -25,7 +25,7 @@ Equal rows give equal rows. Other columns are ignored.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -197,8 +197,6 @@ def link_fingerprints(distinct: DataFrame, radius: int, sample_rows: int = SAMPL
     shipped = spark.sparkContext.broadcast(trees)
 
     def deal(batches):
-        import pyarrow as pa
-
         for batch in batches:
             values = np.asarray(batch.column(0)).astype(np.int64)
             for side, low in enumerate(HALVES):
@@ -224,14 +222,14 @@ def link_fingerprints(distinct: DataFrame, radius: int, sample_rows: int = SAMPL
         cell = (F.least("_b", "_o").cast("long") * 1_000_000 + F.greatest("_b", "_o"))
     dealt = dealt.select("shard", cell.alias("cell"), "fp")
 
-    def links(rows: pd.DataFrame) -> pd.DataFrame:
-        values = rows["fp"].to_numpy(np.int64)
-        low = HALVES[int(rows["shard"].iloc[0]) % 2]
+    def links(rows: pa.Table) -> pa.Table:
+        values = rows.column("fp").to_numpy()
+        low = HALVES[rows.column("shard")[0].as_py() % 2]
         pairs = forest(values.view(np.uint64), half_of(values.view(np.uint64), low), radius)
-        return pd.DataFrame({"a": [values[i] for i, _ in pairs],
-                             "b": [values[j] for _, j in pairs]}, dtype="int64")
+        ends = np.array(pairs, np.int64).reshape(-1, 2)
+        return pa.table({"a": values[ends[:, 0]], "b": values[ends[:, 1]]})
 
-    return dealt.groupBy("shard", "cell").applyInPandas(links, "a long, b long")
+    return dealt.groupBy("shard", "cell").applyInArrow(links, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",

@@ -125,3 +125,13 @@ def test_keep_one_by_fingerprints_keeps_columns(spark):
     assert out.columns == docs.columns and all(r[n] == n for r in rows for n in CLASH)
     kept = [r.doc_id for r in rows]
     assert kept.count(None) == 2 and kept.count(5) == 2 and 6 not in kept and 4 not in kept
+
+
+def test_workers_load_no_pandas():
+    """Every Python worker of the stages would hold it; the modules they load do without."""
+    import subprocess
+    import sys
+
+    code = ("import sys; from docketry.llm import bpe, chunks, decontaminate, quality, similar; "
+            "sys.exit('pandas' in sys.modules)")
+    assert subprocess.run([sys.executable, "-c", code], check=False, timeout=60).returncode == 0
