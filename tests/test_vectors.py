@@ -136,6 +136,25 @@ def test_a_seed_changes_nothing(spark, options):
               brute(docs, queries, 12))
 
 
+@pytest.mark.parametrize("sizes", [(32_768, 1 << 20, 2_000_000), (2, 90, 50)])
+def test_many_blocks_are_searched_in_one_job(spark, monkeypatch, sizes):
+    from docketry.operators import vector_blocks
+
+    for name, value in zip(("CELL_QUERIES", "CELL_VECTORS", "CELL_HITS"), sizes):
+        monkeypatch.setattr(vector_blocks, name, value)
+    scans = []
+    scan = vector_blocks._broadcast_hits
+    monkeypatch.setattr(vector_blocks, "_broadcast_hits", lambda *a: scans.append(a) or scan(*a))
+    rng = np.random.default_rng(4)
+    docs = [(f"d{i:04}", rng.normal(size=8)) for i in range(1500)]
+    docs += [(f"c{i:03}", docs[0][1]) for i in range(100)]
+    queries = [docs[0][1], *rng.normal(size=(20, 8)), np.zeros(8)]
+    asked, vectors = frames(spark, docs, queries)
+    hits = semantic_topk(asked, vectors, 7, max_broadcast_queries=2)
+    check(collected(hits), brute(docs, queries, 7))
+    assert not scans
+
+
 def test_bad_values_in_query_and_documents(spark):
     docs = [("a", [1.0, 0.0]), ("b", [INF, 1.0]), ("c", [0.0, NAN])]
     asked, vectors = frames(spark, docs, [[INF, NAN]])
