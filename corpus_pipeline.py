@@ -30,6 +30,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group that shares 0.8 of its five-word shingles stays.
 
+    Candidates are found by the vantage-point trees over SimHash fingerprints, then, among texts
+    still apart, by shared bands of least values; every link is counted exactly.
     Null and blank texts are one group; of a group the row with the least (id, text digest)
     stays, of rows equal in both the first by its other columns; rows with a null id stay.
     """

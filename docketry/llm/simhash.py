@@ -41,6 +41,21 @@ SHARD_ROWS, CELL_ROWS = 32_768, 131_072
 HALVES = (0, 32)   # lowest bit of each half
 
 
+def bit_counts(hashes: np.ndarray) -> np.ndarray:
+    """In how many hashes each bit is set."""
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), 65_536):
+        bits = np.unpackbits(hashes[at:at + 65_536].view(np.uint8).reshape(-1, 8), axis=1,
+                             bitorder="little")
+        ones += bits.sum(axis=0, dtype=np.int32)
+    return ones
+
+
+def majority(ones: np.ndarray, total: int) -> int:
+    """The fingerprint with the bits that more than half of ``total`` hashes have."""
+    return int(np.packbits(ones * 2 > total, bitorder="little").view(np.uint64)[0])
+
+
 def fingerprint_of(data: bytes, shingle: int, hash64, to_lower: bytes) -> int:
     words = data.translate(to_lower).split()
     n = len(words)
@@ -55,12 +70,9 @@ def fingerprint_of(data: bytes, shingle: int, hash64, to_lower: bytes) -> int:
     ones = np.zeros(64, np.int64)
     total = len(starts)
     for at in range(0, total, 65_536):
-        hashes = np.array([hash64(joined[a:b], 42) for a, b in
-                           zip(starts[at:at + 65_536], stops[at:at + 65_536])], np.uint64)
-        bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        ones += bits.sum(axis=0, dtype=np.int32)
-    packed = np.packbits(ones * 2 > total, bitorder="little")
-    return int(packed.view(np.uint64)[0])
+        ones += bit_counts(np.array([hash64(joined[a:b], 42) for a, b in
+                                     zip(starts[at:at + 65_536], stops[at:at + 65_536])], np.uint64))
+    return majority(ones, total)
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",

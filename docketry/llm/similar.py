@@ -1,11 +1,15 @@
-"""Near-duplicates by the Jaccard similarity of word shingles, for the pipeline's stage.
+"""Near-duplicates by SimHash trees and the Jaccard similarity of word shingles, for the pipeline's stage.
 
 Words are those of ``simhash``; a text is the set of its ``shingle``-word shingles,
 a text with fewer words is one shingle. Two texts link if their sets share at least
 ``similarity`` of their union, counted exactly from 64-bit hashes; texts without
 words (or null) link to each other only.
 
-Candidates share a band: ``ROWS`` of the least values of the set under ``BANDS`` x
+Candidates come from the trees of ``simhash`` first: every text has the fingerprint of its
+shingles, repeats included; texts of one fingerprint are held against one of them, and
+these against each other where the trees link their fingerprints (``RADIUS`` bits). Edited
+copies often lie beyond any radius at which trees prune, so further candidates, among texts
+that are still apart, share a band: ``ROWS`` of the least values of the set under ``BANDS`` x
 ``ROWS`` multipliers. A pair at similarity 0.8 misses all bands with probability
 (1 - 0.8 ** 4) ** 20, about 3 in 100,000, and less above. Only links found among
 candidates count, so there are no false ones.
@@ -33,12 +37,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.sizes import broadcast_within
-from .common import (bounded_batches, digest_of, few_files, give_back, map_texts, own_name,
-                     worker_table, written)
+from .common import (bounded_batches, digest_of, few_files, give_back, join_spread, map_texts,
+                     own_name, worker_table, written)
 from .components import connected
-from .simhash import LOWER
+from .simhash import LOWER, bit_counts, link_fingerprints, majority
 
 SHINGLE, SIMILARITY = 5, 0.8
+# Bits that fingerprints linked by the trees differ in, at most.
+RADIUS = 3
 BANDS, ROWS = 20, 4
 # Rounds that hold a band's members against one of them, members of a task that meet one, and
 # members of a block.
@@ -48,8 +54,8 @@ MULTIPLIERS = np.random.default_rng(42).integers(
     0, 1 << 64, BANDS * ROWS, np.uint64) | np.uint64(1)
 
 
-def shingle_set(data: bytes, shingle: int, hash64, to_lower: bytes) -> np.ndarray:
-    """Sorted distinct hashes of the shingles."""
+def shingle_hashes(data: bytes, shingle: int, hash64, to_lower: bytes) -> np.ndarray:
+    """Hashes of the shingles in their order, repeats included."""
     words = data.translate(to_lower).split()
     n = len(words)
     if n == 0:
@@ -60,8 +66,13 @@ def shingle_set(data: bytes, shingle: int, hash64, to_lower: bytes) -> np.ndarra
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, n) + 1)
     starts = np.concatenate(([0], ends[:n - shingle])).tolist()
     stops = (ends[shingle - 1:] - 1).tolist()
-    return np.unique(np.fromiter((hash64(joined[a:b], 42) for a, b in zip(starts, stops)),
-                                 np.uint64, len(starts)))
+    return np.fromiter((hash64(joined[a:b], 42) for a, b in zip(starts, stops)),
+                       np.uint64, len(starts))
+
+
+def shingle_set(data: bytes, shingle: int, hash64, to_lower: bytes) -> np.ndarray:
+    """Sorted distinct hashes of the shingles."""
+    return np.unique(shingle_hashes(data, shingle, hash64, to_lower))
 
 
 def bands_of(hashes: np.ndarray, hash64) -> list[int]:
@@ -83,7 +94,7 @@ def similarity_of(a: np.ndarray, b: np.ndarray) -> float:
 
 
 def banded(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
-    """(id, key, size, bands), one row per row with an id; size counts the shingles."""
+    """(id, key, size, fp, bands), one row per row with an id; size counts distinct shingles."""
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def make():
@@ -92,19 +103,22 @@ def banded(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFra
         to_lower = bytes.maketrans(*LOWER)
 
         def run(keys, texts):
-            sizes, found = [], []
+            sizes, prints, found = [], [], []
             for t in texts:
-                hashes = shingle_set((t or "").encode("utf-8", "surrogatepass"), shingle,
-                                     xxhash.xxh64_intdigest, to_lower)
+                every = shingle_hashes((t or "").encode("utf-8", "surrogatepass"), shingle,
+                                       xxhash.xxh64_intdigest, to_lower)
+                hashes = np.unique(every)
                 sizes.append(len(hashes))
+                prints.append(majority(bit_counts(every), len(every)))
                 found.append(bands_of(hashes, xxhash.xxh64_intdigest))
-            return [[k[0] for k in keys], [k[1] for k in keys], sizes, found]
+            return [[k[0] for k in keys], [k[1] for k in keys], sizes,
+                    np.array(prints, np.uint64).view(np.int64).tolist(), found]
 
         return run
 
     return map_texts(docs.filter(F.col(id_col).isNotNull()),
                      [F.col(id_col), digest_of(text_col), F.col(text_col)],
-                     f"id {id_type}, key binary, size int, bands array<bigint>", make)
+                     f"id {id_type}, key binary, size int, fp long, bands array<bigint>", make)
 
 
 def sets_of(texts: DataFrame, text_col: str, shingle: int) -> DataFrame:
@@ -236,6 +250,27 @@ def block_links(open_bands: DataFrame, sets: DataFrame, similarity: float) -> Da
     return ordered.mapInArrow(run, "a binary, b binary")
 
 
+def tree_pairs(nodes: DataFrame, similarity: float, radius: int = RADIUS) -> DataFrame:
+    """(a, b) candidate pairs of keys: one fingerprint, or fingerprints that the trees link.
+
+    ``nodes``: key, least, size, fp, a written table. A fingerprint is stood for by the text
+    with the least id; no more pairs come out than there are texts and links of the trees.
+    """
+    text = F.min_by(F.struct("key", "size"), F.struct("least", "key"))
+    prints = written(few_files(nodes.groupBy("fp").agg(
+        text.alias("_c"), F.count(F.lit(1)).alias("texts"))), "prints")
+    links = written(few_files(link_fingerprints(prints.select("fp"), radius)), "near")
+    ends = [prints.select(F.col("fp").alias(end), F.col("_c").alias(f"_{end}")) for end in "ab"]
+    near = links.join(broadcast_within(ends[0]), "a").join(broadcast_within(ends[1]), "b").select(
+        F.col("_a").alias("x"), F.col("_b").alias("y"))
+    same = join_spread(nodes.select("fp", F.struct("key", "size").alias("y")), prints, "fp",
+                       "texts").select(F.col("_c").alias("x"), "y")
+    return near.unionByName(same).filter(
+        (F.col("x.key") != F.col("y.key"))
+        & near_sizes(F.col("x.size"), F.col("y.size"), similarity)).select(
+        F.col("x.key").alias("a"), F.col("y.key").alias("b")).distinct()
+
+
 def similar_links(docs: DataFrame, nodes: DataFrame, text_col: str, shingle: int,
                   similarity: float, stars: int = STARS) -> DataFrame | None:
     """(node, root) of all keys that link to another, None without links."""
@@ -244,15 +279,18 @@ def similar_links(docs: DataFrame, nodes: DataFrame, text_col: str, shingle: int
                       "bands")
     shared = written(few_files(members.join(broadcast_within(several), "band", "left_semi")),
                      "members")
-    wanted = written(few_files(shared.select("key").distinct()), "wanted")
+    near = written(few_files(tree_pairs(nodes, similarity)), "near_pairs")
+    wanted = written(few_files(shared.select("key").unionByName(near.select(
+        F.col("a").alias("key"))).unionByName(near.select(F.col("b").alias("key"))).distinct()),
+        "wanted")
     digest = own_name(docs, "key")
     bodies = docs.select(digest_of(text_col).alias(digest), F.col(text_col).alias("text")).join(
         broadcast_within(wanted.select(F.col("key").alias(digest))), digest, "left_semi")
     sets = written(few_files(sets_of(bodies.select(F.col(digest).alias("key"), "text"), "text",
                                      shingle).groupBy("key").agg(
         F.any_value("hashes").alias("hashes")), docs), "sets")
-    links: list[DataFrame] = []
-    roots = None
+    links = [written(few_files(star_links(near, sets, similarity)), "links")]
+    roots = connected(links[0])
     for turn in range(stars + 1):
         now = shared.withColumn("root", F.col("key")) if roots is None else shared.join(
             broadcast_within(roots.select(F.col("node").alias("key"), "root")), "key",
@@ -288,9 +326,10 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # Equal texts combine before the shuffle; equal rows are counted apart from them.
     held = written(few_files(rows.groupBy("key", "id").agg(
         F.count(F.lit(1)).alias("n"), F.any_value("size").alias("size"),
-        F.any_value("bands").alias("bands")).groupBy("key").agg(
+        F.any_value("fp").alias("fp"), F.any_value("bands").alias("bands")).groupBy("key").agg(
         F.min("id").alias("least"), F.max("id").alias("most"), F.min_by("n", "id").alias("n"),
-        F.any_value("size").alias("size"), F.any_value("bands").alias("bands"))), "texts")
+        F.any_value("size").alias("size"), F.any_value("fp").alias("fp"),
+        F.any_value("bands").alias("bands"))), "texts")
     roots = similar_links(docs, held, text_col, shingle, similarity, stars)
     judged = held.select("key", "least", "most", "n", F.lit(False).alias("gone"))
     if roots is not None:

@@ -55,3 +55,29 @@ def test_edited_copies_of_repeated_ids(spark, docs):  # noqa: F811
     assert got == sorted([(0, rows[0][1]), rows[0], rows[1], rows[3]])
     kept = [r.doc_id for r in similar.keep_one(docs).collect()]
     assert kept.count(None) == 2 and kept.count(6) == 1 and not {1, 2, 4, 7, 9} & set(kept)
+
+
+def test_trees_of_fingerprints_find_candidates(spark):
+    """Near copies that share no band are linked through the trees; others they meet are not."""
+    from pyspark.sql import functions as F
+
+    from docketry.llm.common import written
+
+    text = words(7, 3000)
+    made = [text, text + " end", " ".join([*text.split()[:-1], "other"]), words(8, 300), "One two"]
+    assert all((plain_fingerprint(made[0], 5) ^ plain_fingerprint(made[i], 5)).bit_count() <= 3
+               for i in (1, 2))
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(made)], "doc_id long, text string")
+    nodes = written(similar.banded(df, "doc_id", "text", 5).withColumn(
+        "bands", F.array("id")).withColumnRenamed("id", "least"), "nodes")
+    roots = similar.similar_links(df, nodes, "text", 5, 0.8).collect()
+    least = {r.key: r.least for r in nodes.collect()}
+    assert sorted(least[r.node] for r in roots) == [0, 1, 2]
+    assert len({r.root for r in roots}) == 1
+    # Texts of one fingerprint are candidates only: their similarity decides.
+    alike = written(nodes.withColumn("fp", F.lit(5).cast("long")), "alike")
+    assert similar.tree_pairs(alike, 0.8).count() == 2
+    far = written(nodes.filter("least in (3, 4)").withColumn("size", F.lit(9)).withColumn(
+        "fp", F.lit(5).cast("long")), "far")
+    assert similar.tree_pairs(far, 0.8).count() == 1
+    assert similar.similar_links(df, far, "text", 5, 0.8) is None
