@@ -20,6 +20,10 @@ from ..sources.vector_store import (append_vectors, empty_vectors, read_vectors,
                                     write_vectors)
 
 
+# Tasks of a run for each core, and characters of a task beyond them: what is lost if it breaks off.
+RUN_TASKS_PER_CORE, TASK_CHARS = 8, 16 << 20
+
+
 class DeltaReport(NamedTuple):
     """What a delta run did; ``cut`` counts the texts that ``max_chars`` or tokens shortened."""
 
@@ -124,16 +128,16 @@ def delta_index(decisions: DataFrame, store_path: str, encoder: Encoder, *,
         return DeltaReport(route, size["n"], 0, size["n"])
     documents = new_documents(decisions, keys)
     planned = plan_delta(documents, chunk_size)
-    found = planned.count()
+    found, chars = _planned_size(planned)
     if found > n_new:      # equal url and position in several files: one of them stays
         documents = cut_lineage(documents.dropDuplicates(["pos", "url"]))
         planned = plan_delta(documents, chunk_size)
-        found = planned.count()
+        found, chars = _planned_size(planned)
     if found != n_new:
         raise ValueError(f"{n_new} new urls, but texts for {found}")
     by_tokens = max_tokens is not None and counter is not None
     cut = 0 if max_chars is None else planned.filter(F.col("length") > max_chars).count()
-    tasks = chunk_partitions(n_new, chunk_size)
+    tasks = chunk_partitions(n_new, chunk_size, most=run_tasks(spark, chars))
     limits = {"max_chars": max_chars, "max_tokens": max_tokens, "counter": counter}
     work = None
     if route == "single":
@@ -163,6 +167,17 @@ def delta_index(decisions: DataFrame, store_path: str, encoder: Encoder, *,
     return DeltaReport(route, size["n"], n_new, total, cut)
 
 
+def _planned_size(planned: DataFrame) -> tuple[int, int]:
+    """Rows of a plan and the characters of their texts."""
+    row = planned.agg(F.count(F.lit(1)).alias("n"), F.sum("length").alias("chars")).first()
+    return row["n"], row["chars"] or 0
+
+
+def run_tasks(spark: SparkSession, chars: int) -> int:
+    """Most tasks of a run: they follow the text, not the number of chunks dealt to them."""
+    return max(RUN_TASKS_PER_CORE * spark.sparkContext.defaultParallelism, chars // TASK_CHARS + 1)
+
+
 def _no_vectors(texts: list[str]) -> list[list[float]]:
     return [[0.0]] * len(texts)
 

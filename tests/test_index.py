@@ -185,6 +185,28 @@ def test_many_chunks_are_few_files(spark, tmp_path):
     assert chunk_store.read_chunks(spark, work).count() == 100_000
 
 
+def test_tasks_of_a_run_follow_the_text(spark, tmp_path, monkeypatch):
+    """A run of many small chunks is few tasks, more only for more text."""
+    cores = spark.sparkContext.defaultParallelism
+    assert index.run_tasks(spark, 0) == index.RUN_TASKS_PER_CORE * cores
+    assert index.run_tasks(spark, 1 << 50) == (1 << 50) // index.TASK_CHARS + 1
+    seen, planned = [], index.encode_planned
+    monkeypatch.setattr(index, "RUN_TASKS_PER_CORE", 1)
+    monkeypatch.setattr(index, "encode_planned", lambda *a, **k: seen.append(a[4]) or planned(*a, **k))
+    path, df = str(tmp_path / "v"), corpus(spark, 40)
+    report = delta_index(df, path, models.hashed_terms(4), threshold=1, chunk_size=1)
+    assert report == ("chunked", 0, 40, 40, 0) and urls(spark, path) == sorted(
+        f"u{i}" for i in range(40))
+    assert seen == [cores] and cores < 40
+
+
+def test_workers_get_few_texts_at_once(spark):
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark.conf.set(key, str(64 << 20))
+    models.encode(spark.createDataFrame([("one",)], "text string"), models.hashed_terms(4))
+    assert int(spark.conf.get(key)) <= models.TEXT_BYTES
+
+
 def test_keys_are_found_without_reading_texts(spark, tmp_path):
     path = str(tmp_path / "c")
     corpus(spark, 20).write.parquet(path)
