@@ -36,6 +36,9 @@ PythonScorer = Callable[[list[str], list[str]], Sequence[float]]
 # list of prompts -> list of cards; may take ``max_tokens`` as well
 Generator = Callable[[list[str]], list[str]]
 
+# Bytes of texts that a worker gets at once: it holds such a batch, its copy and the batch before.
+TEXT_BYTES = 4 << 20
+
 # Fixed value: a term of the stand-ins.
 TERM_PATTERN = "[0-9a-zß-ÿ]+"
 
@@ -176,7 +179,7 @@ def encode(df: DataFrame, encoder: Encoder, text: str = "text", out: str = "embe
     it; with a ``counter``, texts are cut to so many of its tokens first. ``cut``
     names a column that says which texts either limit shortened.
     """
-    bound_arrow_batches(df.sparkSession)
+    bound_arrow_batches(df.sparkSession, TEXT_BYTES)
     source = F.coalesce(F.col(text), F.lit(""))
     over = F.lit(False)
     if max_chars is not None:
