@@ -237,6 +237,10 @@ def cut(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id",
         worker_table(None)
         return pa.array(map(without, texts.to_pylist(), spans.to_pylist()), pa.string())
 
+    # A filter on the result would be pushed below it and run the function a second time, in a
+    # Python worker more per task, which then stays alive beside the others.
+    shorten = shorten.asNondeterministic()
+
     # Only texts with spans go through Python; the others pass beside them.
     small = broadcast_within(per_doc, at_most=_bytes(per_doc, found))
     joined = docs.join(small, docs[id_col] == small[key], "left")

@@ -135,3 +135,23 @@ def test_workers_load_no_pandas():
     code = ("import sys; from docketry.llm import bpe, chunks, decontaminate, quality, similar; "
             "sys.exit('pandas' in sys.modules)")
     assert subprocess.run([sys.executable, "-c", code], check=False, timeout=60).returncode == 0
+
+
+def test_cut_texts_go_through_python_once(spark):
+    """The filter on what is left of a text must not run the cutting again below it."""
+    import corpus_pipeline as pipeline
+
+    words = " ".join(f"w{i}x{i * 7919 % 1000}" for i in range(400))
+    docs = spark.createDataFrame(
+        [(1, words, "en", "a", len(words)), (2, words + " tail", "en", "a", len(words) + 5),
+         (3, words, "en", "b", len(words)), (4, None, "en", "b", None), (5, " ", "en", "b", 1),
+         (None, words, "en", "b", len(words))],
+        "doc_id long, text string, lang string, source string, n_chars long")
+    left = pipeline.substring_stage(spark, docs, SF)
+    plan = left._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
+    rows = {r.doc_id: r for r in left.collect()}
+    assert rows.keys() == {1, 2, 4, 5, None}
+    assert rows[1].text == rows[None].text == words and rows[5].text == " "
+    assert 0 < rows[2].n_chars == len(rows[2].text) < 300
+    assert rows[4].text is None and rows[4].n_chars is None
