@@ -1,6 +1,7 @@
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -155,6 +156,30 @@ def test_many_blocks_are_searched_in_one_job(spark, monkeypatch, sizes):
     assert not scans
 
 
+def test_a_task_merges_seldom_and_keeps_the_best(monkeypatch):
+    """Hits wait for a merge until the rows double; ties go by url in whatever order they come."""
+    from docketry.operators import vector_blocks as B
+    rng = np.random.default_rng(5)
+    docs = rng.integers(-3, 4, (12_000, 6)).astype(np.float32)
+    asked = rng.integers(-3, 4, (500, 6)).astype(np.float32)
+    urls = np.array([f"u{i:05d}" for i in rng.permutation(len(docs))])
+    merges, merge = [], B._TopK._merge
+    monkeypatch.setattr(B._TopK, "_merge", lambda top: (merges.append(1), merge(top))[1])
+    top = B._TopK(np.arange(500), asked, 7, np.full(500, -np.inf))
+    for at in range(0, len(docs), 300):
+        top.add(pa.array(urls[at:at + 300]), docs[at:at + 300])
+    found = top.hits()
+    assert len(merges) < 12
+    a, b = B._prepare(asked).astype(np.float64), B._prepare(docs).astype(np.float64)
+    scores = np.round(a @ b.T, 9)
+    rows = found.to_pylist()
+    for q in range(500):
+        best = np.lexsort((urls, -scores[q]))[:7]
+        got = [r for r in rows if r["query_id"] == q]
+        assert [r["url"] for r in got] == urls[best].tolist()
+        assert np.allclose([r["stage1_score"] for r in got], scores[q][best], atol=2e-9)
+
+
 def test_bad_values_in_query_and_documents(spark):
     docs = [("a", [1.0, 0.0]), ("b", [INF, 1.0]), ("c", [0.0, NAN])]
     asked, vectors = frames(spark, docs, [[INF, NAN]])
