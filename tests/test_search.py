@@ -162,3 +162,29 @@ def test_given_query_vectors_need_no_encoder(world, spark):
         [(0, QUERIES[0], [float(x) for x in np.ones(16)])],
         "query_id long, query string, q_vec array<float>")
     assert S.search(asked, decisions, vectors, as_of_year=2026).results.count() == 5
+
+
+@pytest.mark.parametrize("name", ["search_summary", "search_seeded", "search_statuses"])
+def test_document_vectors_are_computed_once(spark, monkeypatch, tmp_path, name):
+    """What a query hands to the search is written; passing it again encodes no text."""
+    from catalog import queries as Q
+    spark.createDataFrame([(i, f"the appeal of case {i} is allowed", "s") for i in range(12)],
+                          "doc_id long, text string, source string").write.parquet(
+        f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, 0, "user", "appeal of case 3")],
+                          "conv_id long, turn int, role string, text string").write.parquet(
+        f"{tmp_path}/conversations.parquet")
+    spark.createDataFrame([(i, [1.0, float(i)]) for i in range(5)],
+                          "vec_id long, embedding array<float>").write.parquet(
+        f"{tmp_path}/embeddings.parquet")
+    given, whole = [], Q.search.search
+
+    def spy(queries, decisions, vectors, **options):
+        given.extend(v for v in (vectors, options.get("seed")) if v is not None)
+        return whole(queries, decisions, vectors, **options)
+
+    monkeypatch.setattr(Q.search, "search", spy)
+    assert Q.QUERIES[name](spark, str(tmp_path)).count() > 0
+    assert given
+    for vectors in given:
+        assert "MapInArrow" not in vectors._jdf.queryExecution().toString()
